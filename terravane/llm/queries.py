@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoded
-from .common import table
+from .common import shared_folder, table
 from .quality import quality_report
+from .tokencache import token_counts
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +24,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that each call encodes whatever its table holds."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), shared_folder(spark))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
+    "op9_token_counts": op9_token_counts,
 }
 
 SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encoded
 from .common import shared_folder, table
 from .quality import quality_report
+from .secrets import secret_spans
 from .tokencache import token_counts
 
 
@@ -24,6 +25,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, so that each call encodes whatever its table holds."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), shared_folder(spark))
@@ -32,6 +37,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
+    "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
 }
 

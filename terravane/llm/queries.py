@@ -8,6 +8,7 @@ from .bpe import encoded
 from .common import shared_folder, table
 from .quality import quality_report
 from .secrets import secret_spans
+from .simhash import near_duplicates
 from .tokencache import token_counts
 
 
@@ -25,6 +26,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
+    "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
 }

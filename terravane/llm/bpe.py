@@ -162,7 +162,7 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _encode(path: str, slice_bytes: int, keep: bool):
+def _encode(path: str, slice_bytes: int, keep: tuple[str, ...]):
     def run(batches):
         bpe = word_bpe(path)
         for batch in batches:
@@ -177,16 +177,19 @@ def _encode(path: str, slice_bytes: int, keep: bool):
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep:
-                    columns += [pa.array([np.frombuffer(x, "<i4") for x in encoded], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
+                if "ids" in keep:
+                    columns.append(pa.array([np.frombuffer(x, "<i4") for x in encoded], pa.list_(pa.int32())))
+                    names.append("ids")
+                if "decoded" in keep:
+                    columns.append(pa.array(decoded, pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, keep: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of each document; with keep, also the ids
-    and the decoded text. path: the tokenizer's file, on every executor."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = (), slice_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of each document. keep: which of ids
+    and decoded (the text) to return as well. path: the tokenizer's file, on every executor."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_encode(path, slice_bytes, keep), schema)

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encoded
 from .common import shared_folder, table
+from .mixing import mix
 from .quality import quality_report
 from .secrets import secret_spans
 from .simhash import near_duplicates
 from .tokencache import token_counts
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", *(F.col(c)[0].alias(c) for c in ("source_size", "target", "taken")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +47,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,

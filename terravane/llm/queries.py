@@ -10,10 +10,15 @@ from .common import shared_folder, table
 from .mixing import mix
 from .quality import quality_report
 from .secrets import secret_spans
+from .sharding import sharded
 from .simhash import near_duplicates
 from .tokencache import token_counts
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", *(F.col(c)[0].alias(c) for c in ("source_size", "target", "taken")))
@@ -47,6 +52,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,

@@ -12,6 +12,7 @@ from .quality import quality_report
 from .secrets import secret_spans
 from .sharding import sharded
 from .simhash import near_duplicates
+from .suffixtree import repeated_words_removed
 from .tokencache import token_counts
 
 
@@ -38,6 +39,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words_removed(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
+    "op6_suffix_trees": op6_suffix_trees,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,

@@ -289,12 +289,12 @@ def judged(docs: DataFrame, kind: Kind, owners: Callable, learn: Callable, field
     text = F.coalesce("text", F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // slice_bytes))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("slice"), "doc_id", text.alias("text")).repartition(n, "slice")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("slice"), "doc_id", text.alias("text"))
     by_slice = dealt.groupBy("slice")
     census = by_slice.applyInArrow(_census(kind, n, owners), _CENSUS)
-    repeated = census.repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeated, "slice int, hashes binary")
+    repeated = census.groupBy("bucket").applyInArrow(_repeated, "slice int, hashes binary")
     sent = by_slice.cogroup(repeated.groupBy("slice")).applyInArrow(_send(kind, n, learn, fields), _STRETCHES)
-    verdicts = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_judge(solve, fields), _VERDICTS)
+    verdicts = sent.groupBy("bucket").applyInArrow(_judge(solve, fields), _VERDICTS)
 
     def finish(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
         verdict, out = verdicts_of(right), []

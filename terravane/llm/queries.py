@@ -12,6 +12,7 @@ from .quality import quality_report
 from .secrets import secret_spans
 from .sharding import sharded
 from .simhash import near_duplicates
+from .suffixarray import repeated_bytes_removed
 from .suffixtree import repeated_words_removed
 from .tokencache import token_counts
 
@@ -56,6 +57,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), shared_folder(spark))
 
 
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes_removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
@@ -65,6 +70,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_arrays": op10_suffix_arrays,
 }
 
 SQL: dict[str, str] = {}

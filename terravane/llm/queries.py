@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .bpe import encoded
 from .common import shared_folder, table
+from .media import image_copies
 from .mixing import mix
 from .quality import quality_report
+from .rendering import drawn
 from .secrets import secret_spans
 from .sharding import sharded
 from .simhash import near_duplicates
@@ -17,6 +19,11 @@ from .suffixtree import repeated_words_removed
 from .tokencache import token_counts
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over images drawn from all embeddings, since no table holds images; see rendering.py."""
+    return image_copies(drawn(table(spark, sf_dir, "embeddings")), "image_id", "image")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
@@ -62,6 +69,7 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,

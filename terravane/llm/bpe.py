@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import _IS_SPACE, Texts, slices
 
 #: Fragments kept by each Python worker; beyond that the cache starts anew.
-CACHED = 300_000
+CACHED = 200_000
 #: Marks, at the end of a cache key, a fragment that ends inside a word. No UTF-8 text holds this byte.
 INSIDE = b"\xff"
 
@@ -188,7 +188,7 @@ def _encode(path: str, slice_bytes: int, keep: tuple[str, ...]):
     return run
 
 
-def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = (), slice_bytes: int = 2 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = (), slice_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of each document. keep: which of ids
     and decoded (the text) to return as well. path: the tokenizer's file, on every executor."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)

@@ -45,7 +45,7 @@ class QualityRules:
     target_rows: int = 20_000
     smoothing: float = 1.0
     threshold: float = -0.5
-    slice_bytes: int = 4 << 20
+    slice_bytes: int = 1 << 20
 
 
 def _buckets(t: Texts, rules: QualityRules) -> tuple[np.ndarray, np.ndarray]:

@@ -84,7 +84,7 @@ class Words:
 
     window: int = 13
     gram: int = 5
-    piece: int = 2 << 20
+    piece: int = 1 << 20
 
     def normal(self, text: bytes) -> bytes:
         return b" ".join(text.split())
@@ -104,7 +104,7 @@ class Bytes:
 
     window: int = 200
     gram: int = 32
-    piece: int = 2 << 20
+    piece: int = 1 << 20
 
     def normal(self, text: bytes) -> bytes:
         return text

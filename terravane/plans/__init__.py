@@ -1,6 +1,6 @@
 """Queries over the canonical tables; importing this package registers them."""
 
-from . import spectral, zonal
+from . import dynamics, spectral, zonal
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "spectral", "zonal"]
+__all__ = ["QUERIES", "SQL", "dynamics", "spectral", "zonal"]

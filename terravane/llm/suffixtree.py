@@ -32,22 +32,18 @@ def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int, limit: int, at
     stack = [(np.arange(len(starts)), at)]
     while stack:
         own, at = stack.pop()
-        if len(own) > limit and at < depth:  # a longer prefix
+        if 0 <= at < depth and len(own) > limit:  # a longer prefix
             word = words[starts[own] + at]
             order = np.argsort(word, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(word[order]) != 0))
             size = np.diff(np.append(first, len(order)))
-            held: list[np.ndarray] = []
-            for a, n in zip(first.tolist(), size.tolist()):
-                if n > limit:
-                    stack.append((own[order[a : a + n]], at + 1))
-                elif n > 1:
-                    held.append(order[a : a + n])
-                    if sum(map(len, held)) > limit:
-                        stack.append((own[np.concatenate(held)], -1 - at))
-                        held = []
-            if held:
-                stack.append((own[np.concatenate(held)], -1 - at))
+            for k in np.flatnonzero(size > limit).tolist():
+                stack.append((own[order[first[k] : first[k] + size[k]]], at + 1))
+            fits = (size > 1) & (size <= limit)
+            rows = order[np.repeat(fits, size)]
+            packs = np.cumsum(size[fits]) // limit  # consecutive prefixes, up to twice the limit together
+            cuts = np.flatnonzero(np.diff(np.repeat(packs, size[fits]))) + 1
+            stack += [(own[x], -1 - at) for x in np.split(rows, cuts) if len(x)]
             continue
         # prefixes that fit share one forest; a negative depth marks a group made of several prefixes
         node = np.zeros(len(own), np.int64)

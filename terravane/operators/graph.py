@@ -1,36 +1,62 @@
-"""Regions of cells and distances on networks: iterations of joins, checkpointed every round."""
+"""Regions of cells and distances on networks: iterations of joins, each round a written table."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..functions.geo import haversine_km
+from ..session import written
 from .joins import QUEEN, neighbours
 
 
-def regions(cells: DataFrame, offsets: Sequence[tuple[int, int]] = QUEEN, rounds: int = 50) -> DataFrame:
-    """(r, c, label): cells given as (r, c) with the least cell number of the region they are connected to.
+def _with_least(links: DataFrame) -> DataFrame:
+    """links (u, v) with the least v of each u. The minima are a table of their own, so that the join stands on two
+    plain exchanges and Spark can split the links of a hub."""
+    return links.join(written(links.groupBy("u").agg(F.min("v").alias("least"))), "u")
 
-    Every round takes the least label around each cell and then jumps to the label of the cell so named, which
-    halves the way to go; the number of rounds grows with the logarithm of a region's extent for compact regions.
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    starred = _with_least(links)
+    return starred.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(starred.select("u", F.col("least").alias("v"))).distinct()
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of every node in links (u, v): root is the least node of its component.
+
+    Large-star and small-star operations alternate until the links stay as they are, which takes about
+    as many rounds as the logarithm of the longest path. No neighbourhood is gathered in one place: each step is a
+    minimum, combined before the shuffle, and a join whose hot keys Spark can split.
     """
-    number = F.col("r").cast("long") * (1 << 31) + F.col("c")
-    state = checkpointed(cells.select("r", "c").distinct().withColumn("label", number))
+    links = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links, before = written(links), None
     for _ in range(rounds):
-        around = neighbours(state, "label", offsets).groupBy("r", "c").agg(F.min("other").alias("_near"))
-        near = state.join(around, ["r", "c"], "left").withColumn("_to", F.least("label", F.coalesce("_near", "label")))
-        # the best label that any cell of a present label has seen serves all of that label
-        best = near.groupBy("label").agg(F.min("_to").alias("_best"))
-        jump = best.select(F.col("label").alias("_at"), F.col("_best").alias("_then"))
-        twice = best.join(jump, best._best == jump._at, "left").select("label", F.least("_best", F.coalesce("_then", "_best")).alias("_new"))
-        after = checkpointed(near.join(twice, "label").select("r", "c", F.col("_new").alias("label"), (F.col("_new") != F.col("label")).alias("_moved")))
-        state = after.drop("_moved")
-        if after.where("_moved").isEmpty():
-            return state
-    raise RuntimeError(f"regions did not settle in {rounds} rounds")
+        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+        links = written(_small_star(_large_star(links)))
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def regions(cells: DataFrame, offsets: Sequence[tuple[int, int]] = QUEEN) -> DataFrame:
+    """(r, c, label): cells given as (r, c) with the least cell number of the region they are connected to."""
+    number = F.col("r").cast("long") * (1 << 31) + F.col("c")
+    cells = written(cells.select("r", "c").distinct().withColumn("label", number))
+    links = neighbours(cells, "label", offsets).select(F.col("label").alias("u"), F.col("other").alias("v"))
+    roots = components(links)
+    joined = cells.join(roots, cells.label == roots.node, "left")
+    return joined.select("r", "c", F.coalesce("root", "label").alias("label"))
 
 
 def despeckled(cells: DataFrame, least: int, offsets: Sequence[tuple[int, int]] = QUEEN) -> DataFrame:
@@ -42,7 +68,7 @@ def despeckled(cells: DataFrame, least: int, offsets: Sequence[tuple[int, int]]
 
 def border_regions(cells: DataFrame, rows: int, columns: int, offsets: Sequence[tuple[int, int]] = QUEEN) -> DataFrame:
     """(r, c) of the cells whose region touches the frame of the grid, as open sea does."""
-    labelled = checkpointed(regions(cells, offsets))
+    labelled = written(regions(cells, offsets))
     frame = labelled.where((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == rows - 1) | (F.col("c") == columns - 1)).select("label").distinct()
     return labelled.join(frame, "label", "left_semi").select("r", "c")
 
@@ -58,8 +84,8 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int =
 
     Each round relaxes the edges of the nodes that came nearer in the last one, so far nodes cost nothing.
     """
-    edges = checkpointed(undirected(edges))
-    known = checkpointed(sources.select("node", F.lit(0.0).alias("dist")).distinct().withColumn("fresh", F.lit(True)))
+    edges = written(undirected(edges))
+    known = written(sources.select("node", F.lit(0.0).alias("dist")).distinct().withColumn("fresh", F.lit(True)))
     for _ in range(rounds):
         front = known.where("fresh")
         if front.isEmpty():
@@ -67,16 +93,12 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int =
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + F.col("len")).alias("dist")).where(F.col("dist") <= cutoff)
         old = known.select("node", F.col("dist").alias("old"), F.lit(None).cast("double").alias("dist"))
         both = old.unionByName(step.select("node", F.lit(None).cast("double").alias("old"), "dist")).groupBy("node").agg(F.min("old").alias("old"), F.min("dist").alias("new"))
-        known = checkpointed(both.select("node", F.least("old", "new").alias("dist"), (F.col("new") < F.coalesce("old", F.lit(float("inf")))).alias("fresh")).withColumn("fresh", F.coalesce("fresh", F.lit(False))))
+        known = written(both.select("node", F.least("old", "new").alias("dist"), (F.col("new") < F.coalesce("old", F.lit(float("inf")))).alias("fresh")).withColumn("fresh", F.coalesce("fresh", F.lit(False))))
     raise RuntimeError(f"distances did not settle in {rounds} rounds")
 
 
 def walk_edges(ways: DataFrame, way: str, order: str, node: str, x: str, y: str) -> DataFrame:
     """Edges between consecutive nodes of ways, by haversine length in metres."""
-    from pyspark.sql import Window
-
-    from ..functions.geo import haversine_km
-
     w = Window.partitionBy(way).orderBy(order)
     nexts = ways.select(node, x, y, F.lead(node).over(w).alias("_to"), F.lead(x).over(w).alias("_x"), F.lead(y).over(w).alias("_y")).where("_to IS NOT NULL")
     return nexts.select(F.col(node).alias("src"), F.col("_to").alias("dst"), (haversine_km(F.col(x), F.col(y), F.col("_x"), F.col("_y")) * 1000).alias("len"))

@@ -17,8 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df as a Parquet table in a shared folder, read again: this cuts lineage, survives lost executors, and
+    gives the planner true sizes, where estimates multiplied over an iteration's joins would run off."""
+    folder = folder or shared_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
+from .common import shared_folder, written
 
 _CACHE = "digest binary, n_tokens long"
 #: Letters whose Unicode classes have long been fixed; other texts go to the tokenizers library itself.
@@ -99,4 +100,6 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 512) -> Da
     misses = contents if known is None else contents.join(known, "digest", "left_anti")
     misses.mapInArrow(_encode(path), _CACHE).write.mode("append").parquet(folder)
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest)
-    return rows.join(_cached(docs, folder), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # as a table, so that the join stands on two plain exchanges and Spark can split a digest that many rows share
+    counts = written(_cached(docs, folder), shared_folder(docs.sparkSession))
+    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

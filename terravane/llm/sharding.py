@@ -3,7 +3,7 @@
 Documents with equal texts are linked. Each group of them is a node, cut into chunks of bounded size
 when it is large, and the state is a table of how many of a node's documents each shard holds. Every round
 joins nodes to the shard where most of their neighbours are and moves them there as far as that shard's quota
-has room, the largest gains first; the state is checkpointed after each round. Documents without links then fill
+has room, the largest gains first; the state is a written table after each round. Documents without links then fill
 what is left of the quotas, so shard sizes differ by one row at most (law `rows`).
 
 Ranks over all rows come from counts of hash buckets and windows within one bucket, so no task ever
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder, written
+from .common import shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def _quotas(n: int, shards: int) -> list[int]:
 def propagate(state: DataFrame, quotas: list[int], rules: ShardRules) -> DataFrame:
     """state (grp, chunk, shard, n) after the rounds of moves. quotas: rows that each shard may hold."""
     spark = state.sparkSession
-    state = checkpointed(state)
+    state = written(state)
     for _ in range(rules.rounds):
         held = {r.shard: r.held for r in state.groupBy("shard").agg(F.sum("n").alias("held")).collect()}
         room = spark.createDataFrame([(k, max(0, q - held.get(k, 0))) for k, q in enumerate(quotas)], "target int, room long")
@@ -71,7 +71,7 @@ def propagate(state: DataFrame, quotas: list[int], rules: ShardRules) -> DataFra
         granted = asked.withColumn("sum", F.sum("asked").over(order)).join(F.broadcast(room), "target").where("sum <= room").select("target", "gain", "cell", F.lit(True).alias("granted"))
         moved = moves.join(F.broadcast(granted), ["target", "gain", "cell"], "left")
         state = moved.select("grp", "chunk", F.when(F.col("granted"), F.col("target")).otherwise(F.col("shard")).alias("shard"), "n").groupBy("grp", "chunk", "shard").agg(F.sum("n").alias("n"))
-        state = checkpointed(state)
+        state = written(state)
     return state
 
 
@@ -83,7 +83,8 @@ def sharded(docs: DataFrame, rules: ShardRules = ShardRules()) -> DataFrame:
     rows = written(rows, shared_folder(spark))
     n = rows.count()
     quotas = _quotas(n, rules.shards)
-    groups = rows.groupBy("grp").agg(F.count("*").alias("copies")).where("copies > 1")
+    # as a table, so that the join stands on two plain exchanges and Spark can split a large group
+    groups = written(rows.groupBy("grp").agg(F.count("*").alias("copies")).where("copies > 1"), shared_folder(spark))
     joined = rows.join(groups, "grp", "left")
     chunks = F.greatest(F.ceil(F.col("copies") / rules.chunk_rows), F.lit(1))
     linked = joined.where("copies IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(1)), chunks).cast("int")).drop("copies")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder, written
+
+__all__ = ["SPACES", "Texts", "mixed", "powers", "shared_folder", "slices", "table", "window_hashes", "written"]
+
 #: The six ASCII white-space bytes that end a word; bytes.split() uses the same six.
 SPACES = b" \t\n\v\f\r"
 _IS_SPACE = np.zeros(256, bool)
@@ -22,31 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary
-    folder stands in only where that setting is unset, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.gettempdir() + "/terravane-checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), with a checkpoint folder set if the session has none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0, base**1, ... modulo 2**64, at least n of them; kept for the next call."""
     have = _powers.get(int(base))

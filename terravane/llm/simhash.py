@@ -11,7 +11,8 @@ of the links they find, not all pairs; keys with more than `most` fingerprints a
 
 Defined results: a text without words, empty or null, has fingerprint zero and links like any other;
 fewer than three words make one shingle; a null doc_id gets its component's id, null if it has no other
-member; rows that repeat a doc_id share a node. Columns other than doc_id and text are ignored.
+member; rows are linked by their fingerprints alone, also where they repeat a doc_id. Columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import shared_folder, written
-from .components import components
 
 SEED = 42
 _LANES = np.uint64(0x0001000100010001)
@@ -186,7 +187,7 @@ def _pairs(batches):
 
 
 def near_links(nodes: DataFrame, most: int = 2048) -> DataFrame:
-    """Links (u, v) between nodes (fp, rep) that connect all fingerprints within 3 bits of each other."""
+    """Links (u, v) between the names `rep` of nodes (fp, rep) that connect all fingerprints within 3 bits of each other."""
     shift = "shiftrightunsigned(fp, 16 * {}) & 65535L"
     keys = f"""explode(transform(sequence(0, 63), x -> shiftleft(cast(x as bigint), 32)
         | shiftleft({shift.format("(x div 16)")}, 16)
@@ -208,8 +209,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     spark = docs.sparkSession
     prints = written(fingerprints(docs, shingle), shared_folder(spark))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(near_links(nodes))
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(near_links(nodes.select("fp", F.col("fp").alias("rep"))))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, shared_folder(spark))
+    least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), shared_folder(spark))
+    named = rooted.join(least, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select("doc_id", digits, "component_id")
 

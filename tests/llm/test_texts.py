@@ -17,6 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from terravane.operators.graph import components
 from terravane.llm.bpe import encoded, word_bpe
 from terravane.llm.mixing import MixRules, min_cost_flow, mix, mixed_documents, source_targets
 from terravane.llm.quality import QualityRules, kept_documents, quality_report
@@ -204,15 +205,11 @@ def test_pigeonring_loses_no_link(spark, most):
             fps.add(y)
     fps = sorted(fps)
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, rep long")
-    from terravane.llm.components import components
-
     roots = {r.node: r.root for r in components(near_links(nodes, most)).collect()}
     assert [roots.get(k, k) for k in range(len(fps))] == linked(fps, list(range(len(fps))))
 
 
 def test_components_of_a_long_path(spark):
-    from terravane.llm.components import components
-
     order = random.Random(0).sample(range(300), 300)
     links = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
     got = components(links).collect()

@@ -1,6 +1,6 @@
 """Queries over the canonical tables; importing this package registers them."""
 
-from . import dynamics, spectral, streams, zonal
+from . import dynamics, more, spectral, streams, zonal
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dynamics", "spectral", "streams", "zonal"]
+__all__ = ["QUERIES", "SQL", "dynamics", "more", "spectral", "streams", "zonal"]

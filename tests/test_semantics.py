@@ -12,10 +12,11 @@ from terravane.functions.classes import SPI, class_from_above, class_up_to, drou
 from terravane.functions.fire import bui, danger_class, dc_next, dmc_next, ffmc_next, fwi, isi
 from terravane.functions.geo import in_polygon
 from terravane.functions.masks import clamp, is_named, no_nan, where_chain
-from terravane.operators.folds import first_crossing
+from terravane.operators.folds import first_crossing, parcels
 from terravane.operators.graph import despeckled, distances
 from terravane.operators.grid import unwrapped
 from terravane.operators.joins import ROOK, nearest
+from terravane.operators.paths import contour, crossed
 from terravane.operators.stats import slope_through_origin
 from terravane.operators.zonal import cross_tab, rectangles, within
 
@@ -125,3 +126,25 @@ def test_velocity_needs_enough_pairs(spark):
     rows = [(1, float(t), 2.0 * t) for t in range(1, 6)] + [(2, 1.0, 1.0)]
     got = {r.cell: r.slope for r in slope_through_origin(spark.createDataFrame(rows, "cell int, t double, y double"), ["cell"], "t", "y", 3).collect()}
     assert got == {1: 2.0, 2: None}
+
+
+def test_contour_follows_a_circle(spark):
+    rows = [(r, c, float(np.hypot(r - 10, c - 10))) for r in range(21) for c in range(21)]
+    s = contour(spark.createDataFrame(rows, "r int, c int, v double"), "v", 6.0).collect()
+    ends = np.array([(x.x1, x.y1) for x in s] + [(x.x2, x.y2) for x in s])
+    assert np.abs(np.hypot(ends[:, 0] - 10, ends[:, 1] - 10) - 6).max() < 0.05
+    length = sum(np.hypot(x.x1 - x.x2, x.y1 - x.y2) for x in s)
+    assert abs(length - 12 * np.pi) < 0.5
+
+
+def test_parcels_keep_a_steady_wind(spark):
+    wind = spark.range(10 * 10 * 3).select((F.col("id") % 10).cast("int").alias("r"), (F.floor(F.col("id") / 10) % 10).cast("int").alias("c"), F.floor(F.col("id") / 100).cast("int").alias("hour"), F.lit(10.0).alias("u"), F.lit(0.0).alias("v"))
+    path = parcels(spark.createDataFrame([(1, 2.0, 0.0, 0.0)], "traj_id long, lon double, lat double, hour double"), wind, 6).orderBy("k").collect()
+    assert len(path) == 19
+    assert math.isclose(path[-1].lon, 2 + 10 * 6 * 3600 / 111_320, rel_tol=1e-9) and path[-1].lat == 0.0
+
+
+def test_lines_touch_zones_they_only_pass(spark):
+    points = spark.createDataFrame([(1, 0, -1.0, 0.5), (1, 1, 3.0, 0.5), (2, 0, 5.0, 5.0), (2, 1, 6.0, 6.0)], "k int, i int, x double, y double")
+    zones = rectangles(spark.createDataFrame([(7, 0.0, 0.0, 1.0, 1.0)], "z int, w double, s double, e double, n double"))
+    assert [tuple(r) for r in crossed(points, zones, ["k"], "i", "x", "y", "z").collect()] == [(7, 1)]

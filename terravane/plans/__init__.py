@@ -1,6 +1,6 @@
 """Queries over the canonical tables; importing this package registers them."""
 
-from . import dynamics, more, motion, spectral, streams, zonal
+from . import dynamics, more, motion, spectral, streams, tables, zonal
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dynamics", "more", "motion", "spectral", "streams", "zonal"]
+__all__ = ["QUERIES", "SQL", "dynamics", "more", "motion", "spectral", "streams", "tables", "zonal"]

@@ -10,6 +10,9 @@ windows can be dealt out by anchor, and consecutive windows with one anchor trav
    buckets by anchor. A bucket holds all windows that might be equal, and `solve` judges them by their symbols.
 3. verdicts go back to the slices, which apply them to their documents.
 
+An anchor with very many stretches, as a passage with ever new surroundings has, is hot: its stretches are cut into
+single windows, which are dealt out by their own content instead, so that no bucket gathers them all.
+
 A slice removes copies before it sends anything, so what thousands of documents share reaches a bucket
 once for each slice. Slices and buckets are of bounded size and grow in number with the input. Documents are
 shuffled once, and this shuffle is read three times.
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import Texts, mixed, powers, slices, window_hashes
 
 _PLACE = np.uint64((1 << 28) - 1)
+_NONE = np.int64((1 << 63) - 1).tobytes()
 _ODD = np.uint64(0xB492B66FBE98F273)
 _ODD_INVERSE = np.uint64(pow(0xB492B66FBE98F273, -1, 1 << 64))
 
@@ -89,6 +94,15 @@ class Words:
     def normal(self, text: bytes) -> bytes:
         return b" ".join(text.split())
 
+    def split(self, content: bytes) -> list[bytes]:
+        """The windows of a stretch."""
+        words = content.split(b" ")
+        return [b" ".join(words[k : k + self.window]) for k in range(len(words) - self.window + 1)]
+
+    def combined(self, verdicts: list[bytes | None]) -> bytes:
+        """A stretch's verdict from those of its windows: the least id for each, the largest integer for none."""
+        return b"".join(v or _NONE for v in verdicts)
+
     def runs(self, texts: list[bytes]) -> Runs:
         t = Texts(texts)
         t.words()
@@ -109,6 +123,13 @@ class Bytes:
     def normal(self, text: bytes) -> bytes:
         return text
 
+    def split(self, content: bytes) -> list[bytes]:
+        return [content[k : k + self.window] for k in range(len(content) - self.window + 1)]
+
+    def combined(self, verdicts: list[bytes | None]) -> bytes:
+        """A stretch's verdict from those of its windows: a bit for each."""
+        return np.packbits([v is not None for v in verdicts]).tobytes()
+
     def runs(self, texts: list[bytes]) -> Runs:
         t = Texts(texts)
         n = len(t.buf)
@@ -145,17 +166,18 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _least_and_most(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of h, and whether each has more than one owner."""
+def _summed(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of h, whether each has more than one owner, and its count, 255 for more."""
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
     if not len(first):
-        return h, np.empty(0, bool)
-    return h[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        return h, np.empty(0, bool), np.empty(0, np.uint8)
+    count = np.diff(np.append(first, len(h)))
+    return h[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first), np.minimum(count, 255).astype(np.uint8)
 
 
-_CENSUS = "bucket int, slice int, hashes binary, several binary"
+_CENSUS = "bucket int, slice int, hashes binary, several binary, counts binary"
 
 
 def _census(kind: Kind, buckets: int, owners: Callable):
@@ -165,7 +187,7 @@ def _census(kind: Kind, buckets: int, owners: Callable):
             found.append(runs.hash)
             owner.append(owners(doc, runs, seen))
             seen += len(runs.hash)
-        h, several = _least_and_most(np.concatenate(found), np.concatenate(owner))
+        h, several, counts = _summed(np.concatenate(found), np.concatenate(owner))
         bucket = _bucket(h, buckets)
         order = np.argsort(bucket, kind="stable")
         rows = list(_packed(order, bucket[order]))
@@ -175,23 +197,46 @@ def _census(kind: Kind, buckets: int, owners: Callable):
                 "slice": pa.array([key[0].as_py()] * len(rows), pa.int32()),
                 "hashes": pa.array([h[x].tobytes() for _, x in rows], pa.binary()),
                 "several": pa.array([np.packbits(several[x]).tobytes() for _, x in rows], pa.binary()),
+                "counts": pa.array([counts[x].tobytes() for _, x in rows], pa.binary()),
             }
         )
 
     return run
 
 
-def _repeated(key: tuple, table: pa.Table) -> pa.Table:
+_REPEATED = "slice int, hashes binary, hot binary"
+
+
+def _bits(packed: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(packed, sizes)] or [np.empty(0, np.uint8)]).astype(bool)
+
+
+def _repeated(most: int):
+    """Which anchors of each slice are worth sending, and which of these have over `most` stretches."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        several = _bits(table.column("several").to_pylist(), list(map(len, hashes)))
+        _, place, slices_ = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        total = np.bincount(place, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8))
+        known, hot = several | (slices_[place] > 1), total[place] > most
+        at, out = 0, []
+        for x in hashes:
+            own = known[at : at + len(x)]
+            out.append((x[own].tobytes(), np.packbits(hot[at : at + len(x)][own]).tobytes()))
+            at += len(x)
+        return pa.table({"slice": table.column("slice").combine_chunks(), "hashes": pa.array([x for x, _ in out], pa.binary()), "hot": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
+def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's anchors worth sending, ascending, and whether each is hot."""
     hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(table.column("several").to_pylist(), hashes)]
-    h = np.concatenate(hashes)
-    _, place, count = np.unique(h, return_inverse=True, return_counts=True)
-    known = np.concatenate(several) | (count[place] > 1)
-    at, out = 0, []
-    for x in hashes:
-        out.append(x[known[at : at + len(x)]].tobytes())
-        at += len(x)
-    return pa.table({"slice": table.column("slice").combine_chunks(), "hashes": pa.array(out, pa.binary())})
+    hot = _bits(table.column("hot").to_pylist(), list(map(len, hashes)))
+    h = np.concatenate([np.empty(0, np.uint64), *hashes])
+    order = np.argsort(h)
+    return h[order], hot[order]
 
 
 def digest(content: bytes) -> bytes:
@@ -202,22 +247,31 @@ _STRETCHES = "bucket int, slice int, contents binary, sizes binary, known binary
 
 
 def _send(kind: Kind, buckets: int, learn: Callable, fields: int):
-    """learn(known, doc, runs, at): `fields` integers of stretch `at`, joined to those of an equal stretch."""
+    """learn(doc, runs, at): `fields` integers of each stretch `at`, joined to those of an equal stretch."""
 
     def run(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = np.unique(np.concatenate([np.empty(0, np.uint64)] + [np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]))
+        wanted, hot = _told(right)
         met: dict[bytes, list[int]] = {}
         home: list[int] = []
+
+        def meet(x: bytes, bucket: int, known: list[int]) -> None:
+            have = met.get(x)
+            if have is None:
+                met[x] = known
+                home.append(bucket)
+            else:
+                kind_join(have, known)
+
         for doc, _, runs in pieces(kind, table.column("doc_id"), table.column("text")):
             at = np.flatnonzero(np.isin(runs.hash, wanted))
+            warm = hot[np.searchsorted(wanted, runs.hash[at])] if len(at) else np.empty(0, bool)
             bucket = _bucket(runs.hash[at], buckets).tolist()
-            for x, b, known in zip(runs.contents(at), bucket, learn(doc, runs, at)):
-                have = met.get(x)
-                if have is None:
-                    met[x] = known
-                    home.append(b)
+            for x, b, known, cut in zip(runs.contents(at), bucket, learn(doc, runs, at), warm.tolist()):
+                if cut:
+                    for k, window in enumerate(kind.split(x)):
+                        meet(window, int.from_bytes(digest(window)[:7], "little") % buckets, _single(kind, known, k))
                 else:
-                    kind_join(have, known)
+                    meet(x, b, known)
         contents, known = list(met), np.array(list(met.values()), np.int64).reshape(-1, fields)
         bucket = np.array(home, np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -237,6 +291,11 @@ def _send(kind: Kind, buckets: int, learn: Callable, fields: int):
     return run
 
 
+def _single(kind: Kind, known: list[int], k: int) -> list[int]:
+    """What is known of window k of a stretch."""
+    return list(known) if isinstance(kind, Words) else [known[0] - k, 1, known[2]]
+
+
 def _join_words(have: list[int], known: list[int]) -> None:
     have[0], have[1] = min(have[0], known[0]), max(have[1], known[1])
 
@@ -247,7 +306,7 @@ def _join_bytes(have: list[int], known: list[int]) -> None:
 
 _JOIN = {Words: _join_words, Bytes: _join_bytes}
 
-_VERDICTS = "slice int, digests binary, sizes binary, verdicts binary"
+_VERDICTS = "slice int, digests binary, sizes binary, verdicts binary, hot binary"
 
 
 def _judge(solve: Callable, fields: int):
@@ -270,6 +329,7 @@ def _judge(solve: Callable, fields: int):
                 "digests": pa.array([b"".join(d for d, _ in x) for x in out], pa.binary()),
                 "sizes": pa.array([np.array([len(v) for _, v in x], np.int32).tobytes() for x in out], pa.binary()),
                 "verdicts": pa.array([b"".join(v for _, v in x) for x in out], pa.binary()),
+                "hot": pa.array([b""] * len(out), pa.binary()),
             }
         )
 
@@ -284,24 +344,42 @@ def verdicts_of(table: pa.Table) -> dict[bytes, bytes]:
     return found
 
 
-def judged(docs: DataFrame, kind: Kind, owners: Callable, learn: Callable, fields: int, solve: Callable, apply: Callable, schema: str, slice_bytes: int) -> DataFrame:
-    """apply(ids, texts, runs, verdicts) -> a table of `schema` for each piece, over all documents."""
+def run_verdicts(kind: Kind, runs: Runs, verdict: dict[bytes, bytes], hot: np.ndarray) -> list[bytes | None]:
+    """The verdict of each stretch; those of hot anchors are put together from their windows'."""
+    if not verdict:
+        return [None] * len(runs.hash)
+    contents = runs.contents(np.arange(len(runs.hash)))
+    found = list(map(verdict.get, map(digest, contents)))
+    for k in np.flatnonzero(np.isin(runs.hash, hot)).tolist() if len(hot) else ():
+        windows = list(map(verdict.get, map(digest, kind.split(contents[k]))))
+        found[k] = kind.combined(windows) if any(v is not None for v in windows) else None
+    return found
+
+
+def judged(docs: DataFrame, kind: Kind, owners: Callable, learn: Callable, fields: int, solve: Callable, apply: Callable, schema: str, slice_bytes: int, hot: int) -> DataFrame:
+    """apply(ids, ids as numbers, texts, runs, verdicts) -> a table of `schema` for each piece, over all documents.
+    hot: stretches of one anchor, from which on they are cut into windows."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // slice_bytes))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("slice"), "doc_id", text.alias("text"))
     by_slice = dealt.groupBy("slice")
     census = by_slice.applyInArrow(_census(kind, n, owners), _CENSUS)
-    repeated = census.groupBy("bucket").applyInArrow(_repeated, "slice int, hashes binary")
+    repeated = census.groupBy("bucket").applyInArrow(_repeated(hot), _REPEATED)
     sent = by_slice.cogroup(repeated.groupBy("slice")).applyInArrow(_send(kind, n, learn, fields), _STRETCHES)
     verdicts = sent.groupBy("bucket").applyInArrow(_judge(solve, fields), _VERDICTS)
+    none = F.lit(b"")
+    warm = repeated.where(F.hex("hot").rlike("[1-9A-F]")).select("slice", F.col("hashes").alias("digests"), none.alias("sizes"), none.alias("verdicts"), "hot")
 
     def finish(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
-        verdict, out = verdicts_of(right), []
-        at = 0
+        hot_rows = pa.compute.greater(pa.compute.binary_length(right.column("hot")), 0)
+        told = right.filter(hot_rows)
+        h, is_hot = _told(told.select(["digests", "hot"]).rename_columns(["hashes", "hot"]))
+        verdict, out, at = verdicts_of(right.filter(pa.compute.invert(hot_rows))), [], 0
         for doc, texts, runs in pieces(kind, table.column("doc_id"), table.column("text")):
-            out.append(apply(table.column("doc_id").slice(at, len(doc)), doc, texts, runs, verdict))
+            found = run_verdicts(kind, runs, verdict, h[is_hot])
+            out.append(apply(table.column("doc_id").slice(at, len(doc)), doc, texts, runs, found))
             at += len(doc)
         return pa.concat_tables(out) if out else None
 
-    return by_slice.cogroup(verdicts.groupBy("slice")).applyInArrow(finish, schema)
+    return by_slice.cogroup(verdicts.unionByName(warm).groupBy("slice")).applyInArrow(finish, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import powers
-from .repeats import Bytes, Runs, digest, judged
+from .repeats import Bytes, Runs, judged
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -193,17 +193,15 @@ def _owners(doc: np.ndarray, runs: Runs, seen: int) -> np.ndarray:
 
 
 def _apply(kind: Bytes, keep_text: bool):
-    def apply(ids, doc, texts, runs, verdict) -> pa.Table:
+    def apply(ids, doc, texts, runs, found) -> pa.Table:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.cumsum(size + 1) - size - 1
         change = np.zeros(len(runs.raw) + 1, np.int32)
-        if verdict:
-            found = list(map(verdict.get, map(digest, runs.contents(np.arange(len(runs.hash))))))
-            for k, v in enumerate(found):
-                if v is not None:
-                    hit = np.flatnonzero(np.unpackbits(np.frombuffer(v, np.uint8), count=int(runs.windows[k]))) + int(runs.begin[k])
-                    change[hit] += 1
-                    change[hit + kind.window] -= 1
+        for k, v in enumerate(found):
+            if v is not None:
+                hit = np.flatnonzero(np.unpackbits(np.frombuffer(v, np.uint8), count=int(runs.windows[k]))) + int(runs.begin[k])
+                change[hit] += 1
+                change[hit + kind.window] -= 1
         gone = np.cumsum(change[:-1]) > 0
         edges = np.flatnonzero(gone[1:] & ~gone[:-1]) + 1
         if len(gone) and gone[0]:
@@ -222,7 +220,7 @@ def _apply(kind: Bytes, keep_text: bool):
     return apply
 
 
-def repeated_bytes_removed(docs: DataFrame, kind: Bytes = Bytes(), keep_text: bool = False, slice_bytes: int = 8 << 20) -> DataFrame:
+def repeated_bytes_removed(docs: DataFrame, kind: Bytes = Bytes(), keep_text: bool = False, slice_bytes: int = 8 << 20, hot: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; with keep_text, also the kept bytes."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return judged(docs, kind, _owners, _learn, 3, _solve(kind.window), _apply(kind, keep_text), schema, slice_bytes)
+    return judged(docs, kind, _owners, _learn, 3, _solve(kind.window), _apply(kind, keep_text), schema, slice_bytes, hot)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Runs, Words, digest, judged
+from .repeats import Runs, Words, judged
 
 
 def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int, limit: int, at: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -86,12 +86,9 @@ def _learn(doc: np.ndarray, runs: Runs, at: np.ndarray):
     return [[x, x] for x in doc[runs.text[at]].tolist()]
 
 
-def _covered(kind: Words, doc: np.ndarray, texts: list[bytes], runs: Runs, verdict: dict[bytes, bytes]) -> dict[int, np.ndarray]:
+def _covered(kind: Words, doc: np.ndarray, texts: list[bytes], runs: Runs, found: list[bytes | None]) -> dict[int, np.ndarray]:
     """For texts that lose words, whether each word stays."""
     out: dict[int, np.ndarray] = {}
-    if not verdict:
-        return out
-    found = list(map(verdict.get, map(digest, runs.contents(np.arange(len(runs.hash))))))
     hit = [k for k, v in enumerate(found) if v is not None]
     if not hit:
         return out
@@ -115,8 +112,8 @@ def _covered(kind: Words, doc: np.ndarray, texts: list[bytes], runs: Runs, verdi
 
 
 def _apply(kind: Words, keep_text: bool):
-    def apply(ids, doc, texts, runs, verdict) -> pa.Table:
-        kept = _covered(kind, doc, texts, runs, verdict)
+    def apply(ids, doc, texts, runs, found) -> pa.Table:
+        kept = _covered(kind, doc, texts, runs, found)
         n_words, n_removed, out = [], [], []
         for k, x in enumerate(texts):
             n = x.count(b" ") + 1 if x else 0
@@ -137,7 +134,7 @@ def _owners(doc: np.ndarray, runs: Runs, seen: int) -> np.ndarray:
     return doc[runs.text]
 
 
-def repeated_words_removed(docs: DataFrame, kind: Words = Words(), keep_text: bool = False, slice_bytes: int = 8 << 20, limit: int = 1 << 18) -> DataFrame:
+def repeated_words_removed(docs: DataFrame, kind: Words = Words(), keep_text: bool = False, slice_bytes: int = 8 << 20, limit: int = 1 << 18, hot: int = 4096) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document; with keep_text, also the kept words."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return judged(docs, kind, _owners, _learn, 2, _solve(kind.window, limit), _apply(kind, keep_text), schema, slice_bytes)
+    return judged(docs, kind, _owners, _learn, 2, _solve(kind.window, limit), _apply(kind, keep_text), schema, slice_bytes, hot)

@@ -154,11 +154,13 @@ def ag11_record_rank(spark, d):
     return y.select("year", "n", r6(F.col("n") / F.avg("n").over(Window.partitionBy(F.lit(0)))).alias("ratio"), F.rank().over(Window.orderBy(F.desc("n"))).cast("long").alias("rank"))
 
 
-@query(f"WITH {SCENE} SELECT rel_orbit, mode(gap) AS repeat, max(day) AS newest FROM (SELECT rel_orbit, day, date_diff('day', lag(day) OVER (PARTITION BY rel_orbit ORDER BY day, scene_id), day) AS gap FROM scene) GROUP BY rel_orbit")
+@query(f"WITH {SCENE}, g AS (SELECT rel_orbit, day, date_diff('day', lag(day) OVER (PARTITION BY rel_orbit ORDER BY day, scene_id), day) AS gap FROM scene), n AS (SELECT rel_orbit, gap, count(*) AS n, max(day) AS newest FROM g GROUP BY rel_orbit, gap) SELECT rel_orbit, arg_max(gap, (n, -gap)) AS repeat, max(newest) AS newest FROM n WHERE gap IS NOT NULL GROUP BY rel_orbit")
 def su33_repeat_interval(spark, d):
+    """The commonest gap between passes, the shortest among equals."""
     w = Window.partitionBy("rel_orbit").orderBy("day", "scene_id")
     g = adapter(spark, d, "scene").select("rel_orbit", "day", F.datediff("day", F.lag("day").over(w)).cast("long").alias("gap"))
-    return g.groupBy("rel_orbit").agg(F.mode("gap").alias("repeat"), F.max("day").alias("newest"))
+    n = g.where("gap IS NOT NULL").groupBy("rel_orbit", "gap").agg(F.count("*").alias("n"), F.max("day").alias("newest"))
+    return n.groupBy("rel_orbit").agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("repeat"), F.max("newest").alias("newest"))
 
 
 @query(f"WITH {OBS}, v AS (SELECT r, c, avg(tir) AS v FROM obs GROUP BY r, c), f AS (SELECT DISTINCT r, c FROM obs), g AS (SELECT f.r AS r, f.c AS c, floor(f.r * 10 / 20)::int AS sr, floor(f.c * 10 / 20)::int AS sc FROM f) SELECT g.r AS r, g.c AS c, round(v, 6) AS v FROM g JOIN v ON v.r = g.sr AND v.c = g.sc")

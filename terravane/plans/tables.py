@@ -143,10 +143,12 @@ def ag12_area_ranking(spark, d):
     return n.select("country", "w", "n", r6(100 * F.col("n") / F.sum("n").over(w)).alias("pct"), F.rank().over(w.orderBy(F.desc("n"))).cast("long").alias("rank"))
 
 
-@query(f"WITH {OBS} SELECT mode(k) AS modal, max(k) - min(k) AS spread FROM (SELECT scene_id, count(*) AS k FROM obs GROUP BY scene_id)")
+@query(f"WITH {OBS}, k AS (SELECT scene_id, count(*) AS k FROM obs GROUP BY scene_id), n AS (SELECT k, count(*) AS n FROM k GROUP BY k) SELECT arg_max(k, (n, -k)) AS modal, max(k) - min(k) AS spread FROM n")
 def ag31_modal_size(spark, d):
+    """The commonest size, the smallest among equals."""
     k = adapter(spark, d, "obs").groupBy("scene_id").agg(F.count("*").alias("k"))
-    return k.agg(F.mode("k", True).alias("modal"), (F.max("k") - F.min("k")).alias("spread"))
+    n = k.groupBy("k").agg(F.count("*").alias("n"))
+    return n.agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("modal"), (F.max("k") - F.min("k")).alias("spread"))
 
 
 @query(f"WITH {POINT} SELECT round(quantile_cont(lon, 0.01), 6) AS w, round(quantile_cont(lon, 0.99), 6) AS e, round(quantile_cont(lat, 0.01), 6) AS s, round(quantile_cont(lat, 0.99), 6) AS n FROM point WHERE conf >= 60")

@@ -232,9 +232,9 @@ def without_repeated_words(rows, n=13):
         yield r[0], len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
 
 
-@pytest.mark.parametrize(("slice_bytes", "limit"), [(8 << 20, 1 << 18), (2000, 3)])
-def test_repeated_words(docs, rows, slice_bytes, limit):
-    assert multiset(repeated_words_removed(docs, slice_bytes=slice_bytes, limit=limit)) == collections.Counter(without_repeated_words(rows))
+@pytest.mark.parametrize(("slice_bytes", "limit", "hot"), [(8 << 20, 1 << 18, 4096), (2000, 3, 4096), (2000, 50, 4)])
+def test_repeated_words(docs, rows, slice_bytes, limit, hot):
+    assert multiset(repeated_words_removed(docs, slice_bytes=slice_bytes, limit=limit, hot=hot)) == collections.Counter(without_repeated_words(rows))
 
 
 def without_repeated_bytes(rows, n=200):
@@ -249,9 +249,9 @@ def without_repeated_bytes(rows, n=200):
         yield r[0], len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize("slice_bytes", [8 << 20, 2000])
-def test_repeated_bytes(spark, docs, rows, slice_bytes):
-    assert multiset(repeated_bytes_removed(docs, slice_bytes=slice_bytes)) == collections.Counter(without_repeated_bytes(rows))
+@pytest.mark.parametrize(("slice_bytes", "hot"), [(8 << 20, 4096), (2000, 4096), (2000, 4)])
+def test_repeated_bytes(spark, docs, rows, slice_bytes, hot):
+    assert multiset(repeated_bytes_removed(docs, slice_bytes=slice_bytes, hot=hot)) == collections.Counter(without_repeated_bytes(rows))
     assert repeated_bytes_removed(docs.limit(0)).count() == repeated_words_removed(docs.limit(0)).count() == 0
 
 

@@ -8,8 +8,11 @@ again until none changes; a layer, or a compressed payload, whose digest was see
 again, which ends cycles. Each character of a layer carries the span of the original text it came from,
 so that what is found at any depth is reported there. Only spans that touch decoded characters are added.
 
-Defined results: a null text counts as empty and has no spans; repeated rows get equal results; a payload
-of over `max_payload` bytes, or one that is broken, stays as it is. Extra columns are kept by `redacted`.
+Base64 is read line by line and joined over line breaks, at each of the four alignments and, for compressed payloads, from
+each delimiter; bytes that are no plain text, UTF-16 among them, are read byte by byte where they hold a secret's mark or another encoding.
+
+Defined results: a null text counts as empty and has no spans; repeated rows get equal results; a compressed payload
+of over `max_payload` bytes is scanned in overlapping pieces, and further compression within it stays closed; one that is broken stays as it is. Extra columns are kept by `redacted`.
 """
 
 from __future__ import annotations
@@ -37,10 +40,17 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)*={0,2}")
+_DELIMITER = re.compile(r"[/_+-]")
+#: What makes bytes that aren't plain text worth opening: a secret's mark or another encoding.
+_WORTH = re.compile(rb"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|[a-z0-9+/_-]{16}", re.I)
+_WIDE = re.compile(rb"(?:[\t\n\r -~]\0){8}|(?:\0[\t\n\r -~]){8}")
 _URL_SAFE = str.maketrans("-_", "+/")
 
-#: Bytes of a decompressed payload that is still opened.
+#: Bytes of a decompressed payload that is still opened as a whole.
 MAX_PAYLOAD = 16 << 20
+#: Larger ones are scanned in pieces.
+_PIECE, _OVERLAP = 1 << 20, 1 << 12
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -58,23 +68,62 @@ def base_spans(text: str) -> Iterator[Span]:
         yield m.start(), 2, m.end()
 
 
+def _opener(data: bytes):
+    """A decompressor for data by its first bytes; None if they are of no known format."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if data[:1] == b"\x78" and len(data) > 5 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    return None
+
+
+def _blocks(data: bytes, most: int) -> Iterator[bytes]:
+    """One compressed layer in blocks of up to `most` bytes, all of its members; raises if one of them is broken."""
+    while (opener := _opener(data)) is not None:
+        while not opener.eof:
+            block = opener.decompress(data, most)
+            data = opener.unconsumed_tail if hasattr(opener, "unconsumed_tail") else b""
+            if block:
+                yield block
+            elif not opener.eof:
+                raise EOFError
+        data = opener.unused_data.lstrip(b"\0")
+
+
+_BROKEN = (OSError, zlib.error, lzma.LZMAError, EOFError, ValueError)
+
+
 def _inflate(data: bytes, most: int) -> bytes | None:
     """One compressed layer opened; None if data isn't compressed, is broken or too large."""
+    out, size = [], 0
     try:
-        if data[:2] == b"\x1f\x8b":
-            opener = zlib.decompressobj(31)
-        elif data[:3] == b"BZh":
-            opener = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            opener = lzma.LZMADecompressor()
-        elif data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2], "big") % 31 == 0:
-            opener = zlib.decompressobj()
-        else:
-            return None
-        out = opener.decompress(data, most + 1)
-        return out if len(out) <= most and opener.eof else None
-    except (OSError, zlib.error, lzma.LZMAError, EOFError, ValueError):
+        for block in _blocks(data, most + 1):
+            out.append(block)
+            size += len(block)
+            if size > most:
+                return None
+    except _BROKEN:
+        return None
+    return b"".join(out) if out else None
+
+
+def _large(data: bytes, most: int) -> str | None:
+    """The secrets of a compressed layer of over `most` bytes, one a line, from pieces that overlap; None
+    if it is broken or smaller."""
+    found, tail, size = set(), "", 0
+    try:
+        for block in _blocks(data, min(most, _PIECE)):
+            size += len(block)
+            text = tail + block.decode("latin-1")
+            found.update(text[a:b] for a, _, b in {*base_spans(text), *decoded_spans(text, most)})
+            tail = text[-_OVERLAP:]
+    except _BROKEN:
         return None
+    return "\n".join(sorted(found)) if size > most else None
 
 
 def _text(data: bytes) -> str | None:
@@ -132,7 +181,65 @@ def _base64(m: re.Match, most: int) -> list[tuple[str, int, int]] | None:
     return None
 
 
-DECODERS = ((_PERCENT, _percent), (_ESCAPE, _escape), (_BASE64, _base64))
+def _unpadded(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _views(data: bytes) -> Iterator[list[tuple[str, int]]]:
+    """Characters of data with their places, a byte each: as they are, and without the zeros of UTF-16."""
+    if _WORTH.search(data):
+        yield list(zip(data.decode("latin-1"), range(len(data))))
+    if _WIDE.search(data):
+        yield [(chr(c), k) for k, c in enumerate(data) if c]
+
+
+def _loose(m: re.Match, most: int) -> list[tuple[str, int, int]] | None:
+    """What the strict base64 decoder leaves: payloads wrapped over lines, those after or before other characters of the
+    alphabet, and bytes that are no plain text. All readings stand in place of the run, one a line."""
+    lines = m[0].count("\n")
+    if not lines and _base64(m, most):
+        return None
+    at = [k for k, c in enumerate(m[0], m.start()) if c not in " \t\r\n>="]
+    begins = [0] + [k for k in range(1, len(at)) if at[k] != at[k - 1] + 1]
+    body = "".join(m.string[k] for k in at)
+    starts = {*begins, *(d.end() for d in _DELIMITER.finditer(body))}
+    body, out = body.translate(_URL_SAFE), []
+
+    def spread(chars, k):
+        return [(c, at[k + j * 4 // 3], at[min(k - (-(j + 1) * 4 // 3), len(at)) - 1] + 1) for c, j in chars]
+
+    data = _unpadded(body)
+    plain = _text(data) if lines else None
+    if plain is not None:
+        ends = np.cumsum([len(c.encode()) for c in plain]).tolist()
+        return [(c, at[a * 4 // 3], at[min(-(-b * 4 // 3), len(at)) - 1] + 1) for c, a, b in zip(plain, [0, *ends], ends)]
+    packed = len(body)  # where the first compressed payload starts
+    for k in sorted(starts):
+        if _opener(_unpadded(body[k : k + 12])) is None:
+            continue
+        data, seen = _unpadded(body[k:]), set()
+        while _opener(data) is not None:
+            opened = _inflate(data, most)
+            if opened is None:
+                found = _large(data, most)
+                packed = min(packed, k) if found is not None else packed
+                out += [(c, m.start(), m.end()) for c in (found or "") + "\n"]
+                break
+            if (digest := hashlib.sha256(opened).digest()) in seen:
+                break
+            seen.add(digest)
+            packed = min(packed, k)
+            data, plain = opened, _text(opened)
+            for chars in [zip(plain, plain)] if plain is not None else _views(opened):
+                out += [(c, m.start(), m.end()) for c, _ in chars] + [("\n", m.start(), m.end())]
+    for k in range(4):  # whatever stands before a payload, one of these is in step with it
+        for chars in _views(_unpadded(body[k:packed])):
+            out += [*spread(chars, k), ("\n", m.start(), m.start() + 1)]
+    return out if any(c != "\n" for c, _, _ in out) else None
+
+
+DECODERS = ((_PERCENT, _percent), (_ESCAPE, _escape), (_BASE64, _base64), (_WRAPPED, _loose))
 
 
 class Layer:
@@ -167,7 +274,7 @@ class Layer:
 
 def decoded_spans(text: str, most: int = MAX_PAYLOAD) -> set[Span]:
     """Spans of the original text that hold a secret at some depth of decoding."""
-    if not (_PERCENT.search(text) or _ESCAPE.search(text)) and not any(_base64(m, most) for m in _BASE64.finditer(text)):
+    if not (_PERCENT.search(text) or _ESCAPE.search(text)) and not any(decode(m, most) for pattern, decode in DECODERS[2:] for m in pattern.finditer(text)):
         return set()
     n = np.arange(len(text))
     work, seen, found = [Layer(text, n, n + 1, np.zeros(len(n), bool))], {hashlib.sha256(text.encode()).digest()}, set()

@@ -1,0 +1,70 @@
+"""Base64 payloads that are wrapped, out of step, no plain text, in several members, or large."""
+
+from __future__ import annotations
+
+import base64
+import bz2
+import gzip
+import lzma
+import random
+import textwrap
+import zlib
+
+import pytest
+
+from terravane.llm.secrets import decoded_spans
+
+SECRET = 'password = "hunter2Secret99"'
+NOISE = random.Random(3).randbytes(300).hex()[:400].replace("a", "é")
+
+
+def b64(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+def wrapped(data: bytes, columns: int, end: str = "\n") -> str:
+    return end.join(textwrap.wrap(b64(data), columns))
+
+
+LONG = ("é " + NOISE[:150] + " " + SECRET + " " + NOISE[150:300]).encode()
+PLANTED = {
+    "gzip at 64 columns": wrapped(gzip.compress(LONG), 64),
+    "xz at 76 columns": wrapped(lzma.compress(LONG), 76, "\r\n"),
+    "plain at 64 columns": wrapped(b"x" * 40 + SECRET.encode() + b"y" * 90, 64),
+    "wrapped after a long word": "characteristically\n" + wrapped(gzip.compress(LONG), 64),
+    "after a slash": "path/" + b64(SECRET.encode()),
+    "after a dash": "id-" + b64(SECRET.encode()),
+    "after an underscore": "my_" + b64(gzip.compress(LONG)),
+    "before a slash": b64(SECRET.encode()).rstrip("=") + "/path",
+    "utf-16": b64(SECRET.encode("utf-16-le")),
+    "utf-16 big-endian": b64(SECRET.encode("utf-16-be")),
+    "one zero byte": b64(b"\0" + SECRET.encode()),
+    "invalid bytes": b64(b"\xff\xfe\x01\x02" + SECRET.encode() + b"\x80\x03"),
+    "compressed binary": b64(zlib.compress(b"\x00\xff\x01" + SECRET.encode() + b"\x00")),
+    "second gzip member": b64(gzip.compress(b"first") + gzip.compress(SECRET.encode())),
+    "second bzip2 member": b64(bz2.compress(b"first") + bz2.compress(SECRET.encode())),
+    "second xz member": b64(lzma.compress(b"first") + lzma.compress(SECRET.encode())),
+}
+
+
+@pytest.mark.parametrize("kind", PLANTED)
+def test_payload_is_opened(kind):
+    text = f"see {PLANTED[kind]} end"
+    spans = decoded_spans(text)
+    assert any(k == 0 for _, k, _ in spans)
+    assert all(4 <= a < b <= len(text) - 4 for a, _, b in spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_large_payload_is_scanned_in_pieces(pack):
+    data = b"plain words " * 500
+    hidden = b64(pack(data * 30 + SECRET.encode() + data * 30))
+    assert {k for _, k, _ in decoded_spans(f"see {hidden} end", 50_000)} == {0}
+    assert not decoded_spans(f"see {b64(pack(data * 60))} end", 50_000)
+
+
+def test_words_and_noise_hold_nothing():
+    rng = random.Random(1)
+    for _ in range(100):
+        text = " ".join(["characteristically", "path/to/some/long/file_name-01", b64(rng.randbytes(200)), "internationalization\nnext"])
+        assert not decoded_spans(text)

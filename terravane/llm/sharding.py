@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. Each group of them is a node, cut into chunks of bounded size
 when it is large, and the state is a table of how many of a node's documents each shard holds. Every round
-joins nodes to the shard where most of their neighbours are and moves them there as far as that shard's quota
-has room, the largest gains first; the state is a written table after each round. Documents without links then fill
+joins nodes to the shard where most of their neighbours are, among those with room for the node, and moves them there as
+far as that shard's quota has room, the largest gains first, until no move is granted; the state is a written table after each round. Documents without links then fill
 what is left of the quotas, so shard sizes differ by one row at most (law `rows`).
 
 Ranks over all rows come from counts of hash buckets and windows within one bucket, so no task ever
@@ -26,10 +26,11 @@ from .common import shared_folder, written
 
 @dataclass(frozen=True)
 class ShardRules:
-    """chunk_rows: a group's documents in one node, about; bucket_rows: rows of one ranking window, about."""
+    """chunk_rows: a group's documents in one node, about, and an eighth of a quota at most; rounds: of moves, at most;
+    bucket_rows: rows of one ranking window, about."""
 
     shards: int = 16
-    rounds: int = 5
+    rounds: int = 30
     chunk_rows: int = 20_000
     bucket_rows: int = 2_000
     gains: int = 32
@@ -56,19 +57,29 @@ def propagate(state: DataFrame, quotas: list[int], rules: ShardRules) -> DataFra
     """state (grp, chunk, shard, n) after the rounds of moves. quotas: rows that each shard may hold."""
     spark = state.sparkSession
     state = written(state)
-    for _ in range(rules.rounds):
+    for k in range(rules.rounds):
         held = {r.shard: r.held for r in state.groupBy("shard").agg(F.sum("n").alias("held")).collect()}
         room = spark.createDataFrame([(k, max(0, q - held.get(k, 0))) for k, q in enumerate(quotas)], "target int, room long")
-        whole = state.groupBy("grp", "shard").agg(F.sum("n").alias("near"))
-        seen = state.join(whole, ["grp", "shard"])
-        best = seen.groupBy("grp", "chunk").agg(F.max(F.struct("n", "near", (-F.col("shard")).alias("minus"))).alias("best"))
-        best = best.select("grp", "chunk", (-F.col("best.minus")).cast("int").alias("target"), F.col("best.n").alias("most"))
-        cell = F.pmod(F.xxhash64("grp", "chunk"), F.lit(rules.cells)).cast("int")
-        moves = state.join(best, ["grp", "chunk"]).withColumn("gain", F.least(F.col("most"), F.lit(rules.gains))).withColumn("cell", cell)
+        # nodes go where most of their group is, among the shards that hold it and have room for what is elsewhere
+        whole = written(state.groupBy("grp", "shard").agg(F.sum("n").alias("near")), shared_folder(spark))
+        sizes = written(state.groupBy("grp", "chunk").agg(F.sum("n").alias("total")), shared_folder(spark))
+        own = state.select("grp", "chunk", F.col("shard").alias("target"), F.col("n").alias("own"))
+        seen = sizes.join(whole.withColumnRenamed("shard", "target"), "grp").join(own, ["grp", "chunk", "target"], "left").join(F.broadcast(room), "target")
+        seen = seen.withColumn("own", F.coalesce("own", F.lit(0))).where("total - own <= room")
+        best = seen.groupBy("grp", "chunk").agg(F.max(F.struct("near", "own", (-F.col("target")).alias("minus"))).alias("best"))
+        best = best.select("grp", "chunk", (-F.col("best.minus")).cast("int").alias("target"), F.col("best.near").alias("most"))
+        cell = F.pmod(F.xxhash64("grp", "chunk", F.lit(k)), F.lit(rules.cells << min(k, 3))).cast("int")
+        moves = state.join(best, ["grp", "chunk"], "left").withColumn("gain", F.least(F.col("most"), F.lit(rules.gains))).withColumn("cell", cell)
+        moves = written(moves, shared_folder(spark))
         asked = moves.where("shard != target").groupBy("target", "gain", "cell").agg(F.sum("n").alias("asked"))
         order = Window.partitionBy("target").orderBy(F.desc("gain"), "cell")
-        # at most shards * gains * cells rows
-        granted = asked.withColumn("sum", F.sum("asked").over(order)).join(F.broadcast(room), "target").where("sum <= room").select("target", "gain", "cell", F.lit(True).alias("granted"))
+        # at most 8 * shards * gains * cells rows; a cell that doesn't fit by itself holds up no other
+        fits = asked.join(F.broadcast(room), "target").where("asked <= room").withColumn("sum", F.sum("asked").over(order)).where("sum <= room")
+        granted = written(fits.select("target", "gain", "cell", F.lit(True).alias("granted")), shared_folder(spark))
+        if granted.isEmpty():
+            if k >= 3:  # cells are as fine as they get
+                break
+            continue
         moved = moves.join(F.broadcast(granted), ["target", "gain", "cell"], "left")
         state = moved.select("grp", "chunk", F.when(F.col("granted"), F.col("target")).otherwise(F.col("shard")).alias("shard"), "n").groupBy("grp", "chunk", "shard").agg(F.sum("n").alias("n"))
         state = written(state)
@@ -86,7 +97,8 @@ def sharded(docs: DataFrame, rules: ShardRules = ShardRules()) -> DataFrame:
     # as a table, so that the join stands on two plain exchanges and Spark can split a large group
     groups = written(rows.groupBy("grp").agg(F.count("*").alias("copies")).where("copies > 1"), shared_folder(spark))
     joined = rows.join(groups, "grp", "left")
-    chunks = F.greatest(F.ceil(F.col("copies") / rules.chunk_rows), F.lit(1))
+    most = max(1, min(rules.chunk_rows, n // rules.shards // 8))
+    chunks = F.greatest(F.ceil(F.col("copies") / most), F.lit(1))
     linked = joined.where("copies IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(1)), chunks).cast("int")).drop("copies")
     linked = written(linked, shared_folder(spark))
     first = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(rules.shards)).cast("int")

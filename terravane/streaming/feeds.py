@@ -6,7 +6,6 @@ what its sink holds. Timestamps are cast from TIMESTAMP_NTZ, which watermarks re
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,16 +30,21 @@ def stream(spark: SparkSession, path: str, timestamp: str | None = None) -> Data
 
 
 def available(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all data there are and returns its result; append results are files in the
-    shared folder, complete ones a table in memory, which must be small, as windows are."""
+    """Runs a stream over all data there are and returns its result, from files in the shared folder: all that
+    was appended, or the complete result of the last batch."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").start(f"{folder}/out").awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{folder}/out")
-    name = f"feed_{uuid.uuid4().hex}"
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    last = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        last[:] = [number]
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out/{last[0]}") if last else spark.createDataFrame([], df.schema)
 
 
 def frames(feed: DataFrame, ts: str = "ts", width: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, Texts, slices
+from .common import _IS_SPACE, Texts, parts
 
 #: Fragments kept by each Python worker; beyond that the cache starts anew.
 CACHED = 200_000
@@ -166,12 +166,11 @@ def _encode(path: str, slice_bytes: int, keep: tuple[str, ...]):
     def run(batches):
         bpe = word_bpe(path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts], slice_bytes):
-                encoded = bpe.encode(texts[a:b])
+            for part in parts(batch, 1, slice_bytes):
+                encoded = bpe.encode(part.column(1).to_pylist())
                 decoded = [bpe.decode(x) for x in encoded]
                 columns = [
-                    ids.slice(a, b - a),
+                    part.column(0),
                     pa.array([len(x) // 4 for x in encoded], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
@@ -188,7 +187,7 @@ def _encode(path: str, slice_bytes: int, keep: tuple[str, ...]):
     return run
 
 
-def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = (), slice_bytes: int = 1 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = (), slice_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of each document. keep: which of ids
     and decoded (the text) to return as well. path: the tokenizer's file, on every executor."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)

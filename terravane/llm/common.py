@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder, written
 
-__all__ = ["SPACES", "Texts", "mixed", "powers", "shared_folder", "slices", "table", "window_hashes", "written"]
+__all__ = ["SPACES", "Texts", "mixed", "parts", "powers", "shared_folder", "slices", "table", "window_hashes", "written"]
 
 #: The six ASCII white-space bytes that end a word; bytes.split() uses the same six.
 SPACES = b" \t\n\v\f\r"
@@ -49,6 +51,14 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def parts(batch: pa.RecordBatch, at: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes in column `at` (one row at least), so that a worker never holds more than
+    these as Python objects, however large the batch is."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    for a, b in slices(lengths, most):
+        yield batch.slice(a, b - a)
+
+
 class Texts:
     """Several texts as one byte buffer, a space after each, with numpy views of their words.
 

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, slices, window_hashes
+from .common import Texts, parts, window_hashes
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -45,7 +46,7 @@ class QualityRules:
     target_rows: int = 20_000
     smoothing: float = 1.0
     threshold: float = -0.5
-    slice_bytes: int = 1 << 20
+    slice_bytes: int = 1 << 18
 
 
 def _buckets(t: Texts, rules: QualityRules) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +69,12 @@ def _count(rules: QualityRules):
         raw = np.zeros(rules.buckets, np.int64)
         target = np.zeros(rules.buckets, np.int64)
         for batch in batches:
-            texts, trusted = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            for a, b in slices([len(x) for x in texts], rules.slice_bytes):
-                t = Texts(texts[a:b])
+            for part in parts(batch, 0, rules.slice_bytes):
+                t, trusted = Texts(part.column(0).to_pylist()), np.array(part.column(1).to_pylist(), bool)
                 bucket, whole = _buckets(t, rules)
                 raw += np.bincount(bucket[whole], minlength=rules.buckets)
-                if trusted[a:b].any():
-                    whole &= np.repeat(trusted[a:b], t.lengths + 1)
+                if trusted.any():
+                    whole &= np.repeat(trusted, t.lengths + 1)
                     target += np.bincount(bucket[whole], minlength=rules.buckets)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
@@ -132,14 +132,14 @@ def _measure(rules: QualityRules, weights):
     def run(batches):
         w = weights.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts], rules.slice_bytes):
-                t = Texts(texts[a:b])
+            for part in parts(batch, 1, rules.slice_bytes):
+                texts = part.column(1).to_pylist()
+                t = Texts(texts)
                 t.words()
                 lead = (t.buf & 0xC0) != 0x80
                 spaces = t.per_text(np.isin(t.buf, np.frombuffer(b" \t\n\v\f\r", np.uint8)))
                 dup_lines = []
-                for x in texts[a:b]:
+                for x in texts:
                     lines = [line for line in x.split(b"\n") if line.strip()]
                     dup_lines.append(len(lines) - len(set(lines)))
                 bucket, whole = _buckets(t, rules)
@@ -150,7 +150,7 @@ def _measure(rules: QualityRules, weights):
                 kept = ~failed & (score >= math.floor(rules.threshold * _SCALE) * grams)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, b - a),
+                        part.column(0),
                         pa.array(t.n_words.astype(np.int64)),
                         pa.array(t.per_text(lead) - spaces),
                         pa.array(t.per_text(_SYMBOL[t.buf])),
@@ -178,10 +178,10 @@ def _filter(rules: QualityRules, weights, at: int):
 
     def run(batches):
         for batch in batches:
-            text = batch.column(at)
-            text = pa.array([b"" if x is None else x for x in text.cast(pa.binary()).to_pylist()], pa.binary())
-            judged = measure([pa.RecordBatch.from_arrays([pa.array(range(len(text))), text], ["doc_id", "text"])])
-            yield batch.filter(pa.concat_arrays([x.column("kept") for x in judged] or [pa.array([], pa.bool_())]))
+            for part in parts(batch, at, rules.slice_bytes):
+                text = pc.fill_null(part.column(at).cast(pa.binary()), b"")
+                judged = measure([pa.RecordBatch.from_arrays([pa.array(range(len(text))), text], ["doc_id", "text"])])
+                yield part.filter(pa.concat_arrays([x.column("kept") for x in judged] or [pa.array([], pa.bool_())]))
 
     return run
 

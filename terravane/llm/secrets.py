@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 # fixed values: the three kinds in their order, with their patterns and least lengths
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -296,17 +298,18 @@ def _listed(spans: list[Span]) -> str:
 def _scan(most: int):
     def run(batches):
         for batch in batches:
-            base, every = [], []
-            for x in batch.column(1).to_pylist():
-                own = sorted(base_spans(x))
-                base.append(own)
-                every.append(sorted({*own, *decoded_spans(x, most)}))
-            counts = [pa.array([sum(s[1] == k for s in own) for own in base], pa.int64()) for k in range(3)]
-            digests = [hashlib.sha256(_listed(own).encode()).hexdigest() for own in base]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(digests, pa.string()), pa.array(map(_listed, every), pa.string())],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-            )
+            for part in parts(batch, 1):
+                base, every = [], []
+                for x in part.column(1).to_pylist():
+                    own = sorted(base_spans(x))
+                    base.append(own)
+                    every.append(sorted({*own, *decoded_spans(x, most)}))
+                counts = [pa.array([sum(s[1] == k for s in own) for own in base], pa.int64()) for k in range(3)]
+                digests = [hashlib.sha256(_listed(own).encode()).hexdigest() for own in base]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *counts, pa.array(digests, pa.string()), pa.array(map(_listed, every), pa.string())],
+                    ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                )
 
     return run
 
@@ -330,12 +333,13 @@ def _redact(at: int, count: int | None, mask: str, most: int):
 
     def run(batches):
         for batch in batches:
-            texts = [cleaned(x) for x in batch.column(at).to_pylist()]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            if count is not None:
-                field = batch.schema.field(count)
-                batch = batch.set_column(count, field, pa.array([None if x is None else len(x) for x in texts], field.type))
-            yield batch
+            for part in parts(batch, at):
+                texts = [cleaned(x) for x in part.column(at).to_pylist()]
+                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                if count is not None:
+                    field = part.schema.field(count)
+                    part = part.set_column(count, field, pa.array([None if x is None else len(x) for x in texts], field.type))
+                yield part
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import shared_folder, written
+from .common import parts, shared_folder, written
 
 SEED = 42
 _LANES = np.uint64(0x0001000100010001)
@@ -67,10 +67,9 @@ def simhashes(texts: list[bytes], shingle: int = 3) -> np.ndarray:
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 500):
-                found = simhashes(texts[a : a + 500], shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(found)), pa.array(found)], ["doc_id", "fp"])
+            for part in parts(batch, 1, 1 << 20):
+                found = simhashes(part.column(1).to_pylist(), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "fp"])
 
     return run
 

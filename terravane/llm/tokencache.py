@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import shared_folder, written
+from .common import parts, shared_folder, written
 
 _CACHE = "digest binary, n_tokens long"
 #: Letters whose Unicode classes have long been fixed; other texts go to the tokenizers library itself.
@@ -67,8 +67,9 @@ def _encode(path: str):
     def run(batches):
         bpe = byte_bpe(path)
         for batch in batches:
-            counts = [bpe.count(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            for part in parts(batch, 1):
+                counts = [bpe.count(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return run
 

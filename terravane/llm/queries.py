@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoded
-from .common import shared_folder, table
+from .common import shared_folder, table, written
 from .media import image_copies
 from .mixing import mix
 from .quality import quality_report
@@ -21,7 +21,8 @@ from .tokencache import token_counts
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over images drawn from all embeddings, since no table holds images; see rendering.py."""
-    return image_copies(drawn(table(spark, sf_dir, "embeddings")), "image_id", "image")
+    images = written(drawn(table(spark, sf_dir, "embeddings")), shared_folder(spark))  # drawn once, read twice
+    return image_copies(images, "image_id", "image")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
@@ -28,6 +28,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return starred.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(starred.select("u", F.col("least").alias("v"))).distinct()
 
 
+def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """links as a written table, with their number and a sum of their hashes, both taken as they are written."""
+    seen = Observation()
+    table = written(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")))
+    return table, (seen.get["n"], seen.get["hashes"])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in links (u, v): root is the least node of its component.
 
@@ -36,13 +43,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     minimum, combined before the shuffle, and a join whose hot keys Spark can split.
     """
     links = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links, before = written(links), None
+    links, now = _counted(links)
     for _ in range(rounds):
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if not now[0]:
+            break
+        before = now
+        links, now = _counted(_small_star(_large_star(links)))
+        if now == before:
             break
-        before = state
-        links = written(_small_star(_large_star(links)))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))

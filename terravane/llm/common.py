@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import shared_folder, written
 
-__all__ = ["SPACES", "Texts", "mixed", "parts", "powers", "shared_folder", "slices", "table", "window_hashes", "written"]
+__all__ = ["SPACES", "Texts", "before_buckets", "mixed", "parts", "powers", "shared_folder", "slices", "table", "window_hashes", "written"]
 
 #: The six ASCII white-space bytes that end a word; bytes.split() uses the same six.
 SPACES = b" \t\n\v\f\r"
@@ -59,6 +60,21 @@ def parts(batch: pa.RecordBatch, at: int, most: int = 1 << 18) -> Iterator[pa.Re
         yield batch.slice(a, b - a)
 
 
+def before_buckets(sums: DataFrame, by: list[str], bucket: str, value: str, name: str) -> DataFrame:
+    """by, bucket and `name`: the sum of `value` over the earlier buckets of the same `by`. sums: one row a bucket, numbered below
+    2**24. Windows are over up to 4,096 buckets each, and over the sums of as many such ranges."""
+    high = F.shiftrightunsigned(F.col(bucket), 12)
+    same = [f"_by{k}" for k in range(len(by))]
+    ranges = sums.groupBy(*(F.col(k).alias(n) for k, n in zip(by, same)), high.alias("_range")).agg(F.sum(value).alias("_all"))
+    ranges = ranges.withColumn("_earlier", F.sum("_all").over(Window.partitionBy(*same).orderBy("_range")) - F.col("_all")).drop("_all")
+    inner = sums.withColumn("_high", high)
+    inner = inner.withColumn("_inner", F.sum(value).over(Window.partitionBy(*by, "_high").orderBy(bucket)) - F.col(value))
+    met = F.col("_high") == F.col("_range")
+    for k, n in zip(by, same):
+        met = met & F.col(k).eqNullSafe(F.col(n))
+    return inner.join(ranges, met).select(*by, bucket, (F.col("_earlier") + F.col("_inner")).alias(name))
+
+
 class Texts:
     """Several texts as one byte buffer, a space after each, with numpy views of their words.
 

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import before_buckets, shared_folder, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,7 +38,7 @@ class MixRules:
     share: float = 1.5
     most: int = 2
     seed: int = 17
-    bucket_rows: int = 2_000
+    bucket_rows: int = 500
     max_sources: int = 50_000
     max_patterns: int = 200_000
 
@@ -129,17 +131,17 @@ def mix(docs: DataFrame, sources: Column | None = None, rules: MixRules = MixRul
     """
     spark: SparkSession = docs.sparkSession
     sources = F.array("source") if sources is None else sources
-    bits = max(1, min(24, (docs.count() // rules.bucket_rows).bit_length()))
-    place = F.xxhash64("doc_id", F.lit(rules.seed))
-    sized = docs.select(
-        *carry,
-        F.array_sort(F.array_distinct(sources)).alias("_sources"),
-        word_count("text").alias("_size"),
-        place.alias("_place"),
-        F.shiftrightunsigned(place, 64 - bits).alias("_bucket"),
-        F.col("doc_id").alias("_id"),
-    )
-    buckets = sized.groupBy(F.to_json("_sources").alias("_pattern"), F.col("_sources"), "_bucket").agg(F.sum("_size").alias("_words"))
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(rules.seed))).otherwise(F.xxhash64("doc_id", F.lit(rules.seed)))
+    own = [F.array_sort(F.array_distinct(sources)).alias("_sources"), word_count("text").alias("_size"), F.col("doc_id").alias("_id"), place.alias("_place")]
+    # what follows reads a table without texts; only columns that are carried along are read again, with one more count
+    thin = written(docs.select(*own), shared_folder(spark))
+    sized = thin.withColumn("doc_id", F.col("_id")) if tuple(carry) == ("doc_id",) else docs.select(*carry, *own)
+    pattern = F.coalesce(F.to_json("_sources"), F.lit("")).alias("_pattern")
+    sized = sized.withColumn("_pattern", pattern)
+    bits = max(1, min(24, (thin.count() // rules.bucket_rows).bit_length()))
+    bucket = F.shiftrightunsigned("_place", 64 - bits).alias("_bucket")
+    buckets = thin.groupBy(pattern, F.col("_sources"), bucket).agg(F.sum("_size").alias("_words"))
+    buckets = written(buckets, shared_folder(spark))
     patterns = _bounded(buckets.groupBy("_pattern").agg(F.first("_sources").alias("sources"), F.sum("_words").alias("words")).orderBy("_pattern"), rules.max_patterns, "patterns")
     names = sorted({s for p in patterns for s in p.sources or []}, key=lambda s: (s is None, (s or "").encode()))
     if len(names) > rules.max_sources:
@@ -160,9 +162,9 @@ def mix(docs: DataFrame, sources: Column | None = None, rules: MixRules = MixRul
             ends.append(at)
         plan.append((p._pattern, p.words, ends, [size[s] for s in m], [target[s] for s in m]))
     plan = spark.createDataFrame(plan, "_pattern string, _all long, _ends array<long>, source_size array<long>, target array<double>")
-    before = buckets.withColumn("_before", F.sum("_words").over(Window.partitionBy("_pattern").orderBy("_bucket")) - F.col("_words")).select("_pattern", "_bucket", "_before")
+    before = written(before_buckets(buckets, ["_pattern"], "_bucket", "_words", "_before"), shared_folder(spark))
     own = Window.partitionBy("_pattern", "_bucket").orderBy("_place", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_pattern", F.to_json("_sources")).withColumn("_own", F.coalesce(F.sum("_size").over(own), F.lit(0)))
+    placed = sized.withColumn("_bucket", bucket).withColumn("_own", F.coalesce(F.sum("_size").over(own), F.lit(0)))
     # the plan has one row for each pattern, of which max_patterns are allowed
     placed = placed.join(before, ["_pattern", "_bucket"]).join(F.broadcast(plan), "_pattern").withColumn("_from", F.col("_before") + F.col("_own"))
     taken = f"""transform(_ends, (e, k) -> aggregate(sequence(0, {rules.most - 1}), 0L, (t, r) -> t + greatest(0L,

@@ -14,8 +14,10 @@ An anchor with very many stretches, as a passage with ever new surroundings has,
 single windows, which are dealt out by their own content instead, so that no bucket gathers them all.
 
 A slice removes copies before it sends anything, so what thousands of documents share reaches a bucket
-once for each slice. Slices and buckets are of bounded size and grow in number with the input. Documents are
-shuffled once, and this shuffle is read three times.
+once for each slice. Slices and buckets are of bounded size and grow in number with the input; the census, whose rows are hashes
+alone, takes an eighth as many buckets. Documents are shuffled once, and this shuffle is read three times. They are dealt out by id and
+by their place in the table, so that repeated rows are spread like others; the table must give its rows in the same
+order when a task is run again, as files do. A single text of 256 MiB or more is refused.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ class Runs:
 def stretches(grams: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """starts: of all windows, ascending. grams: hash of the gram at each symbol; a window holds `width` of them.
     Start, windows, anchor distance and anchor hash of each stretch."""
+    if len(grams) >= 1 << 28:
+        raise ValueError(f"a text of {len(grams)} symbols is too long: places are kept in 28 bits")
     if not len(starts):
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     m = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -145,6 +149,8 @@ class Bytes:
 
 
 Kind = Words | Bytes
+#: Slices that one task takes, at most.
+TASK_SLICES = 8
 
 
 def pieces(kind: Kind, ids: pa.ChunkedArray, texts: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, list[bytes], Runs]]:
@@ -167,14 +173,14 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _summed(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of h, whether each has more than one owner, and its count, 255 for more."""
+    """Distinct values of h, whether each has more than one owner, and its count."""
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
     if not len(first):
-        return h, np.empty(0, bool), np.empty(0, np.uint8)
+        return h, np.empty(0, bool), np.empty(0, np.uint32)
     count = np.diff(np.append(first, len(h)))
-    return h[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first), np.minimum(count, 255).astype(np.uint8)
+    return h[first], np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first), count.astype(np.uint32)
 
 
 _CENSUS = "bucket int, slice int, hashes binary, several binary, counts binary"
@@ -218,7 +224,7 @@ def _repeated(most: int):
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         several = _bits(table.column("several").to_pylist(), list(map(len, hashes)))
         _, place, slices_ = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        total = np.bincount(place, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8))
+        total = np.bincount(place, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32))
         known, hot = several | (slices_[place] > 1), total[place] > most
         at, out = 0, []
         for x in hashes:
@@ -362,9 +368,12 @@ def judged(docs: DataFrame, kind: Kind, owners: Callable, learn: Callable, field
     text = F.coalesce("text", F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // slice_bytes))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("slice"), "doc_id", text.alias("text"))
+    place = F.monotonically_increasing_id()
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", place), F.lit(n)).cast("int").alias("slice"), "doc_id", text.alias("text"))
+    if n > TASK_SLICES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # more tasks than the session would use
+        dealt = dealt.repartition(-(-n // TASK_SLICES), "slice")
     by_slice = dealt.groupBy("slice")
-    census = by_slice.applyInArrow(_census(kind, n, owners), _CENSUS)
+    census = by_slice.applyInArrow(_census(kind, max(1, n // 8), owners), _CENSUS)
     repeated = census.groupBy("bucket").applyInArrow(_repeated(hot), _REPEATED)
     sent = by_slice.cogroup(repeated.groupBy("slice")).applyInArrow(_send(kind, n, learn, fields), _STRETCHES)
     verdicts = sent.groupBy("bucket").applyInArrow(_judge(solve, fields), _VERDICTS)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, written
+from .common import before_buckets, shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -31,20 +31,20 @@ class ShardRules:
 
     shards: int = 16
     rounds: int = 30
-    chunk_rows: int = 20_000
-    bucket_rows: int = 2_000
+    chunk_rows: int = 2_000
+    bucket_rows: int = 500
     gains: int = 32
     cells: int = 64
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[str | Column], n: int, bucket_rows: int, name: str) -> DataFrame:
-    """rows with their rank from 0 within `by`, in order of a hash of doc_id: the count of earlier buckets, and
+    """rows with their rank from 0 within `by`, in order of a hash of doc_id (of grp, where that is null): the count of earlier buckets, and
     a window within a bucket. n: of rows, about."""
     bits = max(1, min(24, (n // bucket_rows).bit_length()))
     keys = [*by, "_bucket"]
-    rows = rows.withColumn("_place", F.xxhash64("doc_id")).withColumn("_bucket", F.shiftrightunsigned("_place", 64 - bits))
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("grp")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.withColumn("_place", place).withColumn("_bucket", F.shiftrightunsigned("_place", 64 - bits))
+    before = before_buckets(rows.groupBy(*keys).agg(F.count("*").alias("_n")), by, "_bucket", "_n", "_before")
     own = F.row_number().over(Window.partitionBy(*keys).orderBy("_place", *order)) - 1
     return rows.withColumn("_own", own).join(before, keys).withColumn(name, F.col("_before") + F.col("_own")).drop("_place", "_bucket", "_before", "_own")
 

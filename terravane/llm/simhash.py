@@ -191,7 +191,9 @@ def near_links(nodes: DataFrame, most: int = 2048) -> DataFrame:
     keys = f"""explode(transform(sequence(0, 63), x -> shiftleft(cast(x as bigint), 32)
         | shiftleft({shift.format("(x div 16)")}, 16)
         | ({shift.format("((x div 16 + 1) % 4)")} & ~shiftleft(1L, x % 16)))) AS key"""
-    keyed = nodes.where("rep IS NOT NULL").selectExpr(keys.replace("(x div 16)", "int(x div 16)").replace("((x div 16 + 1) % 4)", "int((x div 16 + 1) % 4)"), "fp", "rep")
+    # each node gives 64 rows, so the nodes are spread over all tasks first, however few bytes they are
+    spread = nodes.where("rep IS NOT NULL").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.selectExpr(keys.replace("(x div 16)", "int(x div 16)").replace("((x div 16 + 1) % 4)", "int((x div 16 + 1) % 4)"), "fp", "rep")
     found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(most), _LINKS)
     found = written(found, shared_folder(nodes.sparkSession))
     links = found.where("NOT over").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -216,9 +218,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select("doc_id", digits, "component_id")
 
-
-def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id. Rows without a doc_id stay."""
-    kept = near_duplicates(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id IS NULL"))

@@ -134,7 +134,7 @@ def _owners(doc: np.ndarray, runs: Runs, seen: int) -> np.ndarray:
     return doc[runs.text]
 
 
-def repeated_words_removed(docs: DataFrame, kind: Words = Words(), keep_text: bool = False, slice_bytes: int = 8 << 20, limit: int = 1 << 18, hot: int = 4096) -> DataFrame:
+def repeated_words_removed(docs: DataFrame, kind: Words = Words(), keep_text: bool = False, slice_bytes: int = 8 << 20, limit: int = 1 << 15, hot: int = 4096) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document; with keep_text, also the kept words."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     return judged(docs, kind, _owners, _learn, 2, _solve(kind.window, limit), _apply(kind, keep_text), schema, slice_bytes, hot)

@@ -24,9 +24,9 @@ from terravane.llm.quality import QualityRules, kept_documents, quality_report
 from terravane.llm.queries import tokenizer
 from terravane.llm.secrets import decoded_spans, redacted, secret_spans
 from terravane.llm.sharding import ShardRules, sharded
-from terravane.llm.simhash import near_duplicates, near_links, one_of_each
+from terravane.llm.simhash import near_duplicates, near_links
 from terravane.llm.suffixarray import merge_sorted, repeated_bytes_removed, suffix_order, Extensions
-from terravane.llm.suffixtree import repeated_words_removed
+from terravane.llm.suffixtree import deep_nodes, repeated_words_removed
 from terravane.llm.tokencache import token_counts
 
 SCHEMA = "doc_id long, text string, source string, key long, slice string, size string, fp string, digest string, label string"
@@ -183,11 +183,6 @@ def test_simhash_components(docs, rows):
     fps = [fingerprint(r[1]) for r in rows]
     want = collections.Counter(zip([r[0] for r in rows], [f"{f:016x}" for f in fps], linked(fps, [r[0] for r in rows])))
     assert multiset(near_duplicates(docs)) == want
-    kept = one_of_each(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert {x for x in ids if x is not None} == {c for (i, _, c) in want if i is not None and i == c}
-    assert len(ids) == len(set(ids)) + sum(r[0] is None for r in rows) - 1
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -237,6 +232,33 @@ def test_repeated_words(docs, rows, slice_bytes, limit, hot):
     assert multiset(repeated_words_removed(docs, slice_bytes=slice_bytes, limit=limit, hot=hot)) == collections.Counter(without_repeated_words(rows))
 
 
+def test_prefixes_part_the_suffixes_of_a_bucket():
+    """By the default limit: groups differ in the length of their prefix, none holds more than twice the limit, and all repeats are found."""
+    import inspect
+
+    limit = inspect.signature(repeated_words_removed).parameters["limit"].default
+    rng = np.random.default_rng(9)
+    words = np.minimum(rng.zipf(1.3, 6 * limit), 5000)
+    words = np.concatenate([words, words[: limit // 2]])
+    starts = np.arange(len(words) - 13)
+    want = collections.Counter(words[s : s + 13].tobytes() for s in starts.tolist())
+    found = deep_nodes(words, starts, 13, limit)
+    assert len(found) > 4 and max(len(own) for own, _ in found) <= 2 * limit
+    got = np.concatenate([own for own, _ in found])
+    assert len(got) == len(set(got.tolist())) == sum(n for n in want.values() if n > 1)
+
+
+@pytest.mark.parametrize("removed", [repeated_words_removed, repeated_bytes_removed])
+def test_ten_thousand_equal_rows(spark, removed):
+    """Rows that repeat an id and a text, or have no id, are dealt over the slices like others."""
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = removed(docs, slice_bytes=1 << 18).groupBy("doc_id", "n_removed").count().collect()
+    whole = len(text) if removed is repeated_bytes_removed else 60
+    kept = whole if removed is repeated_bytes_removed else 0
+    assert sorted((r.doc_id or 0, r.n_removed, r["count"]) for r in got) == [(0, whole, 5000), (7, kept, 5000)]
+
+
 def without_repeated_bytes(rows, n=200):
     texts = [(r[1] or "").encode() for r in rows]
     count = collections.Counter(t[k : k + n] for t in texts for k in range(len(t) - n + 1))

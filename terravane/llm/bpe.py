@@ -5,9 +5,9 @@ pair of bytes in a normalised text is therefore a certain cut, as is each border
 that the tokenizer's own pattern separates. Fragments between cuts are encoded independently, each
 distinct one once while it stays in a bounded cache, and their ids are concatenated.
 
-Cuts need rules known for each character, so a run between white space that holds an apostrophe
-(contractions), "<|" (special strings), or a character from U+0240 on goes to the library whole; such
-runs are certain cuts as well, because no token holds white space.
+Cuts need rules known for each character, so a run between white space that holds "<|" (special strings), white space
+beyond ASCII, or a character whose class isn't settled (beyond U+FFFF, or classed otherwise by Unicode 3.2)
+goes to the library whole; such runs are certain cuts as well, because no token holds white space.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty
 string; repeated rows are encoded alike; columns other than doc_id and text are ignored.
@@ -62,10 +62,12 @@ class WordBpe:
         self.inside = Tokenizer.from_str(json.dumps(spec))
         n = self.whole.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.whole.id_to_token(i) or "" for i in range(n)]
-        self.kinds = np.full(0x240, 3, np.uint8)  # 0 white space, 1 letter, 2 number, 3 other
-        for c in range(0x240):
+        old = unicodedata.ucd_3_2_0
+        self.kinds = np.full(0x10001, 4, np.uint8)  # 0 white space, 1 letter, 2 number, 3 other, 4 not settled
+        for c in range(0x10000):
             kind = unicodedata.category(chr(c))[0]
-            self.kinds[c] = 0 if chr(c).isspace() and not 0x1C <= c <= 0x1F else {"L": 1, "N": 2}.get(kind, 3)
+            if c < 0x240 or old.category(chr(c))[0] == kind and old.category(chr(c)) != "Cn":
+                self.kinds[c] = 0 if chr(c).isspace() and not 0x1C <= c <= 0x1F else {"L": 1, "N": 2}.get(kind, 3)
         self.cache: dict[bytes, bytes] = {}
 
     def fragments(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -73,16 +75,25 @@ class WordBpe:
         t = Texts(texts)
         b = t.buf
         lead = (b & 0xC0) != 0x80
-        after = np.append(b[1:], 32)
-        code = np.where(b < 0x80, b, ((b & 0x1F).astype(np.uint16) << 6) | (after & 0x3F))
-        foreign = lead & (b >= 0xC9)
-        kind = self.kinds[np.where(foreign | ~lead, 0x21, code)]
+        after, third = np.append(b[1:], 32), np.append(b[2:], [32, 32])[: len(b)]
+        wide, low = b.astype(np.uint32), (after & 0x3F).astype(np.uint32)
+        code = np.where(b < 0x80, wide, (wide & 0x1F) << 6 | low)
+        code = np.where(b >= 0xE0, (wide & 0x0F) << 12 | low << 6 | (third & 0x3F), code)
+        code = np.where(b >= 0xF0, 0x10000, code)
+        kind = self.kinds[np.where(lead, code, 0x21)]
         at = np.maximum.accumulate(np.where(lead, np.arange(len(b)), 0))
         kind = kind[at]
         space = _IS_SPACE[b]
-        odd = foreign | (b == 0x27) | ((b == 0x3C) & (after == 0x7C)) | ((kind == 0) & ~space)
+        odd = (kind == 4) | ((b == 0x3C) & (after == 0x7C)) | ((kind == 0) & ~space)
         previous, kind_before = np.append(np.uint8(32), b[:-1]), np.append(np.uint8(0), kind[:-1])
         edge = (kind != kind_before) | (kind == 2)
+        # an apostrophe that no other punctuation stands before is one piece with the contraction after it, and what follows is another
+        mark = np.flatnonzero((b == 0x27) & (kind_before != 3))
+        single = np.isin(after[mark], np.frombuffer(b"stmd", np.uint8))
+        double = np.isin(after[mark].astype(np.uint16) << 8 | third[mark], [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])
+        edge[mark[single | double] + 1] = False
+        edge[mark[single] + 2] = True
+        edge[mark[double] + 3] = True
         cut = lead & (edge | ~self.inside_pairs[previous, b])
         run = np.cumsum(space)  # of bytes between white space
         if odd.any():

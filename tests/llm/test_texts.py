@@ -120,7 +120,8 @@ def test_quality_without_trust_or_rows(spark, docs):
 def odd_rows():
     rng = random.Random(7)
     bits = ["a", "é", "'s", "'", "ll", " ", "\n", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "12", "½", "ß", "İ", "ΑΣ", "–", "漢字", "\xa0", "\x1c", "\x85", "é", "qz", "jx", "***", "%%", "ÿ", "🙂", "Ǆ", "\x00", "  "]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    bits += ["'re", "'ve", "'t", "'m", "'d", "'ll", "don't", "’s", "жизнь", "Ωμέγα", "日本", "한글", "א", "عربي", "é", "\u0301", "\u1e9e", "ꙮ", "\u2167", "٣", "\ua7c2", "\u10a0", "\u2003"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     return [(k, t) for k, t in enumerate([*texts, "", None, "word " * 5000])]
 
 
@@ -135,6 +136,16 @@ def test_bpe_matches_the_library(spark, odd_rows):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
+def test_cuts_reach_beyond_latin_and_into_contractions():
+    """Few runs of foreign letters or with apostrophes go to the library whole."""
+    bpe = word_bpe(tokenizer("word_bpe_49k.json"))
+    text = "the word's жизнь прожить don't 日本語の文章 naïve"
+    keys, first = bpe.fragments([text.encode()])
+    assert len(keys) > len(text.split()) + 10 and first.tolist() == [0, len(keys)]
+    assert b"'s" in keys or b"'\xff" in keys
+    assert b"".join(k.removesuffix(b"\xff") for k in keys) == text.replace(" ", "").encode()
+
+
 def test_token_counts_and_the_cache(spark, odd_rows, tmp_path):
     from tokenizers import Tokenizer
 

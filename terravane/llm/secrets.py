@@ -24,6 +24,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -128,59 +129,75 @@ def _large(data: bytes, most: int) -> str | None:
     return "\n".join(sorted(found)) if size > most else None
 
 
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
 def _text(data: bytes) -> str | None:
     """data as text, if it is UTF-8 without control characters."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and not any(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text) else None
+    return text if text and not _CONTROL.search(text) else None
+
+
+@dataclass(frozen=True)
+class Piece:
+    """Decoded text and, for each of its characters, where it begins and ends in the text it came from: arrays, or one number for all,
+    so that a payload costs no more than its text."""
+
+    text: str
+    starts: np.ndarray | int
+    stops: np.ndarray | int
+
+
+def _percent(m: re.Match, most: int) -> list[Piece]:
+    text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+    ends = m.start() + 3 * np.cumsum([len(c.encode("utf-8", "surrogateescape")) for c in text])
+    return [Piece(_LONE.sub("\ufffd", text), np.append(m.start(), ends[:-1]), ends)]
 
 
-def _percent(m: re.Match, most: int) -> list[tuple[str, int, int]] | None:
-    data = bytes.fromhex(m[0].replace("%", ""))
-    out, at = [], m.start()
-    for c in data.decode("utf-8", "surrogateescape"):
-        n = 3 * len(c.encode("utf-8", "surrogateescape"))
-        out.append((c if not "\ud800" <= c <= "\udfff" else "�", at, at + n))
-        at += n
-    return out
+_LONE = re.compile("[\ud800-\udfff]")
+_ONE_ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\[ux]([0-9A-Fa-f]{4}|[0-9A-Fa-f]{2})")
+
+
+def _escape(m: re.Match, most: int) -> list[Piece]:
+    text, ends = [], []
+    for e in _ONE_ESCAPE.finditer(m[0]):
+        text.append(chr(0x10000 + ((int(e[1], 16) & 0x3FF) << 10) + (int(e[2], 16) & 0x3FF)) if e[1] else chr(int(e[3], 16)))
+        ends.append(m.start() + e.end())
+    return [Piece(_LONE.sub("\ufffd", "".join(text)), np.array([m.start(), *ends[:-1]]), np.array(ends))]
+
+
+def _opened(data: bytes, most: int) -> Iterator[bytes]:
+    """The layers of compressed data, one after the other, until one isn't compressed or was there before."""
+    seen: set[bytes] = set()
+    while (inner := _inflate(data, most)) is not None and (digest := hashlib.sha256(inner).digest()) not in seen:
+        seen.add(digest)
+        data = inner
+        yield data
 
 
-def _escape(m: re.Match, most: int) -> list[tuple[str, int, int]] | None:
-    out = []
-    for e in re.finditer(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\[ux]([0-9A-Fa-f]{4}|[0-9A-Fa-f]{2})", m[0]):
-        if e[1]:
-            c = chr(0x10000 + ((int(e[1], 16) & 0x3FF) << 10) + (int(e[2], 16) & 0x3FF))
-        else:
-            c = chr(int(e[3], 16))
-        out.append((c if not "\ud800" <= c <= "\udfff" else "�", m.start() + e.start(), m.start() + e.end()))
-    return out
+def _char_sizes(text: str) -> np.ndarray:
+    return np.array([len(c.encode()) for c in text])
 
 
-def _base64(m: re.Match, most: int) -> list[tuple[str, int, int]] | None:
+def _base64(m: re.Match, most: int) -> list[Piece]:
     body = m[0].rstrip("=").translate(_URL_SAFE)
     if len(body) % 4 == 1:
-        return None
+        return []
     data = base64.b64decode(body + "=" * (-len(body) % 4))
     plain = _text(data)
     if plain is not None:
-        out, at = [], 0
-        for c in plain:
-            n = len(c.encode())
-            out.append((c, m.start() + at * 4 // 3, m.start() + -(-(at + n) * 4 // 3)))
-            at += n
-        return out[:-1] + [(out[-1][0], out[-1][1], m.end())]
-    seen: set[bytes] = set()
-    while (opened := _inflate(data, most)) is not None:
-        digest = hashlib.sha256(opened).digest()
-        if digest in seen:
-            return None
-        seen.add(digest)
-        data, plain = opened, _text(opened)
+        ends = np.cumsum(_char_sizes(plain))
+        stops = m.start() - (-ends * 4 // 3)
+        stops[-1] = m.end()
+        return [Piece(plain, m.start() + np.append(0, ends[:-1]) * 4 // 3, stops)]
+    for inner in _opened(data, most):
+        plain = _text(inner)
         if plain is not None:
-            return [(c, m.start(), m.end()) for c in plain]
-    return None
+            return [Piece(plain, m.start(), m.end())]
+    return []
 
 
 def _unpadded(body: str) -> bytes:
@@ -188,98 +205,130 @@ def _unpadded(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _views(data: bytes) -> Iterator[list[tuple[str, int]]]:
-    """Characters of data with their places, a byte each: as they are, and without the zeros of UTF-16."""
+def _views(data: bytes) -> Iterator[tuple[str, np.ndarray | None]]:
+    """data read a byte a character, and without the zeros of UTF-16 with the places of what is left (none: all)."""
     if _WORTH.search(data):
-        yield list(zip(data.decode("latin-1"), range(len(data))))
+        yield data.decode("latin-1"), None
     if _WIDE.search(data):
-        yield [(chr(c), k) for k, c in enumerate(data) if c]
+        yield data.replace(b"\0", b"").decode("latin-1"), np.flatnonzero(np.frombuffer(data, np.uint8))
 
 
-def _loose(m: re.Match, most: int) -> list[tuple[str, int, int]] | None:
+def _loose(m: re.Match, most: int) -> list[Piece]:
     """What the strict base64 decoder leaves: payloads wrapped over lines, those after or before other characters of the
     alphabet, and bytes that are no plain text. All readings stand in place of the run, one a line."""
     lines = m[0].count("\n")
     if not lines and _base64(m, most):
-        return None
-    at = [k for k, c in enumerate(m[0], m.start()) if c not in " \t\r\n>="]
-    begins = [0] + [k for k in range(1, len(at)) if at[k] != at[k - 1] + 1]
-    body = "".join(m.string[k] for k in at)
+        return []
+    raw = np.frombuffer(m[0].encode("utf-32-le"), "<u4")
+    at = np.flatnonzero(~np.isin(raw, np.frombuffer(" \t\r\n>=".encode("utf-32-le"), "<u4"))) + m.start()
+    begins = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist()]
+    body = m[0].translate(_NOT_BODY)
     starts = {*begins, *(d.end() for d in _DELIMITER.finditer(body))}
     body, out = body.translate(_URL_SAFE), []
+    line = Piece("\n", m.start(), m.start() + 1)
 
-    def spread(chars, k):
-        return [(c, at[k + j * 4 // 3], at[min(k - (-(j + 1) * 4 // 3), len(at)) - 1] + 1) for c, j in chars]
+    def stop(k: np.ndarray) -> np.ndarray:
+        return at[np.minimum(k, len(at)) - 1] + 1
 
-    data = _unpadded(body)
-    plain = _text(data) if lines else None
+    plain = _text(_unpadded(body)) if lines else None
     if plain is not None:
-        ends = np.cumsum([len(c.encode()) for c in plain]).tolist()
-        return [(c, at[a * 4 // 3], at[min(-(-b * 4 // 3), len(at)) - 1] + 1) for c, a, b in zip(plain, [0, *ends], ends)]
+        ends = np.cumsum(_char_sizes(plain))
+        return [Piece(plain, at[np.append(0, ends[:-1]) * 4 // 3], stop(-(-ends * 4 // 3)))]
     packed = len(body)  # where the first compressed payload starts
     for k in sorted(starts):
         if _opener(_unpadded(body[k : k + 12])) is None:
             continue
-        data, seen = _unpadded(body[k:]), set()
-        while _opener(data) is not None:
-            opened = _inflate(data, most)
-            if opened is None:
-                found = _large(data, most)
-                packed = min(packed, k) if found is not None else packed
-                out += [(c, m.start(), m.end()) for c in (found or "") + "\n"]
-                break
-            if (digest := hashlib.sha256(opened).digest()) in seen:
-                break
-            seen.add(digest)
-            packed = min(packed, k)
-            data, plain = opened, _text(opened)
-            for chars in [zip(plain, plain)] if plain is not None else _views(opened):
-                out += [(c, m.start(), m.end()) for c, _ in chars] + [("\n", m.start(), m.end())]
+        data = _unpadded(body[k:])
+        if _inflate(data, most) is None:
+            data = b""
+        last = data
+        for inner in _opened(data, most) if data else ():
+            packed, last = min(packed, k), inner
+            plain = _text(inner)
+            for text in [plain] if plain is not None else [v for v, _ in _views(inner)]:
+                out += [Piece(text, m.start(), m.end()), line]
+        if not data or _opener(last) is not None:  # too large to open whole, or broken
+            found = _large(last or _unpadded(body[k:]), most)
+            if found is not None:
+                packed = min(packed, k)
+                out += [Piece(found + "\n", m.start(), m.end())]
     for k in range(4):  # whatever stands before a payload, one of these is in step with it
-        for chars in _views(_unpadded(body[k:packed])):
-            out += [*spread(chars, k), ("\n", m.start(), m.start() + 1)]
-    return out if any(c != "\n" for c, _, _ in out) else None
+        for text, places in _views(_unpadded(body[k:packed])):
+            j = np.arange(len(text)) if places is None else places
+            out += [Piece(text, at[k + j * 4 // 3], stop(k - (-(j + 1) * 4 // 3))), line]
+    return out if any(p.text.strip("\n") for p in out) else []
 
 
+_NOT_BODY = str.maketrans("", "", " \t\r\n>=")
 DECODERS = ((_PERCENT, _percent), (_ESCAPE, _escape), (_BASE64, _base64), (_WRAPPED, _loose))
 
 
 class Layer:
-    """Text, the span of the original that each of its characters came from, and whether it was decoded."""
+    """Text in runs of characters. The characters of a run came from places of the original text that begin at `starts` and end at
+    `stops`, one place further for each character where `steps` is 1, the same for all where it is 0."""
+
+    def __init__(self, text: str, first: np.ndarray, starts: np.ndarray, stops: np.ndarray, steps: np.ndarray, decoded: np.ndarray):
+        self.text, self.first, self.starts, self.stops, self.steps, self.decoded = text, first, starts, stops, steps, decoded
 
-    def __init__(self, text: str, starts: np.ndarray, stops: np.ndarray, decoded: np.ndarray):
-        self.text, self.starts, self.stops, self.decoded = text, starts, stops, decoded
+    @classmethod
+    def of(cls, text: str) -> Layer:
+        one = lambda x: np.array([x])
+        return cls(text, one(0), one(0), one(1), one(1), one(False))
+
+    def _span(self, at: np.ndarray | int, run: np.ndarray | int, side: str):
+        return getattr(self, side)[run] + (at - self.first[run]) * self.steps[run]
+
+    def _run(self, at):
+        return np.searchsorted(self.first, at, side="right") - 1
+
+    def _cut(self, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """The runs of characters a to b, counted from a."""
+        k = np.arange(self._run(a), self._run(b - 1) + 1) if b > a else np.empty(0, int)
+        first = np.maximum(self.first[k], a)
+        return first - a, self._span(first, k, "starts"), self._span(first, k, "stops"), self.steps[k], self.decoded[k]
+
+    def _decoded(self, piece: Piece) -> tuple[np.ndarray, ...]:
+        x, y = np.atleast_1d(piece.starts), np.atleast_1d(piece.stops) - 1
+        n = len(x)
+        return np.arange(n), self._span(x, self._run(x), "starts"), self._span(y, self._run(y), "stops"), np.zeros(n, int), np.ones(n, bool)
 
     def unwrapped(self, pattern: re.Pattern, decode, most: int) -> Layer | None:
         """This layer with each candidate of one encoding decoded in place; None if there is none."""
-        text, parts, at = [], [], 0
+        text, runs, at, size = [], [], 0, 0
+
+        def add(part: str, own: tuple[np.ndarray, ...]) -> None:
+            nonlocal size
+            text.append(part)
+            runs.append((own[0] + size, *own[1:]))
+            size += len(part)
+
         for m in pattern.finditer(self.text):
-            plain = decode(m, most)
-            if not plain:
+            pieces = decode(m, most)
+            if not pieces:
                 continue
-            text += [self.text[at : m.start()], "".join(c for c, _, _ in plain)]
-            a = np.array([x for _, x, _ in plain])
-            b = np.array([x for _, _, x in plain])
-            parts += [(self.starts[at : m.start()], self.stops[at : m.start()], self.decoded[at : m.start()]), (self.starts[a], self.stops[b - 1], np.ones(len(a), bool))]
+            add(self.text[at : m.start()], self._cut(at, m.start()))
+            for piece in pieces:
+                if piece.text:
+                    add(piece.text, self._decoded(piece))
             at = m.end()
-        if not parts:
+        if not runs:
             return None
-        text.append(self.text[at:])
-        parts.append((self.starts[at:], self.stops[at:], self.decoded[at:]))
-        return Layer("".join(text), *(np.concatenate(x) for x in zip(*parts)))
+        add(self.text[at:], self._cut(at, len(self.text)))
+        return Layer("".join(text), *(np.concatenate(x) for x in zip(*runs)))
 
     def spans(self) -> Iterator[Span]:
         for a, kind, b in base_spans(self.text):
-            if self.decoded[a:b].any():
-                yield int(self.starts[a:b].min()), kind, int(self.stops[a:b].max())
+            k = np.arange(self._run(a), self._run(b - 1) + 1)
+            if self.decoded[k].any():
+                ends = np.append(self.first[k[1:]], b) - 1
+                yield int(self._span(np.maximum(self.first[k], a), k, "starts").min()), kind, int(self._span(ends, k, "stops").max())
 
 
 def decoded_spans(text: str, most: int = MAX_PAYLOAD) -> set[Span]:
     """Spans of the original text that hold a secret at some depth of decoding."""
-    if not (_PERCENT.search(text) or _ESCAPE.search(text)) and not any(decode(m, most) for pattern, decode in DECODERS[2:] for m in pattern.finditer(text)):
+    if not any(pattern.search(text) for pattern, _ in DECODERS):
         return set()
-    n = np.arange(len(text))
-    work, seen, found = [Layer(text, n, n + 1, np.zeros(len(n), bool))], {hashlib.sha256(text.encode()).digest()}, set()
+    work, seen, found = [Layer.of(text)], {hashlib.sha256(text.encode()).digest()}, set()
     while work:
         layer = work.pop()
         for pattern, decode in DECODERS:

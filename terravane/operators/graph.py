@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from ..session import written
+from ..session import shared_folder, written
 from .joins import QUEEN, neighbours
 
 
@@ -90,19 +90,24 @@ def undirected(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 1000) -> DataFrame:
     """(node, dist): distance of every node within `cutoff` of the nearest source, along edges (src, dst, len).
 
-    Each round relaxes the edges of the nodes that came nearer in the last one, so far nodes cost nothing.
+    Each round relaxes the edges of the nodes that came nearer in the last one and writes those alone that came nearer now, so far
+    nodes cost nothing and settled ones are read, but not written again.
     """
+    spark, folder = edges.sparkSession, shared_folder(edges.sparkSession)
     edges = written(undirected(edges))
-    known = written(sources.select("node", F.lit(0.0).alias("dist")).distinct().withColumn("fresh", F.lit(True)))
-    for _ in range(rounds):
-        front = known.where("fresh")
+    front = written(sources.select("node", F.lit(0.0).alias("dist")).distinct(), f"{folder}/0")
+    for k in range(1, rounds):
         if front.isEmpty():
-            return known.select("node", "dist")
+            break
+        known = spark.read.schema(front.schema).parquet(*(f"{folder}/{j}" for j in range(k)))
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + F.col("len")).alias("dist")).where(F.col("dist") <= cutoff)
-        old = known.select("node", F.col("dist").alias("old"), F.lit(None).cast("double").alias("dist"))
-        both = old.unionByName(step.select("node", F.lit(None).cast("double").alias("old"), "dist")).groupBy("node").agg(F.min("old").alias("old"), F.min("dist").alias("new"))
-        known = written(both.select("node", F.least("old", "new").alias("dist"), (F.col("new") < F.coalesce("old", F.lit(float("inf")))).alias("fresh")).withColumn("fresh", F.coalesce("fresh", F.lit(False))))
-    raise RuntimeError(f"distances did not settle in {rounds} rounds")
+        step = step.groupBy("node").agg(F.min("dist").alias("dist"))
+        old = known.join(step.select("node"), "node", "left_semi").groupBy("node").agg(F.min("dist").alias("old"))
+        nearer = step.join(old, "node", "left").where(F.col("old").isNull() | (F.col("dist") < F.col("old"))).select("node", "dist")
+        front = written(nearer, f"{folder}/{k}")
+    else:
+        raise RuntimeError(f"distances did not settle in {rounds} rounds")
+    return known.groupBy("node").agg(F.min("dist").alias("dist")) if k > 1 else front
 
 
 def walk_edges(ways: DataFrame, way: str, order: str, node: str, x: str, y: str) -> DataFrame:

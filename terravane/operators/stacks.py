@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def usable_scenes(scenes: DataFrame, usable: Column) -> DataFrame:
     """Scenes that aren't marked as unusable, the newest first; a missing mark is no reason to drop one."""
@@ -22,9 +24,9 @@ def stats_lines(lines: DataFrame, text: str, least: int = 5) -> DataFrame:
 
 def trusted_range(cells: DataFrame, value: str, coherence: str, least: float = 0.3) -> DataFrame:
     """One row: cells, trusted cells, and least, most, 5th and 95th percentile of the value over trusted cells."""
-    v = F.when(F.col(coherence) >= least, F.col(value))
-    p = lambda q: F.percentile(v, q)
-    return cells.agg(F.count("*").alias("cells"), F.count(v).alias("trusted"), F.min(v).alias("least"), F.max(v).alias("most"), p(0.05).alias("p05"), p(0.95).alias("p95"))
+    known = cells.select(F.when(F.col(coherence) >= least, F.col(value)).alias("_v"))
+    sums = known.agg(F.count("*").alias("cells"), F.count("_v").alias("trusted"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    return sums.crossJoin(quantiles(known, "_v", {"p05": 0.05, "p95": 0.95}).drop("n"))  # one row each
 
 
 def exceedance(cells: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import neighbours
+from .quantiles import levels, quantiles
 
 
 def slope_through_origin(pairs: DataFrame, keys: Sequence[str], x: str, y: str, least: int) -> DataFrame:
@@ -65,18 +66,31 @@ def morans_i(cells: DataFrame, value: str) -> DataFrame:
     return cross.crossJoin(F.broadcast(spread)).select("n", "n_pairs", F.try_divide(F.col("n") * F.col("_num"), F.col("n_pairs") * F.col("_den")).alias("i"))
 
 
-def agreement(pairs: DataFrame, a: str, b: str) -> list[Column]:
-    """Aggregates: Pearson's r, root mean square and 95th percentile of the difference."""
+def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Pearson's r, root mean square and 95th percentile of the difference."""
     d = F.col(a) - F.col(b)
-    return [F.corr(a, b).alias("r"), F.sqrt(F.avg(d * d)).alias("rms"), F.percentile(F.abs(d), 0.95).alias("p95")]
+    sums = pairs.agg(F.corr(a, b).alias("r"), F.sqrt(F.avg(d * d)).alias("rms"))
+    return sums.crossJoin(quantiles(pairs.select(F.abs(d).alias("_away")), "_away", {"p95": 0.95}).select("p95"))  # one row each
 
 
 def auc(values: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Area under the ROC curve: from counts for each distinct score, equal scores counting half, so that no window is over rows."""
-    levels = values.groupBy(score).agg(F.sum(positive.cast("long")).alias("_p"), F.sum((~positive).cast("long")).alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(score)) - F.col("_n")
-    won = levels.select("_p", "_n", (F.col("_p") * (below + F.col("_n") / 2)).alias("_won"))
-    return won.agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.try_divide(F.sum("_won"), F.sum("_p") * F.sum("_n")).alias("auc"))
+    """Area under the ROC curve: from counts for each distinct score, equal scores counting half; ranks come from bins of scores."""
+    ranked = levels(values, score, p=F.sum(positive.cast("long")), n=F.sum((~positive).cast("long")))
+    won = ranked.select("p", "n", (F.col("p") * (F.col("_before_n") + F.col("n") / 2)).alias("_won"))
+    return won.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.try_divide(F.sum("_won"), F.sum("p") * F.sum("n")).alias("auc"))
+
+
+def confusion_metrics(confusion: DataFrame, label: str, prediction: str, n: str) -> DataFrame:
+    """By class: producer's and consumer's accuracy, and beside them the overall accuracy and kappa. confusion: one row for each label and
+    prediction that occur."""
+    hit = F.sum(F.when(F.col(label) == F.col(prediction), F.col(n)).otherwise(0))
+    rows = confusion.groupBy(F.col(label).alias("class")).agg(F.sum(n).alias("_row"), hit.alias("_hit"))
+    columns = confusion.groupBy(F.col(prediction).alias("class")).agg(F.sum(n).alias("_column"))
+    both = rows.join(columns, "class", "full").select("class", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("_row", "_column", "_hit")))
+    whole = both.agg(F.sum("_row").alias("_n"), F.sum("_hit").alias("_right"), F.sum(F.col("_row").cast("double") * F.col("_column")).alias("_chance"))  # one row
+    chance, right = F.col("_chance") / (F.col("_n") * F.col("_n")), F.col("_right") / F.col("_n")
+    out = both.crossJoin(F.broadcast(whole))
+    return out.select("class", F.try_divide("_hit", "_row").alias("producer"), F.try_divide("_hit", "_column").alias("consumer"), right.alias("accuracy"), F.try_divide(right - chance, 1 - chance).alias("kappa"))
 
 
 def trend(series: DataFrame, keys: Sequence[str], year: str, value: str, least: int = 3) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators.change import change_summary, optical_change
 from ..operators.graph import despeckled
 from ..operators.grid import slope_degrees
 from ..operators.joins import QUEEN, nearest_epoch, rank_pairs
+from ..operators.stats import confusion_metrics
 from ..operators.zonal import rescaled_index
 from ..sources.adapters import adapter, adapter_sql
 from ..sources.files import weather_weeks
@@ -132,18 +133,42 @@ def ch30_nearest_centroid(spark, d):
     return best.groupBy("label", "guess").agg(F.count("*").alias("n"))
 
 
+def split_part(number):
+    return F.when((number * 7919 + 42) % 100 < 70, "train").otherwise("test")
+
+
 @query(None)
 def ch29_random_forest(spark, d):
-    """Confusion of a random forest of 100 trees on a 70/30 split with seed 42; rows only, the split's generator has no twin."""
+    """Confusion of a random forest of 100 trees on the test part of the split; rows only, as the trees have no twin in SQL."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    train, test = e.randomSplit([0.7, 0.3], 42)
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(split_part(F.col("vec_id")).alias("part"), F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    train, test = (e.where(F.col("part") == p) for p in ("train", "test"))
     model = RandomForestClassifier(numTrees=100, seed=42).fit(train)
     return model.transform(test).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
+_PARTS = "SELECT CASE WHEN (vec_id * 7919 + 42) % 100 < 70 THEN 'train' ELSE 'test' END AS part, label, count(*) AS n FROM embeddings GROUP BY 1, 2"
+
+
+@query(_PARTS)
+def ch29_split(spark, d):
+    """The 70/30 split of samples by a rule on their ids, the same on every run and cluster."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.groupBy(split_part(F.col("vec_id")).alias("part"), "label").agg(F.count("*").alias("n"))
+
+
+@query("WITH k AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, CASE WHEN l_linestatus = 'O' THEN 1 WHEN l_linenumber % 2 = 0 THEN 0 ELSE 2 END AS prediction FROM lineitem), c AS (SELECT label, prediction, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT label AS class, sum(n) AS row, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hit FROM c GROUP BY 1), q AS (SELECT prediction AS class, sum(n) AS col FROM c GROUP BY 1), w AS (SELECT r.class AS class, row, col, hit FROM r JOIN q USING (class)), t AS (SELECT sum(row) AS n, sum(hit) AS ok, sum(row * col::double) AS chance FROM w) SELECT class::int AS class, round(hit / row, 6) AS producer, round(hit / col, 6) AS consumer, round(ok / n, 6) AS accuracy, round((ok / n - chance / (n * n)) / (1 - chance / (n * n)), 6) AS kappa FROM w, t")
+def ch29_accuracy(spark, d):
+    """Accuracies and kappa of a confusion table."""
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    prediction = F.when(F.col("l_linestatus") == "O", 1).when(F.col("l_linenumber") % 2 == 0, 0).otherwise(2)
+    c = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(label.alias("label"), prediction.alias("prediction")).agg(F.count("*").alias("n"))
+    m = confusion_metrics(c, "label", "prediction", "n")
+    return m.select("class", *(r6(F.col(k)).alias(k) for k in ("producer", "consumer", "accuracy", "kappa")))
+
+
 # --- series
 
 
@@ -192,7 +217,7 @@ def or3_pair_plan(spark, d):
     return pair_plan(s, ["rel_orbit"], 3, 30, there, 10)
 
 
-@query(f"WITH {SCENE}, t AS (SELECT rel_orbit, max(CASE WHEN day < date '1995-03-01' THEN day END) AS before, min(CASE WHEN day >= date '1995-03-01' THEN day END) AS after, max(day) AS newest FROM scene WHERE day <= date '1995-03-04' GROUP BY rel_orbit) SELECT rel_orbit, before, after, (newest + (floor(date_diff('day', newest, date '1995-03-04') / 12)::int + 1) * 12)::date AS next_pass, CASE WHEN before IS NULL THEN 'no scene before the event' WHEN after IS NULL THEN 'no scene after the event yet' END AS reason FROM t")
+@query(f"WITH {SCENE}, t AS (SELECT rel_orbit, max(CASE WHEN day <= date '1995-03-01' THEN day END) AS before, min(CASE WHEN day > date '1995-03-01' THEN day END) AS after, max(day) AS newest FROM scene WHERE day <= date '1995-03-04' GROUP BY rel_orbit) SELECT rel_orbit, before, after, (newest + (floor(date_diff('day', newest, date '1995-03-04') / 12)::int + 1) * 12)::date AS next_pass, CASE WHEN before IS NULL THEN 'no scene before the event' WHEN after IS NULL THEN 'no scene after the event yet' END AS reason FROM t")
 def or4_track_choice(spark, d):
     return track_choice(adapter(spark, d, "scene"), "rel_orbit", "1995-03-01", "1995-03-04")
 

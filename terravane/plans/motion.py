@@ -40,10 +40,9 @@ _RING = [(("w", "s"), ("e", "s")), (("e", "s"), ("e", "n")), (("e", "n"), ("w",
 _IN = "({x} >= w AND {x} < e AND {y} >= s AND {y} < n)"
 
 
-@query(f"WITH {_PATH}, {_SEG}, {ZONE}, h AS (SELECT DISTINCT k, zone_id FROM seg JOIN zone ON {_IN.format(x='x1', y='y1')} OR {_IN.format(x='x2', y='y2')} OR {' OR '.join(_cross(_OWN, side) for side in _RING)} WHERE k < 20) SELECT zone_id, count(*) AS n_lines FROM h GROUP BY zone_id")
+@query(f"WITH {_PATH}, {_SEG}, {ZONE}, h AS (SELECT DISTINCT k, zone_id FROM seg JOIN zone ON {_IN.format(x='x1', y='y1')} OR {_IN.format(x='x2', y='y2')} OR {' OR '.join(_cross(_OWN, side) for side in _RING)}) SELECT zone_id, count(*) AS n_lines FROM h GROUP BY zone_id")
 def js2_zones_crossed(spark, d):
-    """Over the first users' paths: a parameter of the report, as the twin joins every segment with every zone."""
-    return crossed(path(spark, d).where("k < 20"), zones(spark, d), ["k"], "i", "x", "y", "zone_id", tile=4.0)
+    return crossed(path(spark, d), zones(spark, d), ["k"], "i", "x", "y", "zone_id", tile=4.0)
 
 
 @query("WITH v AS (SELECT user_id AS k, hour(ts) AS h, avg(value) AS v FROM events GROUP BY 1, 2), q AS (SELECT DISTINCT user_id AS k, h + 0.25::double AS t, h FROM events, (SELECT unnest([3, 9, 15]) AS h)) SELECT q.k AS k, t, round(a.v * 0.75::double + b.v * 0.25::double, 6) AS v FROM q LEFT JOIN v a ON a.k = q.k AND a.h = q.h LEFT JOIN v b ON b.k = q.k AND b.h = q.h + 1")
@@ -85,10 +84,17 @@ def su28_coherence(spark, d):
     return c.select("br", "bc", "n", r6(F.col("coherence")).alias("coherence"), r6(F.col("noise_floor")).alias("noise_floor"))
 
 
-@query(None)
+_QUAD = "q AS (SELECT a.r AS r, a.c AS c, a.v AS a, b.v AS b, d.v AS d, e.v AS e FROM v a JOIN v b ON b.r = a.r AND b.c = a.c + 1 JOIN v d ON d.r = a.r + 1 AND d.c = a.c JOIN v e ON e.r = a.r + 1 AND e.c = a.c + 1)"
+_SIDES = "p AS (SELECT r, c, c + (150.5::double - a) / nullif(b - a, 0) AS tx, r::double AS ty, c + (150.5::double - d) / nullif(e - d, 0) AS ux, r + 1::double AS uy, c::double AS lx, r + (150.5::double - a) / nullif(d - a, 0) AS ly, c + 1::double AS sx, r + (150.5::double - b) / nullif(e - b, 0) AS sy, (a > 150.5)::int + (b > 150.5)::int * 2 + (e > 150.5)::int * 4 + (d > 150.5)::int * 8 AS k, (a + b + d + e) / 4 > 150.5 AS high FROM q)"
+_SADDLE = {"apart": "(k = 5 AND NOT high) OR (k = 10 AND high)", "across": "(k = 5 AND high) OR (k = 10 AND NOT high)"}
+_PARTS = (("l", "t", "1, 14", "apart"), ("t", "s", "2, 13", "across"), ("l", "s", "3, 12", None), ("s", "u", "4, 11", None), ("t", "u", "6, 9", None), ("l", "u", "7, 8", "across"), ("u", "s", "-1", "apart"))
+_LINES = " UNION ALL ".join(f"SELECT r, c, round({p}x, 6) AS x1, round({p}y, 6) AS y1, round({q}x, 6) AS x2, round({q}y, 6) AS y2 FROM p WHERE k IN ({ks})" + (f" OR {_SADDLE[s]}" if s else "") for p, q, ks, s in _PARTS)
+
+
+@query(f"WITH {OBS}, {COUNTS}, {_QUAD}, {_SIDES} {_LINES}")
 def gr7_contour(spark, d):
-    """Rows only here; a test holds the segments against circles."""
-    return contour(counts(spark, d), "v", 150.5)
+    lines = contour(counts(spark, d), "v", 150.5)
+    return lines.select("r", "c", *(r6(F.col(k)).alias(k) for k in ("x1", "y1", "x2", "y2")))
 
 
 @query(f"WITH {PAIRS} SELECT cell, round(avg(phase), 6) AS mean, round(stddev_samp(phase), 6) AS sd, round(quantile_cont(phase, 0.05), 6) AS p05, round(quantile_cont(phase, 0.95), 6) AS p95, count(CASE WHEN coh >= 0.3 THEN 1 END) AS n_03, count(CASE WHEN coh >= 0.6 THEN 1 END) AS n_06 FROM pair_obs GROUP BY cell")

@@ -26,9 +26,9 @@ def pair_plan(scenes: DataFrame, by: Sequence[str], most_apart: int, most_days:
 
 
 def track_choice(scenes: DataFrame, track: str, event: str, today: str, repeat: int = 12) -> DataFrame:
-    """By track: the scene before an event, the one after it, the next pass from today on, and why a track can't serve yet."""
+    """By track: the scene at or before an event, the one after it, the next pass from today on, and why a track can't serve yet."""
     date, now = F.lit(event).cast("date"), F.lit(today).cast("date")
-    t = scenes.where(F.col("day") <= now).groupBy(track).agg(F.max(F.when(F.col("day") < date, F.col("day"))).alias("before"), F.min(F.when(F.col("day") >= date, F.col("day"))).alias("after"), F.max("day").alias("newest"))
+    t = scenes.where(F.col("day") <= now).groupBy(track).agg(F.max(F.when(F.col("day") <= date, F.col("day"))).alias("before"), F.min(F.when(F.col("day") > date, F.col("day"))).alias("after"), F.max("day").alias("newest"))
     passes = F.floor(F.datediff(now, "newest") / repeat).cast("int") + 1
     reason = F.when(F.col("before").isNull(), "no scene before the event").when(F.col("after").isNull(), "no scene after the event yet")
     return t.select(track, "before", "after", F.date_add("newest", passes * repeat).alias("next_pass"), reason.alias("reason"))

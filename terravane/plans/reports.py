@@ -11,6 +11,7 @@ from ..functions.geodesy import FEEDS, earth_radius, feed, geodetic, next_pass,
 from ..functions.indices import METHODS
 from ..operators.checks import resolved
 from ..operators.joins import neighbours
+from ..operators.quantiles import quantiles
 from ..operators.stats import trend
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
 from .grids import burned
@@ -248,9 +249,9 @@ def su10_shared_series(spark, d):
 def su13_display_frame(spark, d):
     """2nd to 98th percentile of path points with the area, 10 percent around it, the shorter side grown to 3:2, within the globe."""
     p = adapter(spark, d, "point")
-    q = lambda c, x, f, aoi: f(F.percentile(c, x), F.lit(float(aoi)))
-    b = p.agg(q("lon", 0.02, F.least, 101).alias("w"), q("lon", 0.98, F.greatest, 103).alias("e"), q("lat", 0.02, F.least, -2).alias("s"), q("lat", 0.98, F.greatest, 2).alias("n"))
     c = F.col
+    q = quantiles(p, "lon", {"w": 0.02, "e": 0.98}).drop("n").crossJoin(quantiles(p, "lat", {"s": 0.02, "t": 0.98}).drop("n"))  # one row each
+    b = q.select(F.least("w", F.lit(101.0)).alias("w"), F.greatest("e", F.lit(103.0)).alias("e"), F.least("s", F.lit(-2.0)).alias("s"), F.greatest("t", F.lit(2.0)).alias("n"))
     dx, dy = c("e") - c("w"), c("n") - c("s")
     b = b.select((c("w") - dx * 0.1).alias("w"), (c("e") + dx * 0.1).alias("e"), (c("s") - dy * 0.1).alias("s"), (c("n") + dy * 0.1).alias("n"))
     gx, gy = F.greatest(dy * 1.5 - dx, F.lit(0.0)) / 2, F.greatest(dx / 1.5 - dy, F.lit(0.0)) / 2

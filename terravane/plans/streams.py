@@ -17,19 +17,19 @@ def events(spark, d):
 
 @query("SELECT time_bucket(interval 30 minutes, ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def st2_frames(spark, d):
-    f = available(frames(events(spark, d)), "complete")
+    f = available(frames(events(spark, d)), "update", ["start"])
     return f.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", r6(F.col("mean")).alias("mean"))
 
 
 @query("WITH f AS (SELECT ts, unnest(generate_series(time_bucket(interval 30 minutes, ts) + interval 30 minutes, time_bucket(interval 30 minutes, ts) + interval 12 hours, interval 30 minutes)) AS frame FROM events) SELECT frame, count(*) AS n, round(sum(1 - floor(epoch(frame) - floor(epoch(ts))) / 43200), 6) AS glow FROM f GROUP BY frame")
 def st3_glow(spark, d):
-    g = available(glow(events(spark, d)), "complete")
+    g = available(glow(events(spark, d)), "update", ["frame"])
     return g.select(F.col("frame").cast("timestamp_ntz").alias("frame"), "n", r6(F.col("glow")).alias("glow"))
 
 
 @query("SELECT ts::date AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def st4_counters(spark, d):
-    return available(counters(events(spark, d)), "complete")
+    return available(counters(events(spark, d)), "update", ["day", "event_type"])
 
 
 @query("WITH s AS (SELECT user_id, ts, (ts > lag(ts) OVER w + interval 6 hours)::int AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(coalesce(cut, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k")

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.masks import clear_thermal, no_nan
 from ..operators.composite import daily
+from ..operators.quantiles import quantiles
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
 from .registry import query, r6
 from .spectral import CLEAR, clear
 from .zonal import JOINED, zoned_points
 
+#: Kinds of events, the columns of a wide table.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 OBS, SCENE, POINT, ZONE = (adapter_sql(x) for x in ("obs", "scene", "point", "zone"))
 
 
@@ -100,10 +103,10 @@ def tc6_latest(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("k")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("latest"), F.to_date(F.max("ts")).alias("day"))
 
 
-@query("SELECT user_id AS k, " + ", ".join(f"round(avg(CASE WHEN event_type = '{t}' THEN value END), 6) AS {t}" for t in ("click", "view")) + " FROM events GROUP BY user_id")
+@query("SELECT user_id AS k, " + ", ".join(f"round(avg(CASE WHEN event_type = '{t}' THEN value END), 6) AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id")
 def tc8_wide(spark, d):
-    wide = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("k")).pivot("event_type", ["click", "view"]).agg(F.avg("value"))
-    return wide.select("k", *(r6(F.col(t)).alias(t) for t in ("click", "view")))
+    wide = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("k")).pivot("event_type", list(EVENT_TYPES)).agg(F.avg("value"))
+    return wide.select("k", *(r6(F.col(t)).alias(t) for t in EVENT_TYPES))
 
 
 @query("SELECT user_id AS k, (ts + interval 12 hours)::date AS day, round(sum(value), 6) AS rain FROM events GROUP BY 1, 2")
@@ -153,8 +156,9 @@ def ag31_modal_size(spark, d):
 
 @query(f"WITH {POINT} SELECT round(quantile_cont(lon, 0.01), 6) AS w, round(quantile_cont(lon, 0.99), 6) AS e, round(quantile_cont(lat, 0.01), 6) AS s, round(quantile_cont(lat, 0.99), 6) AS n FROM point WHERE conf >= 60")
 def ag32_robust_box(spark, d):
-    p = lambda c, q: r6(F.percentile(c, q))
-    return adapter(spark, d, "point").where("conf >= 60").agg(p("lon", 0.01).alias("w"), p("lon", 0.99).alias("e"), p("lat", 0.01).alias("s"), p("lat", 0.99).alias("n"))
+    p = adapter(spark, d, "point").where("conf >= 60")
+    sides = quantiles(p, "lon", {"w": 0.01, "e": 0.99}).drop("n").crossJoin(quantiles(p, "lat", {"s": 0.01, "n_": 0.99}).drop("n"))  # one row each
+    return sides.select(r6(F.col("w")).alias("w"), r6(F.col("e")).alias("e"), r6(F.col("s")).alias("s"), r6(F.col("n_")).alias("n"))
 
 
 @query(f"WITH cal AS (SELECT unnest(generate_series(date '2023-12-30', date '2024-01-09', interval 1 day))::date AS day), {POINT}, n AS (SELECT day, count(*) AS n FROM point GROUP BY day) SELECT cal.day AS day, coalesce(n, 0) AS n FROM cal LEFT JOIN n USING (day)")
@@ -221,4 +225,6 @@ def su39_first_to_last(spark, d):
 def su40_correction_effect(spark, d):
     side = lambda odd: F.avg(F.when(F.col("l_linenumber") % 2 == odd, F.col("l_quantity")))
     p = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(side(1).alias("a"), side(0).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return p.agg(r6(F.median("a")).alias("before"), r6(F.median("b")).alias("after"), r6(100 * F.avg((F.col("b") < F.col("a")).cast("int"))).alias("pct_improved"))
+    middle = lambda c, name: quantiles(p, c, {name: 0.5}).select(r6(F.col(name)).alias(name))
+    better = p.agg(r6(100 * F.avg((F.col("b") < F.col("a")).cast("int"))).alias("pct_improved"))
+    return middle("a", "before").crossJoin(middle("b", "after")).crossJoin(better)  # one row each

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one stands in only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir; a temporary one stands in only where that is unset and driver and executors are one
+    process, as in tests: on a cluster each machine would write to a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.gettempdir() + "/terravane-checkpoints"

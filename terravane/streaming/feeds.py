@@ -6,12 +6,13 @@ what its sink holds. Timestamps are cast from TIMESTAMP_NTZ, which watermarks re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_folder
 
@@ -29,14 +30,25 @@ def stream(spark: SparkSession, path: str, timestamp: str | None = None) -> Data
     return out.withColumn(timestamp, F.col(timestamp).cast("timestamp")) if timestamp else out
 
 
-def available(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all data there are and returns its result, from files in the shared folder: all that
-    was appended, or the complete result of the last batch."""
+def available(df: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Runs a stream over all data there are and returns its result, from files in the shared folder: all that was appended, the latest
+    of the updates of each of `keys`, or the complete result of the last batch. Updates let the watermark drop old state, and only what
+    changed is written."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").start(f"{folder}/out").awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{folder}/out")
+    if mode == "update":
+
+        def add(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+        writer.foreachBatch(add).start().awaitTermination()
+        values = [c for c in df.columns if c not in keys]
+        updates = spark.read.schema(StructType([*df.schema, StructField("batch", LongType())])).parquet(f"{folder}/out")
+        newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+        return newest.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in values)).select(df.columns)
     last = []
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -61,9 +73,9 @@ def glow(feed: DataFrame, ts: str = "ts", reach: str = "12 hours", every: str =
     return w.withColumn("_weight", weight).groupBy("_w").agg(F.count("*").alias("n"), F.sum("_weight").alias("glow")).select(F.col("_w.end").alias("frame"), "n", "glow")
 
 
-def counters(feed: DataFrame, ts: str = "ts") -> DataFrame:
-    """Counts by day and kind."""
-    return feed.groupBy(F.to_date(ts).alias("day"), "event_type").agg(F.count("*").alias("n"))
+def counters(feed: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Counts by day and kind; a day is closed `late` after its end."""
+    return feed.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
 def sessions(feed: DataFrame, key: str, ts: str = "ts", gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -78,7 +90,8 @@ def first_seen(feed: DataFrame, key: list[str], ts: str = "ts", late: str = "60
 
 
 class DroughtCode(StatefulProcessor):
-    """Drought code by cell over days that arrive in any order within a batch; state: the code and the last day."""
+    """Drought code by cell over days that arrive in any order within a batch; state: the code and the last day. A day that comes
+    after a later one was folded in gets a row with no code: the fold can't go back, and a consumer sees what it lacks."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("code", "dc double, day date")
@@ -91,6 +104,7 @@ class DroughtCode(StatefulProcessor):
         out = []
         for day, t, rain in zip(days.day, days.t, days.rain):
             if last is not None and day <= last:
+                out.append((key[0], day, None))
                 continue
             if rain > 2.8:
                 dc = max(400 * math.log(800 / (800 * math.exp(-dc / 400) + 3.937 * (0.83 * rain - 1.27))), 0)

@@ -93,21 +93,22 @@ def soil(spark, d):
     return adapter(spark, d, "obs").groupBy("r", "c").agg((F.avg("red") * 100).alias("carbon"), (F.max("blue") - 0.2).alias("depth"))
 
 
-HA = cell_area_ha((F.lit(0.5) + F.col("r")) * 1.0 + -10.0, 0.5, 1.0)
+def coarse_ha():
+    return cell_area_ha(COARSE.centre()[1], 0.5, 1.0)
 
 
 @query(f"WITH {OBS}, {_SOIL} SELECT count(*) AS cells, count(CASE WHEN carbon >= 25.5 THEN 1 END) AS by_carbon, count(CASE WHEN depth > 0 THEN 1 END) AS by_depth, round(sum(CASE WHEN carbon >= 25.5 THEN {_CELL} ELSE 0 END), 4) AS carbon_ha FROM soil")
 def ch31_peat_masks(spark, d):
     s = soil(spark, d)
     rich, deep = peat(carbon=F.col("carbon"), least_carbon=25.5), peat(depth=F.col("depth"))
-    return s.agg(F.count("*").alias("cells"), F.count(F.when(rich, 1)).alias("by_carbon"), F.count(F.when(deep, 1)).alias("by_depth"), F.round(F.sum(F.when(rich, HA).otherwise(0.0)), 4).alias("carbon_ha"))
+    return s.agg(F.count("*").alias("cells"), F.count(F.when(rich, 1)).alias("by_carbon"), F.count(F.when(deep, 1)).alias("by_depth"), F.round(F.sum(F.when(rich, coarse_ha()).otherwise(0.0)), 4).alias("carbon_ha"))
 
 
 @query(f"WITH {OBS}, {_BURNED}, {_SOIL} SELECT y, round(sum(CASE WHEN hit = 1 THEN {_CELL} ELSE 0 END), 4) AS ha, round(sum(CASE WHEN hit = 1 AND carbon >= 25.5 THEN {_CELL} ELSE 0 END), 4) AS peat_ha, sum(fires)::bigint AS fires FROM (SELECT burn.r AS r, burn.c AS c, y, hit, fires, carbon FROM burn LEFT JOIN soil ON burn.r = soil.r AND burn.c = soil.c) GROUP BY y")
 def ag10_burned_by_year(spark, d):
     b = burned(spark, d).join(soil(spark, d), ["r", "c"], "left")
     hit = F.col("hit") == 1
-    return b.groupBy("y").agg(F.round(F.sum(F.when(hit, HA).otherwise(0.0)), 4).alias("ha"), F.round(F.sum(F.when(hit & peat(carbon=F.col("carbon"), least_carbon=25.5), HA).otherwise(0.0)), 4).alias("peat_ha"), F.sum("fires").alias("fires"))
+    return b.groupBy("y").agg(F.round(F.sum(F.when(hit, coarse_ha()).otherwise(0.0)), 4).alias("ha"), F.round(F.sum(F.when(hit & peat(carbon=F.col("carbon"), least_carbon=25.5), coarse_ha()).otherwise(0.0)), 4).alias("peat_ha"), F.sum("fires").alias("fires"))
 
 
 @query(f"WITH {OBS} SELECT month(day) AS m, count(CASE WHEN nir < 0.2 THEN 1 END) AS fires, count(DISTINCT CASE WHEN nir < 0.2 THEN year(day) END) AS years FROM obs GROUP BY 1")

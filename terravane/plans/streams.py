@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources.adapters import WEATHER, weather
+from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
 from ..streaming.feeds import ROCKSDB, available, counters, drought_codes, first_seen, frames, glow, sessions, stream
+from ..streaming.jobs import known_jobs, submit
 from .dynamics import _ONLY_DC
 from .registry import query, r6
 
+_SCENE = adapter_sql("scene")
+
 
 def events(spark, d):
     return stream(spark, f"{d}/events.parquet", "ts")
@@ -55,3 +58,14 @@ def st8_drought_state(spark, d):
     finally:
         spark.conf.set(key, before)
     return out.select("cell", "day", r6(F.col("dc")).alias("dc"))
+
+
+@query(f"WITH {_SCENE}, a AS (SELECT scene_id, cloud_pct FROM scene WHERE cloud_pct < 4) SELECT 'job-' || scene_id AS name, min(CASE WHEN cloud_pct < 2 THEN 0 ELSE 1 END)::bigint AS batch FROM a GROUP BY 1")
+def st7_submitted_jobs(spark, d):
+    """Jobs asked for twice are submitted once: a second batch that holds the first one adds only what is new."""
+    ledger = shared_folder(spark)
+    s = adapter(spark, d, "scene").select(F.concat(F.lit("job-"), F.col("scene_id").cast("string")).alias("name"), "cloud_pct")
+    submit(s.where("cloud_pct < 2"), ledger, 0)
+    submit(s.where("cloud_pct < 4"), ledger, 1)
+    submit(s.where("cloud_pct < 4"), ledger, 1)  # run again after a crash
+    return known_jobs(spark, ledger)

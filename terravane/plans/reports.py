@@ -460,3 +460,12 @@ def sc26_subfaults(spark, d):
     dip = F.radians("dip")
     moment = F.lit(3e10) * F.col("length") * F.col("width") * 1e6 * F.col("slip") / 1e18
     return j.select("k", r6(F.col("width") * F.cos(dip)).alias("across"), r6(F.col("width") * F.sin(dip)).alias("down"), F.round(moment, 9).alias("moment"))
+
+
+@query("SELECT o_orderkey AS k, o_orderdate + interval 1 hour * (o_custkey % 24) - interval 1 millisecond * ((o_custkey % 9000 + 1000) * 250) AS start FROM orders")
+def su44_start_times(spark, d):
+    """Start of a scene from the time of its middle: half its lines earlier, at a quarter of a second each here."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    centre = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (F.col("o_custkey") % 24) * 3_600_000_000)
+    start = F.timestamp_micros(F.unix_micros(centre) - (F.col("o_custkey") % 9000 + 1000) * 250_000)
+    return o.select(F.col("o_orderkey").alias("k"), start.cast("timestamp_ntz").alias("start"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,9 +26,10 @@ def endpoints(spark: SparkSession, path: str) -> DataFrame:
     lines = F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "")
     fields = lambda x: F.split(F.trim(x), r"\s+")
     files = spark.read.format("binaryFile").load(path)
+    listed = len(files.inputFiles())
     read = files.where("length > 0").count()  # Spark passes over files without bytes; a run has few files
-    if read < len(files.inputFiles()):
-        raise ValueError(f"{len(files.inputFiles()) - read} empty endpoint files in {path}")
+    if read < listed:
+        raise ValueError(f"{listed - read} empty endpoint files in {path}")
     text = files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
     text = text.select("file", lines.alias("l")).withColumn("l", F.when(F.size("l") == 0, F.raise_error(F.concat(F.lit("empty endpoint file "), "file"))).otherwise(F.col("l")))
     text = text.withColumn("g", F.get(fields(F.get("l", F.lit(0))), F.lit(0)).cast("int"))
@@ -85,6 +87,11 @@ def geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
     return f.where(rings.isNotNull()).select("zone", "name", F.flatten(F.transform(rings, pairs)).alias("edges"))
 
 
+def located(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI and the path on it. Local paths must be on folders that all executors share."""
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
 class FlatRaster(DataSource):
     """Flat binary rasters of float32: options width, height, order (big or little), bands (names in file order,
     band after band) and rows (of one partition). Columns r, c and one for each band; nodata gives NULL."""
@@ -114,32 +121,60 @@ class _FlatRasterReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         a, b = partition.value
         n, columns = (b - a) * self.width, []
-        with open(self.path, "rb") as f:
+        files, path = located(self.path)
+        with files.open_input_file(path) as f:
             for k in range(len(self.bands)):
-                f.seek((k * self.height + a) * self.width * 4)
-                v = np.frombuffer(f.read(n * 4), self.type).astype(float)
+                v = np.frombuffer(f.read_at(n * 4, (k * self.height + a) * self.width * 4), self.type).astype(float)
                 columns.append(pa.array(v, mask=~np.isfinite(v) | (v == self.nodata if self.nodata is not None else False)))
         r, c = np.divmod(np.arange(n), self.width)
         yield pa.RecordBatch.from_arrays([pa.array((r + a).astype(np.int32)), pa.array(c.astype(np.int32)), *columns], ["r", "c", *self.bands])
 
 
+class CeosRecords(DataSource):
+    """Records of CEOS files, one partition a file: a big-endian header of 12 bytes tells each record's kind and length. Only headers are
+    read, and what lies between them is passed over, so a scene's size doesn't matter. Option: path, a file or a folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ceos_records"
+
+    def schema(self) -> str:
+        return "file string, k int, kind string, offset long, size long"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _CeosReader(self.options["path"])
+
+
+class _CeosReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        files, path = located(self.path)
+        if files.get_file_info(path).type == FileType.Directory:
+            found = files.get_file_info(FileSelector(path))
+        else:
+            found = [files.get_file_info(path)]
+        return [InputPartition((f.path, f.size)) for f in found if f.type == FileType.File]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        path, length = partition.value
+        files, _ = located(self.path)
+        with files.open_input_file(path) as f:
+            at = k = 0
+            while at + 12 <= length:
+                head = f.read_at(12, at)
+                size = int.from_bytes(head[8:], "big")
+                if size < 12 or at + size > length:
+                    raise ValueError(f"{path}: record {k} at {at} has length {size}")
+                yield path, k, head[4:8].hex(), at, size
+                at, k = at + size, k + 1
+
+
 def ceos_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, k, kind, offset, size) of the records of CEOS files: a big-endian header of 12 bytes tells kind and length."""
-
-    def run(batches):
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, at = [], 0
-                while at + 12 <= len(data):
-                    size = int.from_bytes(data[at + 8 : at + 12], "big")
-                    if size < 12 or at + size > len(data):
-                        raise ValueError(f"{file}: record {len(rows)} at {at} has length {size}")
-                    rows.append((file, len(rows), data[at + 4 : at + 8].hex(), at, size))
-                    at += size
-                names = ["file", "k", "kind", "offset", "size"]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows], pa.schema([("file", pa.string()), ("k", pa.int32()), ("kind", pa.string()), ("offset", pa.int64()), ("size", pa.int64())]))
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, k int, kind string, offset long, size long")
+    """(file, k, kind, offset, size) of the records of CEOS files."""
+    spark.dataSource.register(CeosRecords)
+    return spark.read.format("ceos_records").option("path", path).load()
 
 
 def run_results(spark: SparkSession, path: str) -> DataFrame:

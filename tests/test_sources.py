@@ -94,6 +94,7 @@ def test_flat_raster(spark, tmp_path, order):
 def test_ceos_records(spark, tmp_path):
     record = lambda kind, n: (1).to_bytes(4, "big") + kind + n.to_bytes(4, "big") + b"\0" * (n - 12)
     (tmp_path / "led").write_bytes(record(b"\x3f\xc0\x12\x12", 720) + record(b"\x12\x0a\x12\x14", 4096))
+    assert ceos_records(spark, str(tmp_path)).count() == ceos_records(spark, (tmp_path / "led").as_uri()).count() == 2
     rows = ceos_records(spark, str(tmp_path / "led")).orderBy("k").collect()
     assert [(r.kind, r.offset, r.size) for r in rows] == [("3fc01212", 0, 720), ("120a1214", 720, 4096)]
 

@@ -13,9 +13,9 @@ from .joins import QUEEN, neighbours
 
 
 def _with_least(links: DataFrame) -> DataFrame:
-    """links (u, v) with the least v of each u. The minima are a table of their own, so that the join stands on two
+    """links (u, v) with the least v of each u. The minima are dealt out once more before the join, so that it stands on two
     plain exchanges and Spark can split the links of a hub."""
-    return links.join(written(links.groupBy("u").agg(F.min("v").alias("least"))), "u")
+    return links.join(links.groupBy("u").agg(F.min("v").alias("least")).repartition(F.xxhash64("u")), "u")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if not now[0]:
             break
         before = now
-        links, now = _counted(_small_star(_large_star(links)))
+        links, now = _counted(_small_star(written(_large_star(links))))
         if now == before:
             break
     else:

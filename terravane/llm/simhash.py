@@ -192,7 +192,7 @@ def near_links(nodes: DataFrame, most: int = 2048) -> DataFrame:
         | shiftleft({shift.format("(x div 16)")}, 16)
         | ({shift.format("((x div 16 + 1) % 4)")} & ~shiftleft(1L, x % 16)))) AS key"""
     # each node gives 64 rows, so the nodes are spread over all tasks first, however few bytes they are
-    spread = nodes.where("rep IS NOT NULL").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    spread = nodes.where("rep IS NOT NULL").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keyed = spread.selectExpr(keys.replace("(x div 16)", "int(x div 16)").replace("((x div 16 + 1) % 4)", "int((x div 16 + 1) % 4)"), "fp", "rep")
     found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(most), _LINKS)
     found = written(found, shared_folder(nodes.sparkSession))

@@ -260,7 +260,8 @@ def _loose(m: re.Match, most: int) -> list[Piece]:
 
 
 _NOT_BODY = str.maketrans("", "", " \t\r\n>=")
-DECODERS = ((_PERCENT, _percent), (_ESCAPE, _escape), (_BASE64, _base64), (_WRAPPED, _loose))
+#: What a text must hold for a decoder to find anything, its candidates, and the decoder.
+DECODERS = (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escape), ("", _BASE64, _base64), ("", _WRAPPED, _loose))
 
 
 class Layer:
@@ -326,13 +327,14 @@ class Layer:
 
 def decoded_spans(text: str, most: int = MAX_PAYLOAD) -> set[Span]:
     """Spans of the original text that hold a secret at some depth of decoding."""
-    if not any(pattern.search(text) for pattern, _ in DECODERS):
+    # every wrapped candidate begins with a plain one, so the last pattern needs no look of its own
+    if not any(mark in text and pattern.search(text) for mark, pattern, _ in DECODERS[:3]):
         return set()
     work, seen, found = [Layer.of(text)], {hashlib.sha256(text.encode()).digest()}, set()
     while work:
         layer = work.pop()
-        for pattern, decode in DECODERS:
-            inner = layer.unwrapped(pattern, decode, most)
+        for mark, pattern, decode in DECODERS:
+            inner = layer.unwrapped(pattern, decode, most) if mark in layer.text else None
             if inner is not None and (digest := hashlib.sha256(inner.text.encode()).digest()) not in seen:
                 seen.add(digest)
                 found.update(inner.spans())

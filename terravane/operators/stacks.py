@@ -88,7 +88,7 @@ def bootstrap(values: DataFrame, block: str, angle: str, replicates: int, seed:
 def elevation_fit(cells: DataFrame, height: str, value: str, bins: int) -> DataFrame:
     """One row: R squared of a line of value on height, and of medians in `bins` classes of equal count."""
     known = cells.where(F.col(height).isNotNull() & F.col(value).isNotNull()).select(F.col(height).alias("h"), F.col(value).alias("v"))
-    edges = known.agg(*(F.percentile("h", (k + 1) / bins).alias(f"e{k}") for k in range(bins - 1)))
+    edges = quantiles(known, "h", {f"e{k}": (k + 1) / bins for k in range(bins - 1)}).drop("n")
     own = sum(((F.col("h") > F.col(f"e{k}")).cast("int") for k in range(bins - 1)), F.lit(0))
     binned = known.crossJoin(F.broadcast(edges)).withColumn("bin", own)  # one row of edges
     medians = binned.groupBy("bin").agg(F.median("v").alias("m"))

@@ -189,7 +189,7 @@ def su27_height_ceiling(spark, d):
     """Upper end of a height scale, and the tile zoom at which a span of 10 degrees has some 1,024 pixels."""
     k = adapter(spark, d, "obs").groupBy("r", "c").agg((F.avg("tir") * 60).alias("v"))
     zoom = F.least(F.greatest(F.floor(F.log2(F.lit(360 * 1024 / (256 * 10.0)))), F.lit(1)), F.lit(14)).cast("int")
-    return k.agg(F.greatest(F.lit(1200.0), F.round(F.percentile("v", 0.999) / 100) * 100).alias("ceiling"), zoom.alias("zoom"))
+    return quantiles(k, "v", {"top": 0.999}).select(F.greatest(F.lit(1200.0), F.round(F.col("top") / 100) * 100).alias("ceiling"), zoom.alias("zoom"))
 
 
 @query("WITH m AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2) SELECT y, m, n, sum(n) OVER (PARTITION BY y ORDER BY m)::bigint AS so_far FROM m")
@@ -296,7 +296,7 @@ def wn7_decayed_frames(spark, d):
 def wn9_equal_bins(spark, d):
     """Five classes of equal count, by their edges."""
     k = adapter(spark, d, "obs").groupBy("r", "c").agg(F.avg("nir").alias("v"))
-    edges = k.agg(*(F.percentile("v", q / 5).alias(f"e{q}") for q in range(1, 5)))  # one row
+    edges = quantiles(k, "v", {f"e{q}": q / 5 for q in range(1, 5)}).drop("n")  # one row
     own = sum(((F.col("v") > F.col(f"e{q}")).cast("int") for q in range(1, 5)), F.lit(0))
     return k.crossJoin(F.broadcast(edges)).groupBy(own.alias("bin")).agg(F.count("*").alias("n"), r6(F.min("v")).alias("low"), r6(F.max("v")).alias("high"))
 

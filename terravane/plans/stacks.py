@@ -9,6 +9,7 @@ from ..functions.indices import decibels
 from ..operators.change import optical_change, orbit_choice
 from ..operators.composite import period_composite
 from ..operators.overlay import sampled
+from ..operators.quantiles import quantiles
 from ..operators.stacks import bootstrap, elevation_fit, exceedance, file_state, local_resultant, mask_polarity, picks, reference_spread, stats_lines, trusted_range, usable_scenes, without_band
 from ..sources.adapters import adapter, adapter_sql
 from .grids import COARSE, FINE
@@ -251,7 +252,7 @@ def close_up(spark, d):
 def ch27_close_up(spark, d):
     """Cells that were green and no longer are, and red light stretched between its 2nd and 98th percentile."""
     p = close_up(spark, d)
-    e = p.agg(F.percentile("red", 0.02).alias("lo"), F.percentile("red", 0.98).alias("hi"))  # one row
+    e = quantiles(p, "red", {"lo": 0.02, "hi": 0.98})  # one row
     shown = F.least(F.greatest((F.col("red") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
     return p.crossJoin(F.broadcast(e)).select("r", "c", ((F.col("a") > 0.3) & (F.col("b") - F.col("a") < -0.02)).alias("lost"), r6(shown).alias("shown"))
 
@@ -279,10 +280,12 @@ def ag1_area_reducers(spark, d):
     """All reducers of an area at once; a mask's percentage is of valid cells."""
     v = F.when(F.col("nir") > 0.05, F.col("nir"))
     x = adapter(spark, d, "obs").where("r BETWEEN 5 AND 14 AND c BETWEEN 5 AND 14").select(v.alias("v"), (F.col("nir") > 0.5).cast("int").alias("mask"))
-    return x.agg(
+    high = quantiles(x, "v", {"p90": 0.9}).select(r6(F.col("p90")).alias("p90"))
+    sums = x.agg(
         F.count("*").alias("n"), F.count("v").alias("valid"), r6(F.avg("v")).alias("mean"), F.round(F.sum("v"), 4).alias("total"), F.min("v").alias("least"), F.max("v").alias("most"),
-        r6(F.stddev_pop("v")).alias("sd"), r6(F.percentile("v", 0.9)).alias("p90"), r6(100 * F.avg(F.when(F.col("v").isNotNull(), F.col("mask")))).alias("pct_mask"),
+        r6(F.stddev_pop("v")).alias("sd"), r6(100 * F.avg(F.when(F.col("v").isNotNull(), F.col("mask")))).alias("pct_mask"),
     )
+    return sums.crossJoin(high)  # one row each
 
 
 @query(f"WITH {POINT}, s AS (SELECT sat, sum(value) AS total FROM point GROUP BY sat) SELECT sat, round(total, 4) AS total, round(100 * total / sum(total) OVER (), 6) AS pct FROM s")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
-from ..streaming.feeds import ROCKSDB, available, counters, drought_codes, first_seen, frames, glow, sessions, stream
+from ..streaming.feeds import ROCKSDB, available, closed, counters, drought_codes, first_seen, frames, glow, sessions, stream
 from ..streaming.jobs import known_jobs, submit
 from .dynamics import _ONLY_DC
 from .registry import query, r6
@@ -37,7 +37,7 @@ def st4_counters(spark, d):
 
 @query("WITH s AS (SELECT user_id, ts, (ts > lag(ts) OVER w + interval 6 hours)::int AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(coalesce(cut, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k")
 def st6_sessions(spark, d):
-    s = available(sessions(events(spark, d), "user_id"), "complete")
+    s = closed(spark, f"{d}/events.parquet", "ts", lambda feed: sessions(feed, "user_id"))
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 

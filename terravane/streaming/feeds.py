@@ -6,7 +6,7 @@ what its sink holds. Timestamps are cast from TIMESTAMP_NTZ, which watermarks re
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,24 @@ def available(df: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out/{last[0]}") if last else spark.createDataFrame([], df.schema)
 
 
+def closed(spark: SparkSession, path: str, ts: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The whole result of an append-mode stream over what there is at a path, its last windows among it: after all data a row far in the
+    future moves the watermark past them, as later data would. build: from the feed to windows of which that row's own stays open."""
+    folder = shared_folder(spark)
+    data = spark.read.parquet(path)
+    end = data.agg(F.max(ts).alias("last")).select(F.expr("last + INTERVAL 10 YEARS").cast(data.schema[ts].dataType).alias(ts))
+    end = end.select(*(F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in data.schema))
+    end.limit(0).write.parquet(f"{folder}/end")
+    feed = stream(spark, path, ts).unionByName(stream(spark, f"{folder}/end", ts))
+    out = build(feed)
+    for k in range(3):  # data, the last row, and a batch that the moved watermark closes windows in
+        if k == 1:
+            end.coalesce(1).write.mode("append").parquet(f"{folder}/end")
+        run = out.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        run.format("parquet").start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 def frames(feed: DataFrame, ts: str = "ts", width: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Counts and means of tumbling windows."""
     w = feed.withWatermark(ts, late).groupBy(F.window(ts, width))

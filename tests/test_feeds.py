@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from terravane.streaming.feeds import available, sessions, stream
+from terravane.streaming.feeds import available, closed, sessions, stream
 
 
 def test_sessions_are_files(spark, tmp_path):
     path = str(tmp_path / "feed")
     for k, rows in enumerate(["(1, '2024-01-01 00:00:00'), (1, '2024-01-01 05:00:00'), (2, '2024-01-01 00:00:00')", "(1, '2024-01-01 10:00:00'), (1, '2024-01-02 00:00:00')"]):
         spark.sql(f"SELECT col1 AS k, cast(col2 AS timestamp) AS ts FROM VALUES {rows}").coalesce(1).write.mode("append").parquet(path)
-    out = available(sessions(stream(spark, path), "k"), "complete")
+    whole = available(sessions(stream(spark, path), "k"), "complete")
+    out = closed(spark, path, "ts", lambda feed: sessions(feed, "k"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, out.collect()))
     assert sorted((r.k, str(r.start), r.n) for r in out.collect()) == [(1, "2024-01-01 00:00:00", 3), (1, "2024-01-02 00:00:00", 1), (2, "2024-01-01 00:00:00", 1)]
     assert out.inputFiles()

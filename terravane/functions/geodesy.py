@@ -12,9 +12,15 @@ SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 
 # fixed values: boxes (west, south, east, north) of the continental detection feeds, the first one that holds a place serves it
 FEEDS = (
-    ("SouthEast_Asia", 90.0, -11.5, 141.0, 29.0),
-    ("South_Asia", 54.0, 5.0, 102.0, 40.0),
-    ("Australia_NewZealand", 110.0, -55.0, 180.0, -10.0),
+    ("SouthEast_Asia", 90, -12, 145, 30),
+    ("South_Asia", 60, 0, 92, 40),
+    ("Australia_NewZealand", 110, -50, 180, -10),
+    ("Europe", -25, 34, 45, 72),
+    ("Africa", -20, -36, 55, 38),
+    ("South_America", -82, -57, -34, 13),
+    ("Central_America", -118, 7, -58, 33),
+    ("North_America", -170, 14, -50, 80),
+    ("Russia_Asia", 45, 40, 180, 78),
 )
 
 
@@ -56,5 +62,6 @@ def nice_step(span: Column, most: int) -> Column:
 
 
 def next_pass(newest: Column, today: Column, repeat: int) -> Column:
-    """First pass after today, in whole repeats from the newest scene."""
-    return F.date_add(newest, (F.greatest(F.floor(F.datediff(today, newest) / repeat), F.lit(0)).cast("int") + 1) * repeat)
+    """First pass after today, in whole repeats from the newest scene; that scene's own day if it is still to come."""
+    steps = F.when(newest > today, 0).otherwise(F.floor(F.datediff(today, newest) / repeat).cast("int") + 1)
+    return F.date_add(newest, steps * repeat)

@@ -388,18 +388,18 @@ def fn29_earth_radius(spark, d):
 _FEEDS = "CASE " + " ".join(f"WHEN lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} THEN '{k}'" for k, w, s, e, n in FEEDS) + " END"
 
 
-@query(f"WITH {POINT}, q AS (SELECT lon * 3 - 200 AS lon, lat * 3 AS lat FROM point) SELECT {_FEEDS} AS feed, count(*) AS n FROM q GROUP BY 1")
+@query(f"WITH {POINT}, q AS (SELECT lon * 30 - 3150 AS lon, lat * 6 AS lat FROM point) SELECT {_FEEDS} AS feed, count(*) AS n FROM q GROUP BY 1")
 def fn32_feed_by_place(spark, d):
     """The continental feed that serves a place: the first box that holds it."""
-    p = adapter(spark, d, "point").select((F.col("lon") * 3 - 200).alias("lon"), (F.col("lat") * 3).alias("lat"))
+    p = adapter(spark, d, "point").select((F.col("lon") * 30 - 3150).alias("lon"), (F.col("lat") * 6).alias("lat"))
     return p.groupBy(feed(F.col("lon"), F.col("lat")).alias("feed")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SCENE}, t AS (SELECT rel_orbit, max(day) AS newest FROM scene GROUP BY rel_orbit) SELECT rel_orbit, newest, newest + (greatest(floor(date_diff('day', newest, date '1998-09-10') / 12), 0)::int + 1) * 12 AS next FROM t")
+@query(f"WITH {SCENE}, t AS (SELECT rel_orbit, max(day) AS newest FROM scene GROUP BY rel_orbit) SELECT rel_orbit, newest, newest + CASE WHEN newest > date '2001-07-30' THEN 0 ELSE (floor(date_diff('day', newest, date '2001-07-30') / 12)::int + 1) * 12 END AS next FROM t")
 def fn33_next_pass(spark, d):
     """By track: the first pass after today, in repeats of 12 days."""
     t = adapter(spark, d, "scene").groupBy("rel_orbit").agg(F.max("day").alias("newest"))
-    return t.select("rel_orbit", "newest", next_pass(F.col("newest"), F.lit("1998-09-10").cast("date"), 12).alias("next"))
+    return t.select("rel_orbit", "newest", next_pass(F.col("newest"), F.lit("2001-07-30").cast("date"), 12).alias("next"))
 
 
 # --- areas and sources

@@ -36,19 +36,23 @@ def class_raster(cells: DataFrame, code: str, palette: dict[int, str]) -> DataFr
     return cells.select("r", "c", F.coalesce(F.col(code).cast("int"), F.lit(255)).alias("code"), F.element_at(colours, F.col(code).cast("int")).alias("colour"))
 
 
-# fixed values: settings of a time-series run and the file suffixes they need
+# fixed values: settings of a time-series run and the suffixes of the files they name; the first two are always set
 SERIES_BANDS = {
     "mintpy.load.unwFile": "_unw_phase.tif",
     "mintpy.load.corFile": "_corr.tif",
     "mintpy.load.demFile": "_dem.tif",
-    "mintpy.load.incAngleFile": "_lv_theta.tif",
-    "mintpy.load.azAngleFile": "_lv_phi.tif",
-    "mintpy.load.waterMaskFile": "_water_mask.tif",
+    "mintpy.load.incAngleFile": "_inc_map.tif",
 }
 
 
-def series_config(files: DataFrame, name: str, folder: str) -> str:
-    """Settings for the bands that any product has; a setting without a file would stop the run, so it is left out."""
-    found = files.agg(*(F.max(F.endswith(F.col(name), F.lit(s)).cast("int")).alias(f"b{k}") for k, s in enumerate(SERIES_BANDS.values()))).first()
-    lines = ["mintpy.load.processor = hyp3"] + [f"{key} = {folder}/*/*{suffix}" for k, (key, suffix) in enumerate(SERIES_BANDS.items()) if found[k]]
+def series_config(files: DataFrame, product: str, name: str, folder: str) -> str:
+    """Settings for the bands there are; one without a file would stop the run, so it is left out. Incidence angles belong to a track, not to
+    a pair: one file stands for all, that of the first product by name."""
+    ends = lambda s: F.endswith(F.col(name), F.lit(s))
+    least = lambda s: F.min(F.when(ends(s), F.concat_ws("/", product, name)))
+    found = files.agg(*(least(s).alias(f"b{k}") for k, s in enumerate(SERIES_BANDS.values()))).first()
+    lines = ["mintpy.load.processor = hyp3"]
+    for k, (key, suffix) in enumerate(SERIES_BANDS.items()):
+        if k < 2 or found[k]:
+            lines.append(f"{key} = {folder}/" + (found[k] if suffix == "_inc_map.tif" else f"*/*{suffix}"))
     return "\n".join(lines) + "\n"

@@ -126,8 +126,9 @@ def test_sinks(spark, tmp_path):
     assert "<h2>a &amp; b</h2><pre>x &lt; y</pre>" in sinks.page("t", [("a & b", "x < y")])
     raster = sinks.class_raster(spark.createDataFrame([(0, 0, 1), (0, 1, None)], "r int, c int, k int"), "k", {1: "#ff0000"})
     assert [tuple(r) for r in raster.orderBy("c").collect()] == [(0, 0, 1, "#ff0000"), (0, 1, 255, None)]
-    config = sinks.series_config(spark.createDataFrame([("p_unw_phase.tif",), ("p_corr.tif",)], "name string"), "name", "/d")
-    assert "unwFile = /d/*/*_unw_phase.tif" in config and "demFile" not in config
+    files = spark.createDataFrame([("Q", "q_inc_map.tif"), ("P", "p_unw_phase.tif"), ("P", "p_inc_map.tif")], "product string, name string")
+    config = sinks.series_config(files, "product", "name", "/d")
+    assert "unwFile = /d/*/*_unw_phase.tif" in config and "corFile = /d/*/*_corr.tif" in config and "demFile" not in config and "incAngleFile = /d/P/p_inc_map.tif" in config
 
 
 def test_streets(spark, tmp_path):

@@ -69,17 +69,28 @@ def picks(scenes: DataFrame, track: Sequence[str], event: Column, before: int =
     return out.where(F.col("place") <= F.when(late, after).otherwise(before)).drop("_away")
 
 
+#: A prime that isn't one more than a multiple of 3, so that cubes modulo it are all different.
+DRAWS = 1_000_037
+
+
+def poisson_bounds(most: int = 8) -> list[int]:
+    """Numbers below DRAWS from which on a draw counts once, twice, ... by a Poisson law of mean 1."""
+    bounds, level, term = [], 0.0, 2.718281828459045**-1
+    for k in range(most):
+        level += term
+        bounds.append(round(level * DRAWS))
+        term /= k + 1
+    return bounds
+
+
 def bootstrap(values: DataFrame, block: str, angle: str, replicates: int, seed: int = 1) -> DataFrame:
-    """(replicate, direction, length) of circular means over blocks drawn again with replacement. Each block counts a number of times
-    that a hash of it and the replicate gives, distributed as Poisson(1), so every replicate is a sum, whatever the order of rows."""
+    """(replicate, direction, length) of circular means over blocks drawn again with replacement. Each block, an integer, counts a number of times
+    that a cube modulo a prime of it and the replicate gives, distributed as Poisson(1), so every replicate is a sum, whatever the order of rows."""
     blocks = values.groupBy(block).agg(F.avg(F.sin(angle)).alias("_s"), F.avg(F.cos(angle)).alias("_c"))
     drawn = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(block, "replicate", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    times, level, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(8):
-        level += term
-        times = times + (u >= level).cast("int")
-        term /= k + 1
+    x = F.pmod(F.col(block).cast("long") * 7919 + F.col("replicate") * 104729 + 31 * seed, F.lit(DRAWS))
+    u = x * x % DRAWS * x % DRAWS
+    times = sum(((u >= b).cast("int") for b in poisson_bounds()), F.lit(0))
     drawn = drawn.withColumn("_n", times)
     sums = drawn.groupBy("replicate").agg(F.sum(F.col("_n") * F.col("_s")).alias("_s"), F.sum(F.col("_n") * F.col("_c")).alias("_c"), F.sum("_n").alias("_n"))
     return sums.select("replicate", F.atan2("_s", "_c").alias("direction"), F.try_divide(F.hypot("_s", "_c"), "_n").alias("length"))

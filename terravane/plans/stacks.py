@@ -10,7 +10,7 @@ from ..operators.change import optical_change, orbit_choice
 from ..operators.composite import period_composite
 from ..operators.overlay import sampled
 from ..operators.quantiles import quantiles
-from ..operators.stacks import bootstrap, elevation_fit, exceedance, file_state, local_resultant, mask_polarity, picks, reference_spread, stats_lines, trusted_range, usable_scenes, without_band
+from ..operators.stacks import DRAWS, bootstrap, elevation_fit, exceedance, file_state, local_resultant, mask_polarity, picks, poisson_bounds, reference_spread, stats_lines, trusted_range, usable_scenes, without_band
 from ..sources.adapters import adapter, adapter_sql
 from .grids import COARSE, FINE
 from .motion import _PHASE, phase
@@ -90,9 +90,13 @@ def su17_tracks(spark, d):
     return s.groupBy("rel_orbit", "orbit").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.sum(F.col("scene_id") * F.col("rank")).alias("ordered"))
 
 
-@query(None)
+_TIMES = " + ".join(f"(u >= {b})::int" for b in poisson_bounds())
+_BOOT = f"bl AS (SELECT cell, avg(sin(phase)) AS s, avg(cos(phase)) AS c FROM pair_obs GROUP BY cell), dr AS (SELECT s, c, k, (cell::bigint * 7919 + k * 104729 + 31) % {DRAWS} AS x FROM bl, (SELECT unnest(range(200)) AS k)), cu AS (SELECT s, c, k, (x * x % {DRAWS}) * x % {DRAWS} AS u FROM dr), wt AS (SELECT k, s, c, {_TIMES} AS n FROM cu), rp AS (SELECT k, sqrt(power(sum(n * s), 2) + power(sum(n * c), 2)) / sum(n) AS length FROM wt GROUP BY k)"
+
+
+@query(f"WITH {PAIRS}, {_BOOT} SELECT round(quantile_cont(length, 0.025), 6) AS low, round(quantile_cont(length, 0.975), 6) AS high, count(*) AS draws FROM rp")
 def ag22_block_bootstrap(spark, d):
-    """Interval of the mean direction over 200 draws of cells; a test holds it against numpy on the same draws."""
+    """Interval of the resultant's length over 200 draws of cells."""
     b = bootstrap(adapter(spark, d, "pair_obs"), "cell", "phase", 200)
     return b.agg(r6(F.percentile("length", 0.025)).alias("low"), r6(F.percentile("length", 0.975)).alias("high"), F.count("*").alias("draws"))
 

@@ -43,11 +43,6 @@ def forest(columns, rows, duck):
     assert got == dict(want)
 
 
-def interval(columns, rows, duck):
-    ((draws, high, low),) = rows
-    assert columns == ["draws", "high", "low"] and draws == 200 and 0 <= low <= high <= 1
-
-
 def paths(columns, rows, duck):
     """Every parcel is followed over all steps of six hours."""
     at = {c: k for k, c in enumerate(columns)}
@@ -57,7 +52,7 @@ def paths(columns, rows, duck):
     assert all(x == set(range(19)) for x in steps.values())
 
 
-WITHOUT_TWIN = {"ch29_random_forest": forest, "ag22_block_bootstrap": interval, "rc3_parcels": paths}
+WITHOUT_TWIN = {"ch29_random_forest": forest, "rc3_parcels": paths}
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -196,12 +196,15 @@ def _apply(kind: Bytes, keep_text: bool):
     def apply(ids, doc, texts, runs, found) -> pa.Table:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.cumsum(size + 1) - size - 1
-        change = np.zeros(len(runs.raw) + 1, np.int32)
-        for k, v in enumerate(found):
-            if v is not None:
-                hit = np.flatnonzero(np.unpackbits(np.frombuffer(v, np.uint8), count=int(runs.windows[k]))) + int(runs.begin[k])
-                change[hit] += 1
-                change[hit + kind.window] -= 1
+        at = np.array([k for k, v in enumerate(found) if v is not None], np.int64)
+        bits = np.unpackbits(np.frombuffer(b"".join(found[k] for k in at.tolist()), np.uint8))
+        n = runs.windows[at]
+        whole = (n + 7) // 8 * 8  # each verdict fills its last byte
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = bits[np.repeat(np.cumsum(whole) - whole, n) + inside] > 0
+        places = (np.repeat(runs.begin[at], n) + inside)[hit]
+        size_all = len(runs.raw) + 1
+        change = np.bincount(places, minlength=size_all) - np.bincount(places + kind.window, minlength=size_all)
         gone = np.cumsum(change[:-1]) > 0
         edges = np.flatnonzero(gone[1:] & ~gone[:-1]) + 1
         if len(gone) and gone[0]:

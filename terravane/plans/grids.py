@@ -170,11 +170,11 @@ def sc28_buildings(spark, d):
 _FRAME = "frame AS (SELECT (scene_id % 4)::int AS f, r, c, avg(nir) AS v FROM obs WHERE abs(c - 5 * (scene_id % 4)) <= 5 GROUP BY 1, 2, 3)"
 
 
-@query(f"WITH {OBS}, {_FRAME} SELECT r, c, round(avg(v), 6) AS mean, round(arg_min(v, f), 6) AS first, count(*) AS frames FROM frame GROUP BY r, c")
+@query(f"WITH {OBS}, {_FRAME} SELECT r, c, round(avg(v), 4) AS mean, round(arg_min(v, f), 4) AS first, count(*) AS frames FROM frame GROUP BY r, c")
 def ag30_mosaic(spark, d):
     o = adapter(spark, d, "obs").withColumn("f", (F.col("scene_id") % 4).cast("int")).where("abs(c - 5 * f) <= 5")
     out = mosaic(o.groupBy("f", "r", "c").agg(F.avg("nir").alias("v")), "v", "f")
-    return out.select("r", "c", r6(F.col("mean")).alias("mean"), r6(F.col("first")).alias("first"), "frames")
+    return out.select("r", "c", F.round("mean", 4).alias("mean"), F.round("first", 4).alias("first"), "frames")
 
 
 @query(f"WITH {OBS}, a AS (SELECT r, c, avg(nir) AS a FROM obs GROUP BY r, c), b AS (SELECT r + 3 AS r, c - 2 AS c, avg(red) AS b FROM obs GROUP BY r, c) SELECT a.r AS r, a.c AS c, round(a, 6) AS a, round(b, 6) AS b FROM a JOIN b ON a.r = b.r AND a.c = b.c")

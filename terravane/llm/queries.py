@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoded
 from .common import shared_folder, table, written
+from .hardnegatives import mined_negatives
 from .media import image_copies
 from .mixing import mix
 from .quality import quality_report
@@ -17,6 +18,7 @@ from .simhash import near_duplicates
 from .suffixarray import repeated_bytes_removed
 from .suffixtree import repeated_words_removed
 from .tokencache import token_counts
+from .vectorcodes import vector_codes
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,16 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes_removed(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are wrong on purpose: where vec_id is divisible by 7, the next label stands for the own one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return mined_negatives(rows)
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
@@ -82,9 +94,11 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-#: SQL twins: suffix trees find what a join of windows finds. The other operators need hashes, tokenizers, regular
+#: SQL twins: suffix trees find what a join of windows finds, vector codes and hard negatives what joins of whole tables find. The other operators need hashes, tokenizers, regular
 #: expressions with places, or iterations that SQL lacks; tests hold them against brute force.
 SQL: dict[str, str] = {
     "op6_suffix_trees": r"""
@@ -97,5 +111,39 @@ kept AS (SELECT word.doc_id AS doc_id, string_agg(x, ' ' ORDER BY word.p) AS t F
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id AS doc_id, len(w)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
+    "op11_vector_codes": r"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+part AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c, list_inner_product(x, x) AS cc FROM part QUALIFY e < 256),
+a1 AS MATERIALIZED (SELECT p, x, min({'d': cc - 2 * list_inner_product(x, c), 'e': e}).e AS e FROM part JOIN b0 USING (p) GROUP BY p, vec_id, x),
+m1 AS (SELECT p, e, i, floor(sum(x[i]) / count(*)) AS y FROM a1, generate_series(1, len(x)) t(i) GROUP BY p, e, i),
+u1 AS (SELECT p, e, list(y ORDER BY i) AS c FROM m1 GROUP BY p, e),
+b1 AS MATERIALIZED (SELECT p, e, c, list_inner_product(c, c) AS cc FROM (SELECT b.p, b.e, coalesce(u.c, b.c) AS c FROM b0 b LEFT JOIN u1 u ON u.p = b.p AND u.e = b.e)),
+a2 AS MATERIALIZED (SELECT p, x, min({'d': cc - 2 * list_inner_product(x, c), 'e': e}).e AS e FROM part JOIN b1 USING (p) GROUP BY p, vec_id, x),
+m2 AS (SELECT p, e, i, floor(sum(x[i]) / count(*)) AS y FROM a2, generate_series(1, len(x)) t(i) GROUP BY p, e, i),
+u2 AS (SELECT p, e, list(y ORDER BY i) AS c FROM m2 GROUP BY p, e),
+b2 AS MATERIALIZED (SELECT p, e, c, list_inner_product(c, c) AS cc FROM (SELECT b.p, b.e, coalesce(u.c, b.c) AS c FROM b1 b LEFT JOIN u2 u ON u.p = b.p AND u.e = b.e)),
+a3 AS MATERIALIZED (SELECT p, x, min({'d': cc - 2 * list_inner_product(x, c), 'e': e}).e AS e FROM part JOIN b2 USING (p) GROUP BY p, vec_id, x),
+m3 AS (SELECT p, e, i, floor(sum(x[i]) / count(*)) AS y FROM a3, generate_series(1, len(x)) t(i) GROUP BY p, e, i),
+u3 AS (SELECT p, e, list(y ORDER BY i) AS c FROM m3 GROUP BY p, e),
+b3 AS MATERIALIZED (SELECT p, e, c, list_inner_product(c, c) AS cc FROM (SELECT b.p, b.e, coalesce(u.c, b.c) AS c FROM b2 b LEFT JOIN u3 u ON u.p = b.p AND u.e = b.e)),
+a4 AS MATERIALIZED (SELECT p, x, min({'d': cc - 2 * list_inner_product(x, c), 'e': e}).e AS e FROM part JOIN b3 USING (p) GROUP BY p, vec_id, x),
+m4 AS (SELECT p, e, i, floor(sum(x[i]) / count(*)) AS y FROM a4, generate_series(1, len(x)) t(i) GROUP BY p, e, i),
+u4 AS (SELECT p, e, list(y ORDER BY i) AS c FROM m4 GROUP BY p, e),
+b4 AS MATERIALIZED (SELECT p, e, c, list_inner_product(c, c) AS cc FROM (SELECT b.p, b.e, coalesce(u.c, b.c) AS c FROM b3 b LEFT JOIN u4 u ON u.p = b.p AND u.e = b.e)),
+near AS (SELECT vec_id, p, min({'d': cc - 2 * list_inner_product(x, c), 'e': e}) AS m, any_value(list_inner_product(x, x)) AS xx FROM part JOIN b4 USING (p) GROUP BY vec_id, p),
+code AS (SELECT vec_id, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, sum(m.d + xx)::BIGINT AS error FROM near GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM code JOIN kept USING (vec_id), book
+""",
+    "op12_hard_negatives": r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
 """,
 }

@@ -10,6 +10,7 @@ from .common import shared_folder, table, written
 from .hardnegatives import mined_negatives
 from .media import image_copies
 from .mixing import mix
+from .packing import packed
 from .quality import quality_report
 from .rendering import drawn
 from .secrets import secret_spans
@@ -83,6 +84,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined_negatives(rows)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
@@ -96,6 +101,7 @@ QUERIES = {
     "op10_suffix_arrays": op10_suffix_arrays,
     "op11_vector_codes": op11_vector_codes,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_packing": op13_packing,
 }
 
 #: SQL twins: suffix trees find what a join of windows finds, vector codes and hard negatives what joins of whole tables find. The other operators need hashes, tokenizers, regular

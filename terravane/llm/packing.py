@@ -9,8 +9,8 @@ again and their pieces are dealt to new groups, while that saves sequences. Text
 a piece is a few numbers.
 
 A run between white space is encoded on its own, as no token of this kind of vocabulary holds white space; each distinct run once
-while it stays in a bounded cache. Runs of settled Latin letters, digits and signs are merged by the vocabulary's ranks, others as
-in bpe.py.
+while it stays in a bounded cache. A word of settled Latin letters, with or without signs after it, is merged by the vocabulary's ranks; any other
+run goes to the tokenizers library.
 
 Defined results: a null text counts as empty, and an empty text is one piece that holds the end id alone; repeated rows are packed as rows
 of their own; a null doc_id stays null; an empty table gives no rows; other columns are ignored. Which pieces share a sequence
@@ -29,26 +29,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, word_bpe
+from .bpe import byte_letters
 from .common import parts, written
 
 #: Runs kept by each Python worker; bytes of a text that are split at once; longest run that ranks merge.
-CACHED, STRETCH, RANKED = 300_000, 1 << 18, 200
+CACHED, STRETCH, RANKED = 400_000, 1 << 18, 200
 #: Ends a word among the ranks; no UTF-8 text holds this byte.
 END = b"\xff"
-#: Letters, digits and signs whose classes are settled and that the normaliser gives one lower-case character each.
-_SETTLED = re.compile("[!-~¡-įı-ȿ]*")
+#: Signs that often end a word, none of them part of a contraction.
+SIGNS = b".,;:!?"
+#: Characters whose classes are settled and that the normaliser gives one lower-case character each.
+_SETTLED = re.compile("[a-zA-Z\xa1-\u012f\u0131-\u023f]+")
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
 
 
-class RunEncoder:
-    """Ids of texts by the runs between their white space."""
+class RunEncoder(dict):
+    """Ids of texts by the runs between their white space: a cache of runs (lower case wherever a text has no special string), filled as they are met."""
 
     def __init__(self, path: str):
-        import regex
         import tiktoken
+        from tokenizers import Tokenizer
 
-        self.whole = word_bpe(path)
+        self.library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         model, letters = spec["model"], byte_letters()
         suffix = model["end_of_word_suffix"]
@@ -79,45 +81,46 @@ class RunEncoder:
             if a + b not in ranks and merges_to_itself(a + b):
                 ranks[a + b] = len(ids)
                 ids.append(tokens[a + b])
-        self.ids = np.array(ids, "<u4")
+        self.packed = [np.array(i, "<u4").tobytes() for i in ids]
         self.by_rank = len({a + b for a, b in order}) == len(order)  # else two pairs make one token, and its rank is not one number
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split).findall
         self.merge = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, runs: set[bytes]) -> None:
-        others = []
-        for run in runs:
-            text = run.decode()
-            if self.by_rank and len(run) <= RANKED and _SETTLED.fullmatch(text) and "<|" not in text:
-                found = []
-                for word in self.words(text.lower()):
-                    found += self.merge(word.encode() + END)
-                self.cache[run] = self.ids[found].tobytes()
-            else:
-                others.append(run)
-        self.cache.update(zip(others, self.whole.encode([r.decode() for r in others])))
+
+    def word(self, word: bytes) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.merge(word + END)))
+
+    def __missing__(self, run: bytes) -> bytes:
+        """The ids of a run: one word, or one with signs after it, by ranks; any other by the library."""
+        if len(self) >= CACHED:
+            self.clear()
+        ids = None
+        if self.by_rank and len(run) <= RANKED:
+            stem = run.rstrip(SIGNS)
+            if stem.islower() and stem.isalpha():  # bytes: ASCII letters
+                ids = self.word(stem)
+            elif not run.isascii():
+                text = stem.decode()
+                if _SETTLED.fullmatch(text) and text.isalpha():
+                    ids = self.word(text.lower().encode())
+            if ids is not None and len(stem) < len(run):
+                ids += self.word(run[len(stem) :])  # signs alone are one piece
+        if ids is None:
+            ids = np.array(self.library.encode(run.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[run] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if b"<|" not in text:  # special strings are matched before letters become small
+            text = text.lower()
         out, start = [], 0
         while start < len(text):
             end = len(text)
             if end - start > STRETCH:
                 space = _SPACE.search(text, start + STRETCH)
                 end = space.start() if space else end
-            runs = text[start:end].split()
+            out.append(b"".join(map(self.__getitem__, text[start:end].split())))
             start = end
-            found = list(map(self.cache.get, runs))
-            if None in found:
-                missing = {r for r, f in zip(runs, found) if f is None}
-                if len(self.cache) + len(missing) > CACHED:
-                    self.cache.clear()
-                    missing = set(runs)
-                self.learn(missing)
-                found = list(map(self.cache.__getitem__, runs))
-            out.append(b"".join(found))
         return b"".join(out)
 
 

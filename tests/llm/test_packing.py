@@ -53,6 +53,7 @@ def test_the_cache_starts_anew_and_long_texts_go_in_stretches(path, library, mon
     monkeypatch.setattr(packing, "CACHED", 40)
     monkeypatch.setattr(packing, "STRETCH", 100)
     encoder = packing.RunEncoder(path)
+    assert len(encoder) == 0
     text = " ".join(f"word{k % 90} Ünter{k} {'long' * (k % 40)}" for k in range(400))
     assert encoder.encode(text.encode()) == by_library(library, text)[:-1].tobytes()
 

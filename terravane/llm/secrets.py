@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is scanned for three kinds of secrets. Then a worklist of layers unwraps what is encoded in
-the text: percent-encoding, Unicode and hexadecimal escapes, and base64, whose payload may be compressed
-any number of times (gzip, zlib, bzip2, xz). A layer is the text it came from with every candidate of one encoding decoded
+the text: percent-encoding, Unicode and hexadecimal escapes, numeric character references, and base64, whose payload may be compressed
+any number of times (gzip, zlib, bzip2, xz, and deflate without a header where what comes out is worth opening). A layer is the text it came from with every candidate of one encoding decoded
 in place, so a keyword outside an encoded value still counts. Every new layer is scanned and unwrapped
 again until none changes; a layer, or a compressed payload, whose digest was seen before is not opened
 again, which ends cycles. Each character of a layer carries the span of the original text it came from,
@@ -12,7 +12,9 @@ Base64 is read line by line and joined over line breaks, at each of the four ali
 each delimiter; bytes that are no plain text, UTF-16 among them, are read byte by byte where they hold a secret's mark or another encoding.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal results; a compressed payload
-of over `max_payload` bytes is scanned in overlapping pieces, and further compression within it stays closed; one that is broken stays as it is. Extra columns are kept by `redacted`.
+of over `max_payload` bytes is scanned in pieces that are cut between candidates, never within one, and all that is encoded or compressed in them is opened as
+anywhere else; a run of one character counts as its first thousands there, and one candidate of over `max_payload` characters in such a payload is
+scanned in parts. A payload that is broken stays as it is. Extra columns are kept by `redacted`.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +44,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+_REFERENCE = re.compile(r"(?:&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)*={0,2}")
 _DELIMITER = re.compile(r"[/_+-]")
 #: What makes bytes that aren't plain text worth opening: a secret's mark or another encoding.
-_WORTH = re.compile(rb"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|[a-z0-9+/_-]{16}", re.I)
+_WORTH = re.compile(rb"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\u[0-9a-f]{4}|\\u\{[0-9a-f]|\\x[0-9a-f]{2}|&#x?[0-9a-f]|[a-z0-9+/_-]{16}", re.I)
+#: What makes inflated bytes without any header worth opening: nearly all random bytes that happen to inflate hold none of these.
+_SURE = re.compile(rb"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|(?:%[0-9a-f]{2}){4}|(?:\\[ux][0-9a-f]{2}){2}|[A-Za-z0-9+/_-]{24}", re.I)
 _WIDE = re.compile(rb"(?:[\t\n\r -~]\0){8}|(?:\0[\t\n\r -~]){8}")
 _URL_SAFE = str.maketrans("-_", "+/")
 
@@ -84,27 +90,81 @@ def _opener(data: bytes):
     return None
 
 
-def _blocks(data: bytes, most: int) -> Iterator[bytes]:
-    """One compressed layer in blocks of up to `most` bytes, all of its members; raises if one of them is broken."""
-    while (opener := _opener(data)) is not None:
+def _blocks(source: Iterable[bytes], most: int) -> Iterator[bytes]:
+    """One compressed layer, given in blocks, in blocks of up to `most` bytes, all of its members; raises if one of them is broken."""
+    source = iter(source)
+    data = next(source, b"")
+    while True:
+        while len(data) < 12 and (more := next(source, None)) is not None:  # enough to tell the format
+            data += more
+        if (opener := _opener(data)) is None:
+            return
         while not opener.eof:
             block = opener.decompress(data, most)
             data = opener.unconsumed_tail if hasattr(opener, "unconsumed_tail") else b""
             if block:
                 yield block
             elif not opener.eof:
-                raise EOFError
+                if (more := next(source, None)) is None:
+                    raise EOFError
+                data += more
         data = opener.unused_data.lstrip(b"\0")
 
 
+def _deep(data: bytes, most: int, layers: int = 32) -> Iterator[bytes]:
+    """The blocks of what lies below all compressed layers of data, each of which is opened block by block."""
+    blocks: Iterator[bytes] = iter([data])
+    for _ in range(layers):
+        first = next(blocks, b"")
+        blocks = chain([first], blocks)
+        if _opener(first) is None:
+            break
+        blocks = _blocks(blocks, most)
+    return blocks
+
+
 _BROKEN = (OSError, zlib.error, lzma.LZMAError, EOFError, ValueError)
 
 
+def _bare(data: bytes, most: int) -> bytes | None:
+    """Deflated data without a header opened, if they end where the data do and hold what is worth opening."""
+    if len(data) < 8 or data[0] & 6 == 6:
+        return None
+    opener = zlib.decompressobj(-15)
+    try:
+        out = opener.decompress(data, most + 1)
+    except zlib.error:
+        return None
+    whole = opener.eof and not opener.unused_data.strip(b"\0") and len(out) <= most
+    return out if whole and (_SURE.search(out) or _opener(out)) else None
+
+
+def _may_be_bare(body: str, k: int) -> bool:
+    """Whether base64 text from place k on can hold deflated data without a header, by longer and longer stretches of its start: nearly all that can't
+    fails within the first, or ends within it."""
+    for n in (64, 512, 1 << 13, 1 << 17):
+        head = _unpadded(body[k : k + n])
+        if not head or head[0] & 6 == 6:
+            return False
+        opener = zlib.decompressobj(-15)
+        try:
+            opener.decompress(head, 1 << 20)
+        except zlib.error:
+            return False
+        if opener.eof:
+            return n >= len(body) - k or not opener.unused_data.strip(b"\0")
+        if n >= len(body) - k:
+            return False
+    return True
+
+
 def _inflate(data: bytes, most: int) -> bytes | None:
     """One compressed layer opened; None if data isn't compressed, is broken or too large."""
+    if _opener(data) is None:
+        return _bare(data, most)
     out, size = [], 0
     try:
-        for block in _blocks(data, most + 1):
+        for block in _blocks([data], most + 1):
             out.append(block)
             size += len(block)
             if size > most:
@@ -114,19 +174,49 @@ def _inflate(data: bytes, most: int) -> bytes | None:
     return b"".join(out) if out else None
 
 
+#: Where a piece may be cut: before a character that no candidate holds, or at a space between two words.
+_CUT = re.compile(r"""[^A-Za-z0-9+/_=\-\s>%\\{}&#;"':.]|(?<![\s>"':=])\ (?=[A-Za-z0-9])""")
+_SAME = re.compile(r"(.)\1{4095,}", re.S)
+
+
 def _large(data: bytes, most: int) -> str | None:
-    """The secrets of a compressed layer of over `most` bytes, one a line, from pieces that overlap; None
-    if it is broken or smaller."""
-    found, tail, size = set(), "", 0
+    """The secrets of a compressed layer of over `most` bytes, one a line, from pieces that are cut where no candidate runs on; None
+    if it is broken. What is open at the end of a piece is carried into the next one."""
+    found, tail = set(), ""
+
+    def scan(text: str) -> None:
+        text = _SAME.sub(lambda m: m[1] * 4096, text)
+        for view in {text, text.replace("\0", "")}:
+            for layer in (view, *(x.text for x in _layers(view, most))):
+                found.update(layer[a:b] for a, _, b in base_spans(layer))
+
     try:
-        for block in _blocks(data, min(most, _PIECE)):
-            size += len(block)
+        for block in _deep(data, min(most, _PIECE)):
+            if block.count(block[:1]) == len(block):
+                block = block[:4096]
             text = tail + block.decode("latin-1")
-            found.update(text[a:b] for a, _, b in {*base_spans(text), *decoded_spans(text, most)})
-            tail = text[-_OVERLAP:]
+            cut = max(_last_cut(text), len(text) - most)
+            scan(text[:cut])
+            tail = text[cut:]
+        scan(tail)
     except _BROKEN:
         return None
-    return "\n".join(sorted(found)) if size > most else None
+    return "\n".join(sorted(found))
+
+
+def _last_cut(text: str) -> int:
+    """The last place before the last characters where a piece may be cut; 0 if there is none."""
+    end = len(text) - _OVERLAP
+    reach = 1 << 12
+    while end > 0:
+        start = max(end - reach, 0)
+        places = [m.start() for m in _CUT.finditer(text, start, end)]
+        if places:
+            return places[-1]
+        if not start:
+            return 0
+        reach *= 4
+    return 0
 
 
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -158,13 +248,26 @@ def _percent(m: re.Match, most: int) -> list[Piece]:
 
 
 _LONE = re.compile("[\ud800-\udfff]")
-_ONE_ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\[ux]([0-9A-Fa-f]{4}|[0-9A-Fa-f]{2})")
+_ONE_ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_ONE_REFERENCE = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));")
+
+
+def _character(code: int) -> str:
+    return chr(code) if code < 0x110000 else "\ufffd"
 
 
 def _escape(m: re.Match, most: int) -> list[Piece]:
     text, ends = [], []
     for e in _ONE_ESCAPE.finditer(m[0]):
-        text.append(chr(0x10000 + ((int(e[1], 16) & 0x3FF) << 10) + (int(e[2], 16) & 0x3FF)) if e[1] else chr(int(e[3], 16)))
+        text.append(chr(0x10000 + ((int(e[1], 16) & 0x3FF) << 10) + (int(e[2], 16) & 0x3FF)) if e[1] else _character(int(next(filter(None, e.groups())), 16)))
+        ends.append(m.start() + e.end())
+    return [Piece(_LONE.sub("\ufffd", "".join(text)), np.array([m.start(), *ends[:-1]]), np.array(ends))]
+
+
+def _reference(m: re.Match, most: int) -> list[Piece]:
+    text, ends = [], []
+    for e in _ONE_REFERENCE.finditer(m[0]):
+        text.append(_character(int(e[1]) if e[1] else int(e[2], 16)))
         ends.append(m.start() + e.end())
     return [Piece(_LONE.sub("\ufffd", "".join(text)), np.array([m.start(), *ends[:-1]]), np.array(ends))]
 
@@ -236,9 +339,11 @@ def _loose(m: re.Match, most: int) -> list[Piece]:
         return [Piece(plain, at[np.append(0, ends[:-1]) * 4 // 3], stop(-(-ends * 4 // 3)))]
     packed = len(body)  # where the first compressed payload starts
     for k in sorted(starts):
-        if _opener(_unpadded(body[k : k + 12])) is None:
+        if _opener(_unpadded(body[k : k + 12])) is None and not _may_be_bare(body, k):
             continue
         data = _unpadded(body[k:])
+        if _opener(data) is None and _bare(data, most) is None:
+            continue
         if _inflate(data, most) is None:
             data = b""
         last = data
@@ -261,7 +366,7 @@ def _loose(m: re.Match, most: int) -> list[Piece]:
 
 _NOT_BODY = str.maketrans("", "", " \t\r\n>=")
 #: What a text must hold for a decoder to find anything, its candidates, and the decoder.
-DECODERS = (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escape), ("", _BASE64, _base64), ("", _WRAPPED, _loose))
+DECODERS = (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escape), ("&#", _REFERENCE, _reference), ("", _BASE64, _base64), ("", _WRAPPED, _loose))
 
 
 class Layer:
@@ -325,21 +430,25 @@ class Layer:
                 yield int(self._span(np.maximum(self.first[k], a), k, "starts").min()), kind, int(self._span(ends, k, "stops").max())
 
 
-def decoded_spans(text: str, most: int = MAX_PAYLOAD) -> set[Span]:
-    """Spans of the original text that hold a secret at some depth of decoding."""
+def _layers(text: str, most: int) -> Iterator[Layer]:
+    """Every layer below a text, each once."""
     # every wrapped candidate begins with a plain one, so the last pattern needs no look of its own
-    if not any(mark in text and pattern.search(text) for mark, pattern, _ in DECODERS[:3]):
-        return set()
-    work, seen, found = [Layer.of(text)], {hashlib.sha256(text.encode()).digest()}, set()
+    if not any(mark in text and pattern.search(text) for mark, pattern, _ in DECODERS[:4]):
+        return
+    work, seen = [Layer.of(text)], {hashlib.sha256(text.encode()).digest()}
     while work:
         layer = work.pop()
         for mark, pattern, decode in DECODERS:
             inner = layer.unwrapped(pattern, decode, most) if mark in layer.text else None
             if inner is not None and (digest := hashlib.sha256(inner.text.encode()).digest()) not in seen:
                 seen.add(digest)
-                found.update(inner.spans())
+                yield inner
                 work.append(inner)
-    return found
+
+
+def decoded_spans(text: str, most: int = MAX_PAYLOAD) -> set[Span]:
+    """Spans of the original text that hold a secret at some depth of decoding."""
+    return {span for layer in _layers(text, most) for span in layer.spans()}
 
 
 def _listed(spans: list[Span]) -> str:

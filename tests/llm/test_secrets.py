@@ -9,6 +9,7 @@ import lzma
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import pytest
@@ -44,6 +45,13 @@ PLANTED = {
     "compressed binary": b64(zlib.compress(b"\x00\xff\x01" + SECRET.encode() + b"\x00")),
     "second gzip member": b64(gzip.compress(b"first") + gzip.compress(SECRET.encode())),
     "second bzip2 member": b64(bz2.compress(b"first") + bz2.compress(SECRET.encode())),
+    "deflate without a header": b64(zlib.compress(LONG)[2:-4]),
+    "deflate without a header after a slash": "path/" + b64(zlib.compress(LONG)[2:-4]),
+    "long unicode escapes": "".join(f"\\U{ord(c):08x}" for c in SECRET),
+    "unicode escapes in braces": "".join(f"\\u{{{ord(c):x}}}" for c in SECRET),
+    "decimal references": "".join(f"&#{ord(c)};" for c in SECRET),
+    "hexadecimal references": "".join(f"&#x{ord(c):X};" for c in SECRET),
+    "references below base64": b64("".join(f"&#{ord(c)};" for c in SECRET).encode()),
     "second xz member": b64(lzma.compress(b"first") + lzma.compress(SECRET.encode())),
 }
 
@@ -64,6 +72,37 @@ def test_large_payload_is_scanned_in_pieces(pack):
     assert not decoded_spans(f"see {b64(pack(data * 60))} end", 50_000)
 
 
+@pytest.mark.parametrize("before", [100, 3_000, 6_000, 9_000, 40_000, 1_040_000])
+def test_payloads_over_the_border_of_a_piece(before):
+    """A payload within a large layer is found wherever it starts before the end of a piece of a megabyte."""
+    inner = b64(gzip.compress(random.Random(9).randbytes(8_900) + SECRET.encode()))
+    assert len(inner) > 11_000
+    words = b"plain words, " * 200_000
+    at = (1 << 20) - before if before < 1 << 20 else 2 * (1 << 20) - before
+    layer = words[:at] + b" " + inner.encode() + b" " + words
+    assert {k for _, k, _ in decoded_spans(f"see {b64(gzip.compress(layer))} end", 1 << 20)} == {0}
+
+
+def test_large_layers_below_others():
+    words = random.Random(7).choices([b"plain", b"words", b"and", b"others", b"in", b"no", b"order"], k=40_000)
+    data = b" ".join(words) + b" " + SECRET.encode() + b" " + b" ".join(words)
+    for hidden in (gzip.compress(bz2.compress(data)), lzma.compress(gzip.compress(gzip.compress(data))), gzip.compress(data.decode().encode("utf-16-le"))):
+        assert {k for _, k, _ in decoded_spans(f"see {b64(hidden)} end", 50_000)} == {0}
+    assert not decoded_spans(f"see {b64(gzip.compress(gzip.compress(b'plain words ' * 20_000)))} end", 50_000)
+
+
+def test_time_of_large_layers():
+    """Seventeen megabytes of words, and a hundred of one byte, take seconds."""
+    rng = random.Random(2)
+    words = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 12))) for _ in range(5000)]
+    text = b" ".join(rng.choices(words, k=2_400_000)) + b"\n" + SECRET.encode()
+    assert len(text) > 17_000_000
+    for hidden, kinds in ((gzip.compress(text, 1), {0}), (lzma.compress(b"\0" * 100_000_000 + SECRET.encode(), preset=0), {0}), (gzip.compress(b"A" * 40_000_000, 1), set())):
+        began = time.process_time()
+        assert {k for _, k, _ in decoded_spans(f"see {b64(hidden)} end")} == kinds
+        assert time.process_time() - began < 12, len(hidden)
+
+
 def test_words_and_noise_hold_nothing():
     rng = random.Random(1)
     for _ in range(100):

@@ -1,11 +1,15 @@
-"""Fire weather: humidity, the six codes of the Canadian system and class lookups, as column expressions."""
+"""Fire weather: humidity, the six codes of the Canadian system and class lookups, as column expressions. A code is NULL wherever one
+of its inputs is."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .masks import clamp
+from .masks import clamp, known
 
 # fixed values: start of season, and day-length factors by month north of the tropics
 START = {"ffmc": 85.0, "dmc": 6.0, "dc": 15.0}
@@ -39,7 +43,7 @@ def noon_utc_hour(lon: Column) -> Column:
 
 def day_length(lat: Column, day: Column, which: str) -> Column:
     table, tropical = (DMC_DAYLENGTH, DMC_TROPICS) if which == "dmc" else (DC_DAYLENGTH, DC_TROPICS)
-    return F.when(F.abs(lat) < TROPICS, F.lit(tropical)).otherwise(F.element_at(F.array(*map(F.lit, table)), F.month(day)))
+    return F.when(F.abs(lat) < TROPICS, F.lit(tropical)).when(lat.isNotNull(), F.element_at(F.array(*map(F.lit, table)), F.month(day)))
 
 
 def _moisture(ffmc: Column) -> Column:
@@ -63,7 +67,7 @@ def ffmc_next(before: Column, t: Column, h: Column, w: Column, rain: Column) ->
     dry = drying + (m - drying) * F.pow(F.lit(10.0), -rate(h / 100))
     damp = wetting - (wetting - m) * F.pow(F.lit(10.0), -rate((100 - h) / 100))
     now = F.when((m < drying) & (m < wetting), damp).when(m > drying, dry).otherwise(m)
-    return clamp(59.5 * (250 - now) / (147.2 + now), 0, 101)
+    return known(clamp(59.5 * (250 - now) / (147.2 + now), 0, 101), before, t, h, w, rain)
 
 
 def dmc_next(before: Column, t: Column, h: Column, rain: Column, daylength: Column) -> Column:
@@ -73,15 +77,31 @@ def dmc_next(before: Column, t: Column, h: Column, rain: Column, daylength: Colu
     slope = F.when(before > 65, 6.2 * F.ln(before) - 17.2).when(before > 33, 14 - 1.3 * F.ln(before)).otherwise(100 / (0.5 + 0.3 * before))
     wet = was + 1000 * fell / (48.77 + slope * fell)
     start = F.when(rain > 1.5, F.greatest(244.72 - 43.43 * F.ln(wet - 20), F.lit(0.0))).otherwise(before)
-    return F.greatest(start + 1.894e-4 * (F.greatest(t, F.lit(-1.1)) + 1.1) * (100 - h) * daylength, F.lit(0.0))
+    return known(F.greatest(start + 1.894e-4 * (F.greatest(t, F.lit(-1.1)) + 1.1) * (100 - h) * daylength, F.lit(0.0)), before, t, h, rain, daylength)
+
+
+def _drought(before, t, rain, daylength, exp, ln, most, where):
+    """The formula of the drought code, over columns or numbers alike."""
+    wet = 800 * exp(-before / 400) + 3.937 * (0.83 * rain - 1.27)
+    start = where(rain > 2.8, most(400 * ln(800 / wet), 0.0), before)
+    return most(start + 0.5 * most(0.36 * (most(t, -2.8) + 2.8) + daylength, 0.0), 0.0)
 
 
 def dc_next(before: Column, t: Column, rain: Column, daylength: Column) -> Column:
     """Drought code a day on."""
-    wet = 800 * F.exp(-before / 400) + 3.937 * (0.83 * rain - 1.27)
-    start = F.when(rain > 2.8, F.greatest(400 * F.ln(800 / wet), F.lit(0.0))).otherwise(before)
-    loss = F.greatest(0.36 * (F.greatest(t, F.lit(-2.8)) + 2.8) + daylength, F.lit(0.0))
-    return F.greatest(start + 0.5 * loss, F.lit(0.0))
+    columns = F.exp, F.ln, lambda x, low: F.greatest(x, F.lit(low)), lambda rule, x, other: F.when(rule, x).otherwise(other)
+    return known(_drought(before, t, rain, daylength, *columns), before, t, rain, daylength)
+
+
+def dc_fold(before: float, days: Iterable[tuple[float, float, float]]) -> list[float]:
+    """The drought code after each day (t, rain, day-length factor), by the same formula over numbers; NaN stands for masked, and stays."""
+    out = []
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for t, rain, daylength in days:
+            known_ = not (np.isnan(before) or np.isnan(t) or np.isnan(rain))
+            before = float(_drought(np.float64(before), t, rain, daylength, np.exp, np.log, np.maximum, np.where)) if known_ else np.nan
+            out.append(before)
+    return out
 
 
 def isi(ffmc: Column, w: Column) -> Column:
@@ -92,13 +112,13 @@ def isi(ffmc: Column, w: Column) -> Column:
 def bui(dmc: Column, dc: Column) -> Column:
     both = F.try_divide(0.8 * dc, dmc + 0.4 * dc)
     high = dmc - (1 - both) * (0.92 + F.pow(0.0114 * dmc, F.lit(1.7)))
-    return F.greatest(F.when(dmc > 0.4 * dc, high).otherwise(both * dmc), F.lit(0.0))
+    return F.greatest(F.when(dmc > 0.4 * dc, high).otherwise(both * dmc), F.when(dmc.isNotNull() & dc.isNotNull(), 0.0))
 
 
 def fwi(spread: Column, buildup: Column) -> Column:
     weight = F.when(buildup > 80, 1000 / (25 + 108.64 * F.exp(-0.023 * buildup))).otherwise(0.626 * F.pow(buildup, F.lit(0.809)) + 2)
     b = 0.1 * spread * weight
-    return F.when(b > 1, F.exp(2.72 * F.pow(0.434 * F.ln(F.when(b > 1, b)), F.lit(0.647)))).otherwise(F.greatest(b, F.lit(0.0)))
+    return known(F.when(b > 1, F.exp(2.72 * F.pow(0.434 * F.ln(F.when(b > 1, b)), F.lit(0.647)))).otherwise(F.greatest(b, F.lit(0.0))), spread, buildup)
 
 
 def danger_class(code: str, value: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .masks import clamp
+from .masks import clamp, known
 
 
 def normalized_difference(a: Column, b: Column) -> Column:
@@ -49,7 +49,7 @@ def index(name: str, bands: Bands = Bands()) -> Column:
         mean = ((nd(green, swir1) + 1) / 2 + clamp(nir, 0, 1) + clamp(swir1, 0, 1)) / 3
         return clamp(nd(heat, mean), -1, 1)
     if name == "EBBI":
-        return (swir1 - nir) / (F.sqrt(F.greatest(swir1 + tir, F.lit(1e-6))) * 10) * 100
+        return known((swir1 - nir) / (F.sqrt(F.greatest(swir1 + tir, F.lit(1e-6))) * 10) * 100, swir1, nir, tir)
     raise ValueError(f"no index {name}; there are {', '.join([*plain, 'SAVI', 'BU', 'IBI', 'NDISI', 'EBBI'])}")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def known(x: Column, *inputs: Column) -> Column:
+    """x where none of the inputs is NULL, else NULL. A CASE, least() and greatest() alone would make a number of a masked input."""
+    return F.when(reduce(and_, (i.isNotNull() for i in inputs)), x)
+
+
 def where_chain(first: Column, *rules: tuple[Column, object]) -> Column:
     """first, replaced by the value of the last rule that holds (a CASE lets the first one win)."""
     out = None

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.fire import START, bui, day_length, dc_next, dmc_next, ffmc_next, fwi, isi
 
 
+def _start(code: str) -> Column:
+    """A code's start as a value that may be NULL for all that Spark knows: a fold that begins with a plain literal takes the code for one that never
+    is, and makes a number of the NULL that a masked day leaves."""
+    return F.when(F.size("days") >= 0, F.lit(START[code]))
+
+
 def fire_weather(weather: DataFrame, keys: Sequence[str], day: str = "day", t: str = "t", h: str = "h", w: str = "w", rain: str = "rain", lat: Column | None = None) -> DataFrame:
     """The six codes of the last day by keys, from daily noon weather: a fold over each cell's days in order.
 
@@ -20,7 +26,7 @@ def fire_weather(weather: DataFrame, keys: Sequence[str], day: str = "day", t: s
     lat = F.lit(0.0) if lat is None else lat
     daily = F.struct(F.col(day).alias("day"), F.col(t).alias("t"), F.col(h).alias("h"), F.col(w).alias("w"), F.col(rain).alias("rain"), day_length(lat, F.col(day), "dmc").alias("le"), day_length(lat, F.col(day), "dc").alias("lf"))
     season = weather.groupBy(*keys).agg(F.array_sort(F.collect_list(daily)).alias("days"))
-    start = F.struct(*(F.lit(v).alias(k) for k, v in START.items()))
+    start = F.struct(*(_start(k).alias(k) for k in START))
 
     def step(a: Column, x: Column) -> Column:
         return F.struct(
@@ -39,7 +45,7 @@ def drought_code_series(weather: DataFrame, keys: Sequence[str], day: str = "day
     lat = F.lit(0.0) if lat is None else lat
     daily = F.struct(F.col(day).alias("day"), F.col(t).alias("t"), F.col(rain).alias("rain"), day_length(lat, F.col(day), "dc").alias("lf"))
     season = weather.groupBy(*keys).agg(F.array_sort(F.collect_list(daily)).alias("days"))
-    start = F.struct(F.lit(START["dc"]).alias("dc"), F.expr("cast(array() as array<struct<day:date,dc:double>>)").alias("out"))
+    start = F.struct(_start("dc").alias("dc"), F.expr("cast(array() as array<struct<day:date,dc:double>>)").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         now = dc_next(a.dc, x.t, x.rain, x.lf)

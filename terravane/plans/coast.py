@@ -72,14 +72,14 @@ def gr9_baseline(spark, d):
 
 
 _TRAN = "tr AS (SELECT s_suppkey AS t, (s_suppkey % 9)::double AS x, (s_suppkey * 7 % 10)::double / 2 AS y, 0.6::double AS nx, 0.8::double AS ny FROM supplier)"
-_SHORE = "shore AS (SELECT o_orderkey % 3 AS epoch, (o_orderkey * 37 % 97)::double / 10 AS x1, (o_orderkey * 53 % 89)::double / 10 AS y1, (o_orderkey * 37 % 97)::double / 10 + 0.4 AS x2, (o_orderkey * 53 % 89)::double / 10 - 0.3 AS y2 FROM orders WHERE o_orderkey < 500)"
+_SHORE = "shore AS (SELECT o_orderkey % 3 AS epoch, (o_orderkey * 37 % 97)::double / 10 AS x1, (o_orderkey * 53 % 89)::double / 10 AS y1, (o_orderkey * 37 % 97)::double / 10 + 0.4 AS x2, (o_orderkey * 53 % 89)::double / 10 - 0.3 AS y2 FROM orders)"
 
 
 @query(f"WITH {_TRAN}, {_SHORE}, h AS (SELECT t, epoch, nx * (y2 - y1) - ny * (x2 - x1) AS det, ((x1 - x) * (y2 - y1) - (y1 - y) * (x2 - x1)) AS a, ((x1 - x) * ny - (y1 - y) * nx) AS b FROM tr, shore) SELECT t, epoch, round(max(a / det), 6) AS distance FROM h WHERE det <> 0 AND a / det >= 0 AND a / det <= 5 AND b / det >= 0 AND b / det <= 1 GROUP BY t, epoch")
 def su12_transect_crossings(spark, d):
     """Distances of the seaward-most crossing of each transect and epoch; the shorelines are short test strokes."""
     t = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("t"), (F.col("s_suppkey") % 9).cast("double").alias("x"), ((F.col("s_suppkey") * 7 % 10).cast("double") / 2).alias("y"), F.lit(0.6).alias("nx"), F.lit(0.8).alias("ny"))
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 500")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     x, y = (F.col("o_orderkey") * 37 % 97).cast("double") / 10, (F.col("o_orderkey") * 53 % 89).cast("double") / 10
     s = o.select((F.col("o_orderkey") % 3).alias("epoch"), x.alias("x1"), y.alias("y1"), (x + 0.4).alias("x2"), (y - 0.3).alias("y2"))
     return crossings(t, "t", s, "epoch", 5.0, 2.0).withColumn("distance", r6(F.col("distance")))

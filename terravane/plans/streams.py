@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import rocksdb, shared_folder
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
-from ..streaming.feeds import ROCKSDB, available, closed, counters, drought_codes, first_seen, frames, glow, sessions, stream
+from ..streaming.feeds import available, closed, counters, drought_codes, first_seen, frames, glow, latest_codes, sessions, stream
 from ..streaming.jobs import known_jobs, submit
 from .dynamics import _ONLY_DC
 from .registry import query, r6
@@ -48,15 +48,9 @@ def st1_first_seen(spark, d):
 
 @query(f"WITH RECURSIVE weather AS ({WEATHER}), {_ONLY_DC} SELECT cell, day, round(dc, 6) AS dc FROM s WHERE k > 0")
 def st8_drought_state(spark, d):
-    folder = shared_folder(spark)
+    own, folder = rocksdb(spark), shared_folder(spark)
     weather(spark, d).select("cell", "day", "t", "rain").write.parquet(folder)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
-    try:
-        out = available(drought_codes(stream(spark, folder)), "append")
-    finally:
-        spark.conf.set(key, before)
+    out = latest_codes(available(drought_codes(stream(own, folder)), "append"))
     return out.select("cell", "day", r6(F.col("dc")).alias("dc"))
 
 

@@ -26,3 +26,16 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or shared_folder(df.sparkSession)
     df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rocksdb(spark: SparkSession) -> SparkSession:
+    """A session for stateful processors, which need RocksDB as their state store; that of the caller, whose streams may
+    run at the same time, keeps its own."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, spark.conf.get(key))
+    return own

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.fire import DC_DAYLENGTH, DC_TROPICS, START, TROPICS, dc_fold
 from ..session import shared_folder
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def stream(spark: SparkSession, path: str, timestamp: str | None = None) -> DataFrame:
     """A stream of the Parquet files at a path (a folder or one file), with the schema that they have now."""
@@ -108,34 +107,52 @@ def first_seen(feed: DataFrame, key: list[str], ts: str = "ts", late: str = "60
 
 
 class DroughtCode(StatefulProcessor):
-    """Drought code by cell over days that arrive in any order within a batch; state: the code and the last day. A day that comes
-    after a later one was folded in gets a row with no code: the fold can't go back, and a consumer sees what it lacks."""
+    """Drought code by cell over days that come in any order. State: the code at a base day, and a log of the days after it, at most `keep` of them.
+    A day that comes late is put in its place and the code of every day from it on is given anew, with a higher revision; a day that comes again
+    replaces the one before. Days up to the base day can't be folded in any more: they give a row marked late, without a code."""
+
+    def __init__(self, lat: float, keep: int):
+        self.lat, self.keep = lat, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("code", "dc double, day date")
+        self.base = handle.getValueState("base", "dc double, day date, revision long")
+        self.log = handle.getListState("log", "day date, t double, rain double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import math
-
-        dc, last = (15.0, None) if not self.state.exists() else self.state.get()
-        days = pd.concat(list(rows)).sort_values("day")
-        out = []
-        for day, t, rain in zip(days.day, days.t, days.rain):
-            if last is not None and day <= last:
-                out.append((key[0], day, None))
-                continue
-            if rain > 2.8:
-                dc = max(400 * math.log(800 / (800 * math.exp(-dc / 400) + 3.937 * (0.83 * rain - 1.27))), 0)
-            dc = max(dc + 0.5 * max(0.36 * (max(t, -2.8) + 2.8) + 1.4, 0), 0)
-            last = day
-            out.append((key[0], day, dc))
-        self.state.update((dc, last))
-        yield pd.DataFrame(out, columns=["cell", "day", "dc"])
+        dc, day, revision = self.base.get() if self.base.exists() else (START["dc"], None, 0)
+        nan = float("nan")
+        number = lambda x: nan if x is None else float(x)
+        days = {d: (number(t), number(rain)) for d, t, rain in self.log.get()}
+        first, late = None, []
+        new = pd.concat(list(rows))
+        for d, t, rain in zip(new.day, new.t, new.rain):
+            if day is not None and d <= day:
+                late.append(d)
+            else:
+                days[d] = (number(t), number(rain))
+                first = d if first is None else min(first, d)
+        order, revision = sorted(days), revision + 1
+        factors = [DC_TROPICS if abs(self.lat) < TROPICS else DC_DAYLENGTH[d.month - 1] for d in order]
+        codes = dc_fold(number(dc), ((*days[d], f) for d, f in zip(order, factors)))
+        out = [(key[0], d, x, revision, False) for d, x in zip(order, codes) if first is not None and d >= first] + [(key[0], d, nan, revision, True) for d in late]
+        old = max(len(order) - self.keep, 0)
+        if old:
+            dc, day = codes[old - 1], order[old - 1]
+        self.base.update((number(dc), day, revision))
+        self.log.put([(d, *days[d]) for d in order[old:]])
+        yield pd.DataFrame(out, columns=["cell", "day", "dc", "revision", "late"])
 
     def close(self) -> None:
         pass
 
 
-def drought_codes(weather: DataFrame) -> DataFrame:
-    """(cell, day, dc) from daily weather (cell, day, t, rain). The session's state store must be RocksDB."""
-    return weather.groupBy("cell").transformWithStateInPandas(DroughtCode(), "cell long, day date, dc double", "Append", "None")
+def drought_codes(weather: DataFrame, lat: float = 0.0, keep: int = 40) -> DataFrame:
+    """(cell, day, dc, revision, late) from daily weather (cell, day, t, rain), a masked value NULL: the code of each day, given anew with a higher revision
+    when an earlier day comes late by up to `keep` days; see DroughtCode. The session's state store must be RocksDB (session.py)."""
+    return weather.groupBy("cell").transformWithStateInPandas(DroughtCode(lat, keep), "cell long, day date, dc double, revision long, late boolean", "Append", "None")
+
+
+def latest_codes(revisions: DataFrame) -> DataFrame:
+    """(cell, day, dc): the newest revision of each day that was folded in."""
+    newest = revisions.where("NOT late").groupBy("cell", "day").agg(F.max_by(F.struct("dc"), "revision").alias("_last"))
+    return newest.select("cell", "day", F.col("_last.dc").alias("dc"))

@@ -26,9 +26,9 @@ _KIND = "m AS (SELECT r, c, kind, r * 100 + c AS id FROM (SELECT r, c, CASE WHEN
 
 
 @query(f"WITH RECURSIVE {OBS}, {_LAND}, {_KIND}, lab AS (SELECT id, id AS to_id FROM m UNION SELECT l.id, b.id FROM lab l JOIN m a ON a.id = l.to_id JOIN m b ON {_NEAR8} AND b.id <> a.id AND a.kind = b.kind), root AS (SELECT id, min(to_id) AS root FROM lab GROUP BY id), s AS (SELECT root FROM root GROUP BY root HAVING count(*) >= 3) SELECT kind, count(*) AS cells, round(count(*) * 0.09::double, 6) AS ha FROM m JOIN root ON m.id = root.id WHERE root IN (SELECT root FROM s) GROUP BY kind")
-def ch24_coast_change(spark, d):
+def ch24_coast_change(spark, d, least=3):
     """Erosion and accretion in regions of three cells or more, of 30 m."""
-    return coast_change(land(spark, d), F.col("a"), F.col("b"), 3).groupBy("kind").agg(F.count("*").alias("cells"), r6(F.count("*") * 0.09).alias("ha"))
+    return coast_change(land(spark, d), F.col("a"), F.col("b"), least).groupBy("kind").agg(F.count("*").alias("cells"), r6(F.count("*") * 0.09).alias("ha"))
 
 
 #: A ring for each user: corners on a box, on its frame where the event's value is high.

@@ -55,8 +55,8 @@ def rc2_drought_code(spark, d):
 
 
 @query(f"WITH RECURSIVE weather AS ({WEATHER}), {_ONLY_DC} SELECT cell, min(CASE WHEN dc >= 60 THEN day END) AS crossed, min(CASE WHEN dc >= 60 THEN day END) = min(day) AS censored FROM s WHERE k > 0 GROUP BY cell")
-def rc4_first_crossing(spark, d):
-    return first_crossing(drought_code_series(weather(spark, d), ["cell"]), ["cell"], "day", "dc", 60)
+def rc4_first_crossing(spark, d, bound=60.0):
+    return first_crossing(drought_code_series(weather(spark, d), ["cell"]), ["cell"], "day", "dc", bound)
 
 
 @query(f"WITH weather AS ({WEATHER}) SELECT cell, day, round(least(greatest(exp(17.625 * (t - 6) / (t - 6 + 243.04) - 17.625 * t / (t + 243.04)) * 100, 0), 100), 6) AS rh, round(t * atan(0.151977 * sqrt(h + 8.313659)) + atan(t + h) - atan(h - 1.676331) + 0.00391838 * pow(h, 1.5) * atan(0.023101 * h) - 4.686035, 6) AS wet_bulb FROM weather")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_area_ha, local_km
 from ..functions.masks import clamp, in_days
+from ..operators.assess import building_grid, year_to_date
 from ..operators.graph import border_regions
 from ..operators.joins import ROOK, nearest
 from ..operators.overlay import Grid, aligned, block_factor, blended, centres, coarsened, crop_box, lattice_offset, mosaic, peat, rasterized, sampled, tiles
@@ -129,11 +129,8 @@ def su42_local_peat(spark, d):
 @query("WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%m-%d') >= '01-01' AND strftime(o_orderdate, '%m-%d') < '07-15' GROUP BY 1), b AS (SELECT avg(n) AS mean, avg(CASE WHEN y >= 1995 THEN n END) AS recent FROM y WHERE y < 1998) SELECT y, n, round(n / mean, 6) AS against_mean, round(n / recent, 6) AS against_recent, rank() OVER (ORDER BY n DESC) AS rank FROM y, b")
 def ag11_year_to_date(spark, d):
     """Counts of the same part of each year, 1 January up to but without 15 July, against the years before the last."""
-    at = F.date_format("o_orderdate", "MM-dd")
-    y = spark.read.parquet(f"{d}/orders.parquet").where((at >= "01-01") & (at < "07-15")).groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"))
-    b = y.where("y < 1998").agg(F.avg("n").alias("mean"), F.avg(F.when(F.col("y") >= 1995, F.col("n"))).alias("recent"))  # one row
-    out = y.crossJoin(F.broadcast(b))
-    return out.select("y", "n", r6(F.col("n") / F.col("mean")).alias("against_mean"), r6(F.col("n") / F.col("recent")).alias("against_recent"), F.rank().over(Window.orderBy(F.desc("n"))).cast("long").alias("rank"))
+    y = year_to_date(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", "01-01", "07-15", 1998, 1995)
+    return y.select("y", "n", r6(F.col("against_mean")).alias("against_mean"), r6(F.col("against_recent")).alias("against_recent"), "rank")
 
 
 _CITY = "city AS (SELECT s_suppkey AS city, 100 + (s_suppkey * 37 % 1000)::double / 100 AS cx, -10 + (s_suppkey * 91 % 2000)::double / 100 AS cy FROM supplier)"
@@ -156,8 +153,8 @@ def ag28_catchments(spark, d):
 def ag29_building_grid(spark, d):
     """Buildings and their area by cells of 400 m."""
     b = spark.read.parquet(f"{d}/part.parquet").where("p_size >= 20")
-    at = lambda k: F.floor((F.col("p_partkey") * k % 20000) / 400)
-    return b.groupBy(at(137).alias("gx"), at(311).alias("gy")).agg(F.count("*").alias("n"), r6(F.sum("p_retailprice")).alias("area"))
+    g = building_grid(b, F.col("p_partkey") * 137 % 20000, F.col("p_partkey") * 311 % 20000, "p_retailprice")
+    return g.withColumn("area", r6(F.col("area")))
 
 
 @query("SELECT count(*) AS buildings, round(sum(p_retailprice), 6) AS area FROM part WHERE p_size / 50.0 >= 0.70")

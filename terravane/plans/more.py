@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_start, same_window, week_of_month
 from ..functions.geo import cell_area_ha, line_of_sight, mercator_y, terrarium_m, tile_xy, up_east
-from ..functions.indices import celsius_landsat, decibels, harmonised_s2, reflectance_landsat
+from ..functions.indices import celsius_landsat, harmonised_s2, reflectance_landsat
 from ..functions.masks import in_months, zero_is_nodata
+from ..operators.assess import coherence_drop, disturbance, flood, heat_island, nearest_centroids, since
 from ..operators.change import change_summary, optical_change
-from ..operators.graph import despeckled
 from ..operators.grid import slope_degrees
-from ..operators.joins import QUEEN, nearest_epoch, rank_pairs
+from ..operators.joins import nearest_epoch, rank_pairs
 from ..operators.stats import confusion_metrics
 from ..operators.zonal import rescaled_index
 from ..sources.adapters import adapter, adapter_sql
@@ -91,45 +91,33 @@ _FLOOD = f"s AS (SELECT r, c, 10 * log10(avg(CASE WHEN vv > 0 AND day < date '19
 
 
 @query(f"WITH RECURSIVE {OBS}, {_FLOOD}, lab AS (SELECT id, id AS to_id FROM m UNION SELECT l.id, b.id FROM lab l JOIN m a ON a.id = l.to_id JOIN m b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND b.id <> a.id), root AS (SELECT id, min(to_id) AS root FROM lab GROUP BY id), s2 AS (SELECT root, count(*) AS size FROM root GROUP BY root HAVING count(*) >= 3) SELECT m.r AS r, m.c AS c FROM m JOIN root ON m.id = root.id JOIN s2 ON s2.root = root.root")
-def ch6_flood(spark, d):
-    late, power = F.col("day") >= F.lit("1995-06-01").cast("date"), F.when(F.col("vv") > 0, F.col("vv"))
-    s = adapter(spark, d, "obs").groupBy("r", "c").agg(decibels(F.avg(F.when(~late, power))).alias("pre"), decibels(F.avg(F.when(late, power))).alias("post"))
-    return despeckled(s.where((F.col("post") < -13) & ~(F.col("pre") < -13)), 3, QUEEN).select("r", "c")
+def ch6_flood(spark, d, split="1995-06-01", threshold=-13.0, least=3):
+    return flood(adapter(spark, d, "obs"), split, threshold=threshold, least=least)
 
 
 @query(f"WITH {OBS}, {COUNTS}, g AS (SELECT r, c, (coalesce(lead(v) OVER x, v) - coalesce(lag(v) OVER x, v)) / (coalesce(lead(c) OVER x, c) - coalesce(lag(c) OVER x, c)) / 30 AS gx, (coalesce(lead(v) OVER y, v) - coalesce(lag(v) OVER y, v)) / (coalesce(lead(r) OVER y, r) - coalesce(lag(r) OVER y, r)) / 30 AS gy FROM v WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)), b AS (SELECT r, c, 10 * log10(avg(CASE WHEN vh > 0 AND year(day) >= 1996 THEN vh END)) - 10 * log10(avg(CASE WHEN vh > 0 AND year(day) < 1996 THEN vh END)) AS drop FROM obs GROUP BY r, c), k AS (SELECT CASE WHEN drop < -0.4::double THEN 2 WHEN drop < -0.2::double THEN 1 ELSE 0 END AS grade, degrees(atan(sqrt(gx * gx + gy * gy))) > 15 AS steep FROM b JOIN g ON b.r = g.r AND b.c = g.c) SELECT grade, steep, count(*) AS n FROM k GROUP BY grade, steep")
-def ch7_disturbance(spark, d):
-    late, power = F.year("day") >= 1996, F.when(F.col("vh") > 0, F.col("vh"))
-    b = adapter(spark, d, "obs").groupBy("r", "c").agg((decibels(F.avg(F.when(late, power))) - decibels(F.avg(F.when(~late, power)))).alias("drop"))
-    k = b.join(slope_degrees(counts(spark, d), "v", 30.0), ["r", "c"])
-    grade = F.when(F.col("drop") < -0.4, 2).when(F.col("drop") < -0.2, 1).otherwise(0)
-    return k.groupBy(grade.alias("grade"), (F.col("slope") > 15).alias("steep")).agg(F.count("*").alias("n"))
+def ch7_disturbance(spark, d, first_year=1996, affected=-0.2, severe=-0.4, steep=15.0):
+    k = disturbance(adapter(spark, d, "obs"), slope_degrees(counts(spark, d), "v", 30.0), F.year("day") >= first_year, affected=affected, severe=severe, steep=steep)
+    return k.groupBy("grade", "steep").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {OBS}, {CLEAR} SELECT round(avg(CASE WHEN r BETWEEN 8 AND 12 AND c BETWEEN 8 AND 12 THEN tir END), 6) AS urban, round(avg(CASE WHEN NOT (r BETWEEN 6 AND 14 AND c BETWEEN 6 AND 14) THEN tir END), 6) AS rural, round(avg(CASE WHEN r BETWEEN 8 AND 12 AND c BETWEEN 8 AND 12 THEN tir END) - avg(CASE WHEN NOT (r BETWEEN 6 AND 14 AND c BETWEEN 6 AND 14) THEN tir END), 6) AS suhii FROM clear")
 def ch21_heat_island(spark, d):
     inside = lambda a, b: F.col("r").between(a, b) & F.col("c").between(a, b)
-    urban, rural = F.avg(F.when(inside(8, 12), F.col("tir"))), F.avg(F.when(~inside(6, 14), F.col("tir")))
-    return clear(spark, d).agg(r6(urban).alias("urban"), r6(rural).alias("rural"), r6(urban - rural).alias("suhii"))
+    h = heat_island(clear(spark, d), inside(8, 12), "tir", rural=~inside(6, 14))
+    return h.select(*(r6(F.col(x)).alias(x) for x in ("urban", "rural", "suhii")))
 
 
 @query(f"WITH {PAIRS}, a AS (SELECT cell, avg(CASE WHEN d1 < date '1995-06-01' THEN coh END) AS pre, avg(CASE WHEN d1 >= date '1995-06-01' THEN coh END) AS post FROM pair_obs GROUP BY cell) SELECT count(CASE WHEN pre >= 0.3 THEN 1 END) AS usable, count(CASE WHEN pre >= 0.3 AND pre - post >= 0.05 THEN 1 END) AS fell, round(100 * avg(CASE WHEN pre >= 0.3 THEN (pre - post >= 0.05)::int END), 6) AS pct, round(quantile_cont(pre - post, 0.05), 6) AS p05, round(quantile_cont(pre - post, 0.95), 6) AS p95 FROM a")
-def ch25_coherence_drop(spark, d):
-    late = F.col("d1") >= F.lit("1995-06-01").cast("date")
-    a = adapter(spark, d, "pair_obs").groupBy("cell").agg(F.avg(F.when(~late, F.col("coh"))).alias("pre"), F.avg(F.when(late, F.col("coh"))).alias("post"))
-    drop, usable = F.col("pre") - F.col("post"), F.col("pre") >= 0.3
-    fell = F.when(usable, (drop >= 0.05).cast("int"))
-    return a.agg(F.count(F.when(usable, 1)).alias("usable"), F.count(F.when(fell == 1, 1)).alias("fell"), r6(100 * F.avg(fell)).alias("pct"), r6(F.percentile(drop, 0.05)).alias("p05"), r6(F.percentile(drop, 0.95)).alias("p95"))
+def ch25_coherence_drop(spark, d, split="1995-06-01", usable=0.3, drop=0.05):
+    c = coherence_drop(adapter(spark, d, "pair_obs"), ["cell"], since("d1", split), "coh", usable, drop)
+    return c.select("usable", "fell", *(r6(F.col(x)).alias(x) for x in ("pct", "p05", "p95")))
 
 
 @query("WITH e AS (SELECT vec_id, label, unnest(embedding)::double AS v, unnest(range(64)) AS i FROM embeddings), c AS (SELECT label AS k, i, avg(v) AS m FROM e WHERE vec_id % 10 < 7 GROUP BY label, i), d AS (SELECT vec_id, e.label AS label, k, sum((v - m) * (v - m)) AS dist FROM e JOIN c ON e.i = c.i WHERE vec_id % 10 >= 7 GROUP BY vec_id, e.label, k), b AS (SELECT vec_id, any_value(label) AS label, arg_min(k, (round(dist, 9), k)) AS guess FROM d GROUP BY vec_id) SELECT label, guess, count(*) AS n FROM b GROUP BY label, guess")
 def ch30_nearest_centroid(spark, d):
-    """Confusion of a nearest-centroid classifier, fitted on rows whose vec_id ends in 0 to 6; centroids are as few as labels."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    long = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    c = long.where("vec_id % 10 < 7").groupBy(F.col("label").alias("k"), "i").agg(F.avg("v").alias("m"))
-    far = long.where("vec_id % 10 >= 7").join(c, "i").groupBy("vec_id", "label", "k").agg(F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2.0))).alias("dist"))
-    best = far.groupBy("vec_id", "label").agg(F.min_by("k", F.struct(F.round("dist", 9), "k")).alias("guess"))
+    """Confusion of a nearest-centroid classifier, fitted on rows whose vec_id ends in 0 to 6."""
+    best = nearest_centroids(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", "label", F.col("vec_id") % 10 < 7)
     return best.groupBy("label", "guess").agg(F.count("*").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,25 +53,30 @@ class Scenario:
     build: Callable[..., DataFrame]
     needs: tuple[str, ...] = ()
     defaults: dict = field(default_factory=dict)
+    takes: frozenset[str] = frozenset()
 
 
 SCENARIOS: dict[str, Scenario] = {}
 
 
-def register(name: str, needs: Sequence[str] = (), **defaults):
+def register(name: str, needs: Sequence[str] = (), takes: Iterable[str] = (), **defaults):
+    """needs: options that must be given; takes: others that may be, besides those with a default."""
+
     def add(build: Callable[..., DataFrame]):
-        SCENARIOS[name] = Scenario(build, tuple(needs), defaults)
+        SCENARIOS[name] = Scenario(build, tuple(needs), defaults, frozenset({*needs, *takes, *defaults}))
         return build
 
     return add
 
 
 def run_scenario(name: str, spark: SparkSession, **options) -> DataFrame:
-    """Builds a scenario's DataFrame; options override its defaults, and what it needs must be there."""
+    """Builds a scenario's DataFrame; options override its defaults, what it needs must be there, and an option it doesn't take is refused."""
     if name not in SCENARIOS:
         raise ValueError(f"no scenario {name}; there are {', '.join(sorted(SCENARIOS))}")
     scenario = SCENARIOS[name]
     options = scenario.defaults | {k: v for k, v in options.items() if v is not None}
+    if unknown := sorted(options.keys() - scenario.takes):
+        raise ValueError(f"{name} takes no option {', '.join(unknown)}; there are {', '.join(sorted(scenario.takes))}")
     if missing := [n for n in scenario.needs if n not in options]:
         raise ValueError(f"{name} needs {', '.join(missing)}")
     return scenario.build(spark, **options)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.classes import ISPU, class_up_to
 from ..functions.fire import DC_DAYLENGTH, DC_TROPICS, DMC_DAYLENGTH, DMC_TROPICS, day_length, wet_bulb
 from ..functions.geodesy import FEEDS, earth_radius, feed, geodetic, next_pass, nice_step
 from ..functions.indices import METHODS
+from ..operators.assess import haze_run, newest
 from ..operators.checks import resolved
 from ..operators.joins import neighbours
 from ..operators.quantiles import quantiles
@@ -28,18 +28,16 @@ _DAILY = "dd AS (SELECT day, avg(value) AS pm FROM point GROUP BY day)"
 
 
 @query(f"WITH {POINT}, {_DAILY} SELECT count(*) AS days, round(avg(pm), 6) AS mean, round(max(pm), 6) AS most, arg_max(day, (pm, day)) AS worst_day, arg_max(pm, day) IS NOT NULL AS has_latest, round(arg_max(pm, day), 6) AS latest, " + ", ".join(f"count(CASE WHEN {w} THEN 1 END) AS class_{k}" for k, w in enumerate(("pm <= 15.5", "pm > 15.5 AND pm <= 55.4", "pm > 55.4 AND pm <= 150.4", "pm > 150.4 AND pm <= 250.4", "pm > 250.4"))) + ", count(CASE WHEN pm > 15 THEN 1 END) AS above_who FROM dd")
-def su3_haze_run(spark, d):
-    pm = adapter(spark, d, "point").groupBy("day").agg(F.avg("value").alias("pm")).withColumn("k", class_up_to(F.col("pm"), ISPU))
-    classes = [F.count(F.when(F.col("k") == k, 1)).alias(f"class_{k}") for k in range(5)]
-    latest = F.max_by("pm", "day")
-    return pm.agg(F.count("*").alias("days"), r6(F.avg("pm")).alias("mean"), r6(F.max("pm")).alias("most"), F.max_by("day", F.struct("pm", "day")).alias("worst_day"), latest.isNotNull().alias("has_latest"), r6(latest).alias("latest"), *classes, F.count(F.when(F.col("pm") > 15, 1)).alias("above_who"))
+def su3_haze_run(spark, d, who=15.0):
+    daily = adapter(spark, d, "point").groupBy("day").agg(F.avg("value").alias("pm"))
+    h = haze_run(daily, "day", "pm", who=who)
+    return h.withColumns({x: r6(F.col(x)) for x in ("mean", "most", "latest")})
 
 
 @query(f"WITH {SCENE} SELECT collection, max(day) AS newest, max(day) - 1 AS default_end, date_diff('day', max(day), date '1998-08-20') > 21 AS stale FROM scene GROUP BY collection")
 def su5_newest(spark, d):
     """Newest date by collection, the day before it as a default end, and whether it is more than 21 days old."""
-    newest = F.max("day")
-    return adapter(spark, d, "scene").groupBy("collection").agg(newest.alias("newest"), F.date_sub(newest, 1).alias("default_end"), (F.datediff(F.lit("1998-08-20").cast("date"), newest) > 21).alias("stale"))
+    return newest(adapter(spark, d, "scene"), ["collection"], "day", "1998-08-20")
 
 
 @query("SELECT unnest(range(greatest(1993, year(min(o_orderdate))), year(max(o_orderdate)) + 1))::bigint AS y FROM orders")

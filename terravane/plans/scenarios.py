@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.assess import claims
 from ..operators.checks import step_dates
+from ..sources.adapters import View, viewing
+from . import coast, dynamics, grids, more, motion, reports, spectral, stacks, zonal  # noqa: F401  the queries that build scenarios
 from .orchestration import chain, register
 from .registry import QUERIES
 
@@ -38,24 +42,39 @@ BUILT_BY = {
 }
 
 
+#: Queries whose tables hold no days or places to choose.
+UNDATED = ("rc6_path_lengths", "ch35_served_shares", "ch23_trend")
+
+
 def _built(query: str):
+    """A builder that sees the tables from `start` to `end` and within `box`, and hands the query's own thresholds on to it."""
+    own = set(list(inspect.signature(QUERIES[query]).parameters)[2:])
+
     def build(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-        return QUERIES[query](spark, sf_dir)
+        view = View(**{k: options.pop(k) for k in VIEWED if k in options and k not in own})
+        with viewing(view):
+            return QUERIES[query](spark, sf_dir, **options)
 
-    return build
+    return build, own | (set() if query in UNDATED else set(VIEWED))
 
 
+VIEWED = ("start", "end", "box")
+
 for _name, _query in BUILT_BY.items():
-    register(_name, needs=("sf_dir",))(_built(_query))
+    _build, _options = _built(_query)
+    register(_name, needs=("sf_dir",), takes=_options)(_build)
 
-#: Steps of the chain and the date each one starts from.
+#: Steps of the chain and the date that tells them apart: one that a step's data start from, or the last one they reach.
 STEPS = (("danger", "fire-danger", "end"), ("hotspots", "fire-hotspot", "end"), ("history", "fire-history", "end"), ("haze", "haze", "haze_start"), ("drought", "drought", "drought_start"), ("exposure", "smoke-exposure", "haze_start"), ("record", "fire-record", "forecast_end"))
 
 
 def fire_season(spark: SparkSession, sf_dir: str, end: datetime.date) -> tuple[dict[str, DataFrame], dict[str, str], dict[str, datetime.date]]:
     """The chain of seven: results, the errors of steps that failed (they stop no other), and the date each step starts from."""
     dates = step_dates(end)
-    done, failed = chain(spark, [(label, name, {"sf_dir": sf_dir}) for label, name, _ in STEPS])
+    season = {"start": dates["haze_start"], "end": end}
+    # drought is told from the years before, which stay in view; the record runs up from long before the season, and reaches the forecast
+    views = {"haze": season, "exposure": season, "drought": {"end": end, "year": end.year}, "record": {"start": dates["drought_start"], "end": dates["forecast_end"]}}
+    done, failed = chain(spark, [(label, name, {"sf_dir": sf_dir, **views.get(label, {"end": dates[at]})}) for label, name, at in STEPS])
     return done, failed, {label: dates[at] for label, _, at in STEPS}
 
 
@@ -70,3 +89,12 @@ def brief(done: dict[str, DataFrame], failed: dict[str, str]) -> DataFrame:
         missing = spark.createDataFrame(sorted(failed.items()), "step string, text string")
         lines = missing if lines is None else lines.union(missing)
     return lines
+
+
+def season_claims(done: dict[str, DataFrame], share: float = 0.01) -> DataFrame:
+    """(zone, claim): what the chain's numbers bear out about the danger in each zone, slivers left out; see assess.claims."""
+    danger = done["danger"].where("zone_id IS NOT NULL")
+    classes = [c for c in danger.columns if c.startswith("class_")]
+    known = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
+    zones = danger.select(F.col("zone_id").cast("string").alias("zone"), F.col("total").alias("ha"), *((100 * F.try_divide(F.col(c), known)).alias(c) for c in classes))
+    return claims(zones, "zone", "ha", classes, share=share)

@@ -175,10 +175,10 @@ def ch2_period_composite(spark, d):
 
 
 @query(sql(OBS, CLEAR, "e AS (SELECT r, c, " + ", ".join(f"median(CASE WHEN {w} THEN {nd('swir1', 'nir')} END) AS e{k}" for k, w in enumerate(("year(day) <= 1994", "year(day) BETWEEN 1995 AND 1996", "year(day) >= 1997"))) + " FROM clear GROUP BY r, c)", select="SELECT count(CASE WHEN e0 > 0 THEN 1 END) AS built_0, count(CASE WHEN e1 > 0 THEN 1 END) AS built_1, count(CASE WHEN e2 > 0 THEN 1 END) AS built_2, count(CASE WHEN e2 > 0 AND NOT e0 > 0 THEN 1 END) AS new FROM e"))
-def ch5_urban_trend(spark, d):
+def ch5_urban_trend(spark, d, built=0.0):
     y = F.year("day")
     e = epochs(clear(spark, d), index("NDBI"), F.when(y <= 1994, 0).when(y <= 1996, 1).otherwise(2), 3)
-    over = lambda k: F.col(f"e{k}") > 0
+    over = lambda k: F.col(f"e{k}") > built
     return e.agg(*(F.count(F.when(over(k), 1)).alias(f"built_{k}") for k in range(3)), F.count(F.when(over(2) & ~over(0), 1)).alias("new"))
 
 
@@ -209,9 +209,9 @@ _LOSS = "CASE " + " ".join(f"WHEN e0 - e{k} > 0.2::double THEN {k}" for k in ran
 
 
 @query(sql(OBS, CLEAR, _EPOCHS, select=f"SELECT r, c, e0 > 0.3::double AS was_forest, CASE WHEN e0 > 0.3::double THEN {_LOSS} END AS loss_epoch FROM e"))
-def ch11_forest_loss(spark, d):
+def ch11_forest_loss(spark, d, baseline=0.3, drop=0.2):
     e = epochs(clear(spark, d), index("NDVI"), F.year("day") - 1992, 6)
-    return first_loss(e, 6, 0.3, 0.2).select("r", "c", "was_forest", "loss_epoch")
+    return first_loss(e, 6, baseline, drop).select("r", "c", "was_forest", "loss_epoch")
 
 
 @query(sql(OBS, CLEAR, _EPOCHS, select="SELECT r, c, CASE " + " ".join(f"WHEN e{k} > 0.35::double THEN {k}" for k in range(6)) + " END AS first_built FROM e"))
@@ -224,10 +224,10 @@ _POP = "p AS (SELECT r, c, sum(CASE WHEN year(day) = 1993 THEN tir ELSE 0 END) A
 
 
 @query(sql(OBS, _POP, select="SELECT r, c, round(pct, 6) AS pct, CASE WHEN greatest(p1, p2) < 50 THEN 0 WHEN pct > 10 THEN 2 WHEN pct < -10 THEN 3 ELSE 1 END AS class FROM q"))
-def ch14_population_class(spark, d):
+def ch14_population_class(spark, d, neutral_pct=10, least=50):
     year = lambda y: F.sum(F.when(F.year("day") == y, F.col("tir")).otherwise(0.0))
     p = adapter(spark, d, "obs").groupBy("r", "c").agg(year(1993).alias("p1"), year(1997).alias("p2"))
-    return p.select("r", "c", r6(population_pct(F.col("p1"), F.col("p2"))).alias("pct"), population_class(F.col("p1"), F.col("p2"), 10, 50).alias("class"))
+    return p.select("r", "c", r6(population_pct(F.col("p1"), F.col("p2"))).alias("pct"), population_class(F.col("p1"), F.col("p2"), neutral_pct, least).alias("class"))
 
 
 _Z = "y AS (SELECT r, c, year(day) AS y, avg(red) AS red, avg(tir) AS tir FROM clear WHERE month(day) BETWEEN 6 AND 8 GROUP BY r, c, year(day)), z AS (SELECT r, c, " + ", ".join(
@@ -253,10 +253,10 @@ def ch16_vegetation_health(spark, d):
 
 
 @query(sql(OBS, CLEAR, _Z, _VCI, "j AS (SELECT z.r AS r, z.c AS c, red_z, tir_z, (vci + tci) / 2 AS vhi FROM z JOIN w ON z.r = w.r AND z.c = w.c), k AS (SELECT CASE WHEN NOT red_z < -1 AND (tir_z < -1 OR vhi < 40) THEN 4 WHEN red_z < -1 AND tir_z < -1 AND vhi < 40 THEN 3 WHEN red_z < -1 AND tir_z < -1 THEN 2 WHEN red_z < -1 THEN 1 ELSE 0 END AS cdi FROM j)", select="SELECT cdi, count(*) AS n FROM k GROUP BY cdi"))
-def ch15_combined_drought(spark, d):
-    cells, now = clear(spark, d), F.year("day") == 1997
+def ch15_combined_drought(spark, d, year=1997):
+    cells, now = clear(spark, d), F.year("day") == year
     summer = cells.where(F.month("day").between(6, 8))
-    z = lambda b: window_z(summer, ["r", "c"], F.year("day"), b, 1997).select("r", "c", F.col("z").alias(b))
+    z = lambda b: window_z(summer, ["r", "c"], F.year("day"), b, year).select("r", "c", F.col("z").alias(b))
     v = condition_index(cells, ["r", "c"], now, "nir").select("r", "c", F.col("condition").alias("vci"))
     t = condition_index(cells, ["r", "c"], now, "tir", inverted=True).select("r", "c", F.col("condition").alias("tci"))
     j = z("red").join(z("tir"), ["r", "c"]).join(v, ["r", "c"]).join(t, ["r", "c"])

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.indices import decibels
+from ..operators.assess import area_reducers, box_anomaly, close_up, greenness, greenness_change, heat_island, imagery_state, percent_of_normal, rain_by_year, share_of_total, urban_growth
 from ..operators.change import optical_change, orbit_choice
 from ..operators.composite import period_composite
 from ..operators.overlay import sampled
-from ..operators.quantiles import quantiles
 from ..operators.stacks import DRAWS, bootstrap, elevation_fit, exceedance, file_state, local_resultant, mask_polarity, picks, poisson_bounds, reference_spread, stats_lines, trusted_range, usable_scenes, without_band
 from ..sources.adapters import adapter, adapter_sql
 from .grids import COARSE, FINE
@@ -159,13 +159,10 @@ _IMG = "k AS (SELECT r, c, count(CASE WHEN (qa & 31) = 0 THEN 1 END) AS clear, c
 
 
 @query(f"WITH {OBS}, {_IMG} SELECT CASE WHEN passes IS NULL THEN 'no pass' WHEN clear = 0 THEN 'all cloudy' ELSE 'clear' END AS state, count(*) AS cells, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM g LEFT JOIN k ON g.r = k.r AND g.c = k.c GROUP BY 1")
-def ch3_imagery_state(spark, d):
+def ch3_imagery_state(spark, d, start="1995-03-01", end="1995-04-01"):
     """Cells of a composite without data are told apart: no scene passed, or all that did were cloudy."""
-    o = adapter(spark, d, "obs")
-    seen = o.where("day >= date'1995-03-01' AND day < date'1995-04-01'").groupBy("r", "c").agg(F.count(F.when(F.col("qa").bitwiseAND(31) == 0, 1)).alias("clear"), F.count("*").alias("passes"))
-    state = F.when(F.col("passes").isNull(), "no pass").when(F.col("clear") == 0, "all cloudy").otherwise("clear")
-    n = o.select("r", "c").distinct().join(seen, ["r", "c"], "left").groupBy(state.alias("state")).agg(F.count("*").alias("cells"))
-    return n.select("state", "cells", r6(100 * F.col("cells") / F.sum("cells").over(Window.partitionBy(F.lit(0)))).alias("pct"))
+    n = imagery_state(adapter(spark, d, "obs"), start, end, F.col("qa").bitwiseAND(31) == 0)
+    return n.withColumn("pct", r6(F.col("pct")))
 
 
 @query(f"WITH {OBS} SELECT day, count(*) AS cells, round(100 * avg(((qa & 31) = 0)::int), 6) AS valid_pct FROM obs WHERE day >= date '1995-02-24' AND day < date '1995-03-06' GROUP BY day")
@@ -180,13 +177,13 @@ _NDVI = f"dv AS (SELECT r, c, CASE WHEN n_0 >= 2 AND n_1 >= 2 AND NOT coalesce((
 
 
 @query(f"WITH {OBS}, {CLEAR}, {_MED}, {_NDVI}, {_MINE} SELECT dv.r AS r, dv.c AS c, round(delta, 6) AS delta, round(b - a, 6) AS radar, delta < -0.15 AND b - a < 0 AS both FROM dv JOIN per ON dv.r = per.r AND dv.c = per.c WHERE delta IS NOT NULL")
-def ch4_mining(spark, d):
+def ch4_mining(spark, d, split="1996-01-01", loss=-0.15):
     """Loss of vegetation side by side with the change of radar backscatter between periods."""
     o = adapter(spark, d, "obs").where("vh > 0")
     period = F.when(F.year("day") <= 1994, "a").when(F.year("day") >= 1996, "b")
     radar = period_composite(o, "vh", period, ["a", "b"]).select("r", "c", (decibels(F.col("b")) - decibels(F.col("a"))).alias("radar"))
-    change = optical_change(clear(spark, d), "1996-01-01", "NDVI").where("delta IS NOT NULL").select("r", "c", "delta")
-    both = (F.col("delta") < -0.15) & (F.col("radar") < 0)
+    change = optical_change(clear(spark, d), split, "NDVI").where("delta IS NOT NULL").select("r", "c", "delta")
+    both = (F.col("delta") < loss) & (F.col("radar") < 0)
     return change.join(radar, ["r", "c"]).select("r", "c", r6(F.col("delta")).alias("delta"), r6(F.col("radar")).alias("radar"), both.alias("both"))
 
 
@@ -194,21 +191,16 @@ _URB = f"u AS (SELECT r, c, {', '.join(f'avg(CASE WHEN {w} THEN {i} END) AS {n}{
 
 
 @query(f"WITH {OBS}, {_URB} SELECT count(CASE WHEN v0 > 0.25 AND v1 < 0.26 AND v1 - v0 < -0.01 THEN 1 END) AS lost, count(CASE WHEN b1 > 0.25 AND NOT b0 > 0.25 THEN 1 END) AS new_urban, round(count(CASE WHEN b0 > 0.25 THEN 1 END) * 0.0009::double, 6) AS km2_first, round(count(CASE WHEN b1 > 0.25 THEN 1 END) * 0.0009::double, 6) AS km2_last FROM u")
-def ch13_urban_growth(spark, d):
+def ch13_urban_growth(spark, d, last_before=1994, first_after=1996, green_first=0.25, green_last=0.26, fall=-0.01, over=0.25):
     """Vegetation lost (green before, not after, by a clear drop), newly built cells, and built area by epoch, for cells of 30 m."""
-    side = {0: F.year("day") <= 1994, 1: F.year("day") >= 1996}
-    u = adapter(spark, d, "obs").groupBy("r", "c").agg(*(F.avg(F.when(side[k], F.col(i))).alias(f"{n}{k}") for k in side for n, i in (("v", "red"), ("b", "swir1"))))
-    v0, v1, b0, b1 = (F.col(x) for x in ("v0", "v1", "b0", "b1"))
-    n = lambda c: F.count(F.when(c, 1))
-    return u.agg(n((v0 > 0.25) & (v1 < 0.26) & (v1 - v0 < -0.01)).alias("lost"), n((b1 > 0.25) & ~(b0 > 0.25)).alias("new_urban"), r6(n(b0 > 0.25) * 0.0009).alias("km2_first"), r6(n(b1 > 0.25) * 0.0009).alias("km2_last"))
+    u = urban_growth(adapter(spark, d, "obs"), F.year("day") <= last_before, F.year("day") >= first_after, "red", "swir1", green_first=green_first, green_last=green_last, fall=fall, over=over)
+    return u.select("lost", "new_urban", r6(F.col("km2_first")).alias("km2_first"), r6(F.col("km2_last")).alias("km2_last"))
 
 
 @query(f"WITH {OBS}, y AS (SELECT r, c, year(day) AS y, sum(swir1) AS rain FROM obs GROUP BY 1, 2, 3) SELECT r, c, round(100 * max(CASE WHEN y = 1997 THEN rain END) / avg(CASE WHEN y < 1997 THEN rain END), 6) AS pct FROM y GROUP BY r, c")
-def ch19_percent_of_normal(spark, d):
+def ch19_percent_of_normal(spark, d, year=1997):
     """A year's sum in each cell as a percentage of the mean of the years before."""
-    y = adapter(spark, d, "obs").groupBy("r", "c", F.year("day").alias("y")).agg(F.sum("swir1").alias("rain"))
-    now, base = F.max(F.when(F.col("y") == 1997, F.col("rain"))), F.avg(F.when(F.col("y") < 1997, F.col("rain")))
-    return y.groupBy("r", "c").agg(r6(100 * F.try_divide(now, base)).alias("pct"))
+    return percent_of_normal(adapter(spark, d, "obs"), ["r", "c"], F.year("day"), "swir1", year).withColumn("pct", r6(F.col("pct")))
 
 
 _RAINY = "ry AS (SELECT year(o_orderdate) AS y, sum(o_totalprice) AS rain FROM orders WHERE month(o_orderdate) BETWEEN 3 AND 5 GROUP BY 1)"
@@ -216,10 +208,9 @@ _RAINY = "ry AS (SELECT year(o_orderdate) AS y, sum(o_totalprice) AS rain FROM o
 
 @query(f"WITH {_RAINY}, s AS (SELECT y, rain, avg(rain) OVER () AS m, stddev_pop(rain) OVER () AS sd FROM ry) SELECT y, round((rain - m) / sd, 6) AS z, round(100 * rain / m, 6) AS pct, rank() OVER (ORDER BY round(rain, 2)) AS driest FROM s")
 def ch18_rain_by_year(spark, d):
-    """The same months of each year: standard score, percent of normal and rank of the driest; windows over one row a year."""
-    y = spark.read.parquet(f"{d}/orders.parquet").where(F.month("o_orderdate").between(3, 5)).groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(F.sum("o_totalprice").alias("rain"))
-    all_ = Window.partitionBy(F.lit(0))
-    return y.select("y", r6((F.col("rain") - F.avg("rain").over(all_)) / F.stddev_pop("rain").over(all_)).alias("z"), r6(100 * F.col("rain") / F.avg("rain").over(all_)).alias("pct"), F.rank().over(Window.orderBy(F.round("rain", 2))).cast("long").alias("driest"))
+    """The same months of each year: standard score, percent of normal and rank of the driest."""
+    o = spark.read.parquet(f"{d}/orders.parquet").where(F.month("o_orderdate").between(3, 5))
+    return rain_by_year(o, F.year("o_orderdate"), "o_totalprice").select("y", r6(F.col("z")).alias("z"), r6(F.col("pct")).alias("pct"), "driest")
 
 
 _BOX = "nino AS (SELECT year(day) AS y, month(day) AS m, avg(tir) AS v FROM obs WHERE r >= 8 AND r < 12 AND c >= 4 AND c < 14 GROUP BY 1, 2)"
@@ -228,44 +219,39 @@ _BOX = "nino AS (SELECT year(day) AS y, month(day) AS m, avg(tir) AS v FROM obs
 @query(f"WITH {OBS}, {_BOX} SELECT y, m, round(v - avg(v) OVER (PARTITION BY m), 6) AS anomaly FROM nino")
 def ch20_box_anomaly(spark, d):
     """Monthly means of a box against the climatology of each month."""
-    v = adapter(spark, d, "obs").where("r >= 8 AND r < 12 AND c >= 4 AND c < 14").groupBy(F.year("day").cast("long").alias("y"), F.month("day").cast("long").alias("m")).agg(F.avg("tir").alias("v"))
-    return v.select("y", "m", r6(F.col("v") - F.avg("v").over(Window.partitionBy("m"))).alias("anomaly"))
+    box = (F.col("r") >= 8) & (F.col("r") < 12) & (F.col("c") >= 4) & (F.col("c") < 14)
+    return box_anomaly(adapter(spark, d, "obs"), box, "day", "tir").withColumn("anomaly", r6(F.col("anomaly")))
 
 
 _HEAT = "k AS (SELECT r, c, avg(tir) AS t, avg(swir1) >= 0.25 AS urban, avg(nir) * 1000 AS h FROM obs GROUP BY r, c), e AS (SELECT avg(h) AS h FROM k WHERE urban)"
 
 
 @query(f"WITH {OBS}, {_HEAT} SELECT round(avg(CASE WHEN urban THEN t END) - avg(CASE WHEN NOT urban AND abs(k.h - e.h) <= 30 THEN t END), 6) AS suhii, count(CASE WHEN NOT urban AND abs(k.h - e.h) <= 30 THEN 1 END) AS rural FROM k, e")
-def ch21_matched_heat_island(spark, d):
+def ch21_matched_heat_island(spark, d, built=0.25, within=30.0):
     """Urban against rural cells whose height is near that of the city."""
-    k = adapter(spark, d, "obs").groupBy("r", "c").agg(F.avg("tir").alias("t"), (F.avg("swir1") >= 0.25).alias("urban"), (F.avg("nir") * 1000).alias("h"))
-    city = k.where("urban").agg(F.avg("h").alias("city"))  # one row
-    rural = ~F.col("urban") & (F.abs(F.col("h") - F.col("city")) <= 30)
-    return k.crossJoin(F.broadcast(city)).agg(r6(F.avg(F.when(F.col("urban"), F.col("t"))) - F.avg(F.when(rural, F.col("t")))).alias("suhii"), F.count(F.when(rural, 1)).alias("rural"))
+    k = adapter(spark, d, "obs").groupBy("r", "c").agg(F.avg("tir").alias("t"), (F.avg("swir1") >= built).alias("urban"), (F.avg("nir") * 1000).alias("h"))
+    h = heat_island(k, F.col("urban"), "t", "h", within)
+    return h.select(r6(F.col("suhii")).alias("suhii"), F.col("n_rural").alias("rural"))
 
 
 _CLOSE = f"p AS (SELECT r, c, avg(CASE WHEN year(day) <= 1994 THEN ({nd('nir', 'red')}) END) AS a, avg(CASE WHEN year(day) >= 1996 THEN ({nd('nir', 'red')}) END) AS b, avg(red) AS red FROM obs GROUP BY r, c)"
 
 
-def close_up(spark, d):
+def green_cells(spark, d):
     ndvi = F.try_divide(F.col("nir") - F.col("red"), F.col("nir") + F.col("red"))
-    return adapter(spark, d, "obs").groupBy("r", "c").agg(F.avg(F.when(F.year("day") <= 1994, ndvi)).alias("a"), F.avg(F.when(F.year("day") >= 1996, ndvi)).alias("b"), F.avg("red").alias("red"))
+    return greenness(adapter(spark, d, "obs"), F.year("day") <= 1994, F.year("day") >= 1996, ndvi, red="red")
 
 
 @query(f"WITH {OBS}, {_CLOSE}, e AS (SELECT quantile_cont(red, 0.02) AS lo, quantile_cont(red, 0.98) AS hi FROM p) SELECT r, c, a > 0.3 AND b - a < -0.02 AS lost, round(least(greatest((red - lo) / (hi - lo), 0), 1), 6) AS shown FROM p, e")
 def ch27_close_up(spark, d):
     """Cells that were green and no longer are, and red light stretched between its 2nd and 98th percentile."""
-    p = close_up(spark, d)
-    e = quantiles(p, "red", {"lo": 0.02, "hi": 0.98})  # one row
-    shown = F.least(F.greatest((F.col("red") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
-    return p.crossJoin(F.broadcast(e)).select("r", "c", ((F.col("a") > 0.3) & (F.col("b") - F.col("a") < -0.02)).alias("lost"), r6(shown).alias("shown"))
+    return close_up(green_cells(spark, d), "red", fall=-0.02).withColumn("shown", r6(F.col("shown")))
 
 
 @query(f"WITH {OBS}, {_CLOSE} SELECT round(avg(a), 6) AS before, round(avg(b), 6) AS after, round(avg(b - a), 6) AS change, round(100 * avg((b - a < -0.05)::int), 6) AS pct_affected, round(100 * avg((b - a < -0.15)::int), 6) AS pct_severe FROM p")
 def ch28_ndvi_change(spark, d):
-    p, x = close_up(spark, d), F.col("b") - F.col("a")
-    pct = lambda bound: r6(100 * F.avg((x < bound).cast("int")))
-    return p.agg(r6(F.avg("a")).alias("before"), r6(F.avg("b")).alias("after"), r6(F.avg(x)).alias("change"), pct(-0.05).alias("pct_affected"), pct(-0.15).alias("pct_severe"))
+    g = greenness_change(green_cells(spark, d))
+    return g.select(*(r6(F.col(x)).alias(x) for x in g.columns))
 
 
 @query(f"WITH {SCENE} SELECT orbit, count(CASE WHEN day < date '1994-01-01' THEN 1 END) AS n_0, count(CASE WHEN day >= date '1996-01-01' THEN 1 END) AS n_1 FROM scene GROUP BY orbit ORDER BY (count(CASE WHEN day < date '1994-01-01' THEN 1 END) > 0 AND count(CASE WHEN day >= date '1996-01-01' THEN 1 END) > 0) DESC, count(CASE WHEN day < date '1994-01-01' THEN 1 END) + count(CASE WHEN day >= date '1996-01-01' THEN 1 END) DESC, orbit LIMIT 1")
@@ -283,16 +269,12 @@ _AOI = "x AS (SELECT CASE WHEN nir > 0.05 THEN nir END AS v, nir > 0.5 AS mask F
 def ag1_area_reducers(spark, d):
     """All reducers of an area at once; a mask's percentage is of valid cells."""
     v = F.when(F.col("nir") > 0.05, F.col("nir"))
-    x = adapter(spark, d, "obs").where("r BETWEEN 5 AND 14 AND c BETWEEN 5 AND 14").select(v.alias("v"), (F.col("nir") > 0.5).cast("int").alias("mask"))
-    high = quantiles(x, "v", {"p90": 0.9}).select(r6(F.col("p90")).alias("p90"))
-    sums = x.agg(
-        F.count("*").alias("n"), F.count("v").alias("valid"), r6(F.avg("v")).alias("mean"), F.round(F.sum("v"), 4).alias("total"), F.min("v").alias("least"), F.max("v").alias("most"),
-        r6(F.stddev_pop("v")).alias("sd"), r6(100 * F.avg(F.when(F.col("v").isNotNull(), F.col("mask")))).alias("pct_mask"),
-    )
-    return sums.crossJoin(high)  # one row each
+    x = adapter(spark, d, "obs").where("r BETWEEN 5 AND 14 AND c BETWEEN 5 AND 14").select(v.alias("v"), (F.col("nir") > 0.5).alias("mask"))
+    a = area_reducers(x, "v", "mask")
+    return a.select("n", "valid", r6(F.col("mean")).alias("mean"), F.round("total", 4).alias("total"), "least", "most", *(r6(F.col(x)).alias(n) for x, n in (("sd", "sd"), ("quantile", "p90"), ("pct_mask", "pct_mask"))))
 
 
 @query(f"WITH {POINT}, s AS (SELECT sat, sum(value) AS total FROM point GROUP BY sat) SELECT sat, round(total, 4) AS total, round(100 * total / sum(total) OVER (), 6) AS pct FROM s")
 def ag14_share_of_total(spark, d):
-    s = adapter(spark, d, "point").groupBy("sat").agg(F.sum("value").alias("total"))
-    return s.select("sat", F.round("total", 4).alias("total"), r6(100 * F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(0)))).alias("pct"))
+    s = share_of_total(adapter(spark, d, "point"), ["sat"], "value")
+    return s.select("sat", F.round("total", 4).alias("total"), r6(F.col("pct")).alias("pct"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import clear_thermal, no_nan
+from ..operators.assess import dipole, rain_by_year
 from ..operators.composite import daily
 from ..operators.quantiles import quantiles
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
@@ -118,17 +119,13 @@ def tc12_rain_to_noon(spark, d):
 
 @query(f"WITH weather AS ({WEATHER}), y AS (SELECT week(day) AS y, sum(rain) AS rain FROM weather GROUP BY 1), s AS (SELECT y, rain, avg(rain) OVER () AS m, stddev_pop(rain) OVER () AS sd FROM y) SELECT y, round((rain - m) / sd, 6) AS z, round(100 * rain / m, 6) AS pct, rank() OVER (ORDER BY round(rain, 6)) AS driest FROM s")
 def ch18_rain_anomaly(spark, d):
-    """Weeks stand for years; windows over one row a week."""
-    y = weather(spark, d).groupBy(F.weekofyear("day").cast("long").alias("y")).agg(F.sum("rain").alias("rain"))
-    all_ = Window.partitionBy(F.lit(0))
-    return y.select("y", r6((F.col("rain") - F.avg("rain").over(all_)) / F.stddev_pop("rain").over(all_)).alias("z"), r6(100 * F.col("rain") / F.avg("rain").over(all_)).alias("pct"), F.rank().over(Window.orderBy(F.round("rain", 6))).cast("long").alias("driest"))
+    """Weeks stand for years."""
+    return rain_by_year(weather(spark, d), F.weekofyear("day"), "rain", 6).select("y", r6(F.col("z")).alias("z"), r6(F.col("pct")).alias("pct"), "driest")
 
 
 @query(f"WITH {POINT}, m AS (SELECT day, avg(CASE WHEN lon < 103 THEN value END) AS west, avg(CASE WHEN lon >= 107 THEN value END) AS east FROM point GROUP BY day) SELECT day, round((west - avg(west) OVER ()) - (east - avg(east) OVER ()), 6) AS dipole FROM m")
 def ch20_dipole(spark, d):
-    m = adapter(spark, d, "point").groupBy("day").agg(F.avg(F.when(F.col("lon") < 103, F.col("value"))).alias("west"), F.avg(F.when(F.col("lon") >= 107, F.col("value"))).alias("east"))
-    away = lambda x: F.col(x) - F.avg(x).over(Window.partitionBy(F.lit(0)))
-    return m.select("day", r6(away("west") - away("east")).alias("dipole"))
+    return dipole(adapter(spark, d, "point"), F.col("lon") < 103, F.col("lon") >= 107, "day", "value").withColumn("dipole", r6(F.col("dipole")))
 
 
 @query(f"WITH {OBS}, {CLEAR}, y AS (SELECT r, c, year(day) AS y, avg(tir) AS v FROM clear WHERE tir IS NOT NULL GROUP BY r, c, year(day)) SELECT r, c, round(CASE WHEN count(CASE WHEN y <= 1993 THEN 1 END) >= 2 AND count(CASE WHEN y >= 1997 THEN 1 END) >= 2 THEN avg(CASE WHEN y >= 1997 THEN v END) - avg(CASE WHEN y <= 1993 THEN v END) END, 6) AS change FROM y GROUP BY r, c")

@@ -53,8 +53,8 @@ def ag3_zonal_daily(spark, d):
 
 
 @query(f"WITH {POINT}, {ZONE}, {JOINED} SELECT country, name, count(*) AS n FROM j WHERE conf >= 30 GROUP BY country, name")
-def ag13_counts_by_zone(spark, d):
-    return zoned_points(spark, d).where("conf >= 30").groupBy("country", "name").agg(F.count("*").alias("n"))
+def ag13_counts_by_zone(spark, d, confidence=30):
+    return zoned_points(spark, d).where(F.col("conf") >= confidence).groupBy("country", "name").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {POINT} SELECT event_id, lon, lat, day FROM point WHERE conf >= 50 AND lon >= 102 AND lon <= 108 AND lat >= -8 AND lat <= 4")
@@ -167,8 +167,8 @@ def je2_anti(spark, d):
 
 
 @query(f"WITH {PAIRS}, s AS (SELECT cell, sum(years * phase) AS xy, sum(years * years) AS xx, count(*) AS n FROM pair_obs WHERE coh >= 0.3 GROUP BY cell) SELECT cell, n, round(CASE WHEN n >= 5 AND xx <> 0 THEN xy / xx END, 6) AS slope FROM s")
-def ag16_velocity(spark, d):
-    return slope_through_origin(adapter(spark, d, "pair_obs").where("coh >= 0.3"), ["cell"], "years", "phase", 5).withColumn("slope", r6(F.col("slope")))
+def ag16_velocity(spark, d, coherence=0.3, least_pairs=5):
+    return slope_through_origin(adapter(spark, d, "pair_obs").where(F.col("coh") >= coherence), ["cell"], "years", "phase", least_pairs).withColumn("slope", r6(F.col("slope")))
 
 
 @query(f"WITH {OBS}, v AS (SELECT r::double AS x, c::double AS y, avg(tir) + 0.3 * r + 0.1 * c AS z FROM obs GROUP BY r, c), m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM v), q AS (SELECT sum((x-mx)*(x-mx)) AS xx, sum((y-my)*(y-my)) AS yy, sum((x-mx)*(y-my)) AS xy, sum((x-mx)*(z-mz)) AS xz, sum((y-my)*(z-mz)) AS yz, sum((z-mz)*(z-mz)) AS zz, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz FROM v, m), f AS (SELECT *, (xz*yy - yz*xy) / (xx*yy - xy*xy) AS b, (yz*xx - xz*xy) / (xx*yy - xy*xy) AS c FROM q) SELECT round(mz - b*mx - c*my, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round((b*xz + c*yz) / zz, 6) AS r2 FROM f")

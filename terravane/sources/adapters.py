@@ -7,6 +7,12 @@ A raster is a table of cells with one column for each band; masked values are NU
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name: (base table, {column: expression})
@@ -85,9 +91,43 @@ ADAPTERS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+@dataclass(frozen=True)
+class View:
+    """Days (both included) and the box (w, s, e, n) that tables are seen through while a plan is built; None: all."""
+
+    start: datetime.date | None = None
+    end: datetime.date | None = None
+    box: tuple[float, float, float, float] | None = None
+
+    def of(self, df: DataFrame, day: str) -> DataFrame:
+        """df without rows outside the view; a table without days or places isn't cut by them."""
+        if day in df.columns and self.start is not None:
+            df = df.where(df[day] >= self.start)
+        if day in df.columns and self.end is not None:
+            df = df.where(df[day] <= self.end)
+        if self.box is not None and {"lon", "lat"} <= set(df.columns):
+            w, s, e, n = self.box
+            df = df.where(df.lon.between(w, e) & df.lat.between(s, n))
+        return df
+
+
+_view: ContextVar[View] = ContextVar("view", default=View())
+
+
+@contextmanager
+def viewing(view: View) -> Iterator[None]:
+    """Tables that plans built within take from here are seen through a view."""
+    before = _view.set(view)
+    try:
+        yield
+    finally:
+        _view.reset(before)
+
+
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = ADAPTERS[name]
-    return spark.read.parquet(f"{sf_dir}/{base}.parquet").selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+    table = spark.read.parquet(f"{sf_dir}/{base}.parquet").selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+    return _view.get().of(table, "d1" if name == "pair_obs" else "day")
 
 
 def adapter_sql(*names: str) -> str:
@@ -112,6 +152,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     days = events.groupBy(F.col("user_id").cast("long").alias("cell"), F.to_date("ts").alias("day"))
     n = days.agg(F.avg("value").alias("mean"), F.max("value").alias("most"), F.min("value").alias("least"), F.count("*").alias("n"))
+    n = _view.get().of(n, "day")
     return n.select(
         "cell",
         "day",

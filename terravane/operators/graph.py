@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,25 @@ def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
     return table, (seen.get["n"], seen.get["hashes"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node in links (u, v): root is the least node of its component.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a few links in one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], ["node", "root"])
+
+
+def components(links: DataFrame, rounds: int = 60, few: int = 50_000) -> DataFrame:
+    """(node, root) of every node in links (u, v): root is the least node of its component. Up to `few` links, whole numbers, are
+    joined in one task, which spares the rounds and gives the same.
 
     Large-star and small-star operations alternate until the links stay as they are, which takes about
     as many rounds as the logarithm of the longest path. No neighbourhood is gathered in one place: each step is a
@@ -44,6 +62,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     links = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links, now = _counted(links)
+    if now[0] <= few and dict(links.dtypes)["u"] in ("int", "bigint"):
+        return links.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined, "node long, root long")
     for _ in range(rounds):
         if not now[0]:
             break
@@ -87,27 +107,38 @@ def undirected(edges: DataFrame) -> DataFrame:
     return one.select(F.col("a").alias("src"), F.col("b").alias("dst"), "len").union(one.select(F.col("b").alias("src"), F.col("a").alias("dst"), "len"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 1000) -> DataFrame:
+def _sized(df: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """df as a written table, with the number of its rows, taken as it is written."""
+    seen = Observation()
+    return written(df.observe(seen, F.count("*").alias("n")), folder), seen.get["n"]
+
+
+def distances(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 1000, merge: int = 8) -> DataFrame:
     """(node, dist): distance of every node within `cutoff` of the nearest source, along edges (src, dst, len).
 
     Each round relaxes the edges of the nodes that came nearer in the last one and writes those alone that came nearer now, so far
-    nodes cost nothing and settled ones are read, but not written again.
+    nodes cost nothing; what earlier rounds have written is merged every few rounds, so a round opens a bounded number of folders.
     """
     spark, folder = edges.sparkSession, shared_folder(edges.sparkSession)
     edges = written(undirected(edges))
-    front = written(sources.select("node", F.lit(0.0).alias("dist")).distinct(), f"{folder}/0")
+    front, n = _sized(sources.select("node", F.lit(0.0).alias("dist")).distinct(), f"{folder}/0")
+    held = [f"{folder}/0"]
     for k in range(1, rounds):
-        if front.isEmpty():
+        known = spark.read.schema(front.schema).parquet(*held)
+        if not n:
             break
-        known = spark.read.schema(front.schema).parquet(*(f"{folder}/{j}" for j in range(k)))
+        if len(held) > merge:
+            known = written(known.groupBy("node").agg(F.min("dist").alias("dist")), f"{folder}/merged{k}")
+            held = [f"{folder}/merged{k}"]
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + F.col("len")).alias("dist")).where(F.col("dist") <= cutoff)
         step = step.groupBy("node").agg(F.min("dist").alias("dist"))
         old = known.join(step.select("node"), "node", "left_semi").groupBy("node").agg(F.min("dist").alias("old"))
         nearer = step.join(old, "node", "left").where(F.col("old").isNull() | (F.col("dist") < F.col("old"))).select("node", "dist")
-        front = written(nearer, f"{folder}/{k}")
+        front, n = _sized(nearer, f"{folder}/{k}")
+        held.append(f"{folder}/{k}")
     else:
         raise RuntimeError(f"distances did not settle in {rounds} rounds")
-    return known.groupBy("node").agg(F.min("dist").alias("dist")) if k > 1 else front
+    return known.groupBy("node").agg(F.min("dist").alias("dist"))
 
 
 def walk_edges(ways: DataFrame, way: str, order: str, node: str, x: str, y: str) -> DataFrame:

@@ -7,21 +7,25 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+#: Bins of about equally many distinct values: two to this power.
+STEPS = 10
 
 
 def levels(values: DataFrame, value: str, **sums: Column) -> DataFrame:
     """One row for each distinct value: its sums, and for each sum `_before_<name>`, that of all smaller values.
 
-    Values are dealt out over BINS bins of equal width between the least and the largest one; windows are over the bins, and over the
-    distinct values of one bin.
+    Values are dealt out over 2**STEPS bins between approximate quantiles of the distinct values, so that no bin is crowded however the values
+    lie; windows are over the bins, and over the distinct values of one bin.
     """
     v = values.where(F.col(value).isNotNull()).groupBy(value).agg(*(c.alias(k) for k, c in sums.items()))
-    ends = v.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))  # one row
-    place = F.coalesce(F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * (BINS - 1)), F.lit(0))
-    binned = v.crossJoin(F.broadcast(ends)).withColumn("_bin", place.cast("int")).drop("_low", "_high")
+    bins = 1 << STEPS
+    ends = v.agg(F.percentile_approx(value, [k / bins for k in range(1, bins)], 4 * bins).alias("_e"))  # one row
+    binned = v.crossJoin(F.broadcast(ends)).withColumn("_bin", F.lit(0))
+    for k in reversed(range(STEPS)):  # the bin is the number of edges that the value reaches, found by halving
+        binned = binned.withColumn("_bin", F.col("_bin") + F.when(F.get("_e", F.col("_bin") + ((1 << k) - 1)) <= F.col(value), 1 << k).otherwise(0))
+    binned = binned.drop("_e")
     totals = binned.groupBy(F.col("_bin").alias("_at")).agg(*(F.sum(k).alias(f"_all_{k}") for k in sums))
-    earlier = Window.orderBy("_at")  # over BINS rows
+    earlier = Window.orderBy("_at")  # over as many rows as there are bins
     totals = totals.select("_at", *((F.sum(f"_all_{k}").over(earlier) - F.col(f"_all_{k}")).alias(f"_bins_{k}") for k in sums))
     own = Window.partitionBy("_bin").orderBy(value)
     inner = binned.select("*", *((F.sum(k).over(own) - F.col(k)).alias(f"_own_{k}") for k in sums))

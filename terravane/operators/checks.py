@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ways to name an area, the first one given counts.
+# fixed values: ways to name an area, the first one given counts
 PRECEDENCE = ("site", "city", "location", "point", "country", "admin", "areas", "bbox")
 
 
@@ -41,7 +42,7 @@ def checked_box(text: str) -> tuple[float, float, float, float]:
     return w, s, e, n
 
 
-def resolved(names: DataFrame, wanted: str, first: str, second: str) -> DataFrame:
+def resolved(names: DataFrame, wanted: str | Column, first: str, second: str) -> DataFrame:
     """Places of a name at the first level, or at the second one where the first has none. names: columns first and second."""
     low = F.lower(F.trim(F.lit(wanted)))
     marked = names.withColumn("level", F.when(F.lower(F.trim(first)) == low, 1).when(F.lower(F.trim(second)) == low, 2)).where("level IS NOT NULL")
@@ -98,7 +99,9 @@ def complete_season(checkpoints: DataFrame, day: str, wanted: Sequence[datetime.
 def run_id(scenario: str, name: str, at: datetime.datetime) -> str:
     """timestamp_scenario_name_token; the token keeps runs of one second apart."""
     clean = "".join(c if c.isalnum() else "-" for c in name.lower()).strip("-")
-    return f"{at:%Y%m%d-%H%M%S}_{scenario}_{clean}_{uuid.uuid4().hex[:6]}"
+    stamp = "{:%Y%m%d}-{:%H%M%S}".format(at, at)
+    token = hashlib.sha256(f"{scenario}/{name}/{at.isoformat()}/{uuid.uuid4()}".encode()).hexdigest()[:8]
+    return "_".join((stamp, scenario, clean, token))
 
 
 def step_dates(end: datetime.date) -> dict[str, datetime.date]:

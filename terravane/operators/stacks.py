@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,3 +128,16 @@ def local_resultant(cells: DataFrame, angle: str, sizes: Sequence[int]) -> DataF
         part = m.where(F.col("_n") * 2 > n * n).agg(F.lit(n).alias("size"), F.count("*").alias("blocks"), F.avg("_len").alias("length"))
         out = part if out is None else out.union(part)
     return out
+
+
+def scenes_needed(sigma: Column, before: Column, bound: float, most: int) -> Column:
+    """The least number of scenes after an event, up to `most`, for which two standard errors of a step, sigma * sqrt(1/before + 1/n), come within a bound;
+    NULL if even `most` are too few."""
+    return F.array_min(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: 2 * sigma * F.sqrt(1 / before + 1 / n) <= bound))
+
+
+def swept(rows: DataFrame, lists: Mapping[str, Iterable[int]]) -> DataFrame:
+    """Every row with each combination of a few parameter values, by generators within the row: no join, and no more rows at once than a batch makes."""
+    for name, values in lists.items():
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows

@@ -65,10 +65,12 @@ def ag7_mask_overlay(spark, d):
     return out.groupBy("class").agg(F.count("*").alias("cells"), r6(F.sum("ha")).alias("ha"))
 
 
-@query(f"WITH {_FINE}, m AS (SELECT r // 4 AS r, c // 4 AS c, avg(((r * 7 + c * 3) % 11 < 1)::int) AS share FROM fine GROUP BY 1, 2) SELECT r::int AS r, c::int AS c, round(share, 6) AS share FROM m WHERE share > 0.02")
+@query(f"WITH {POINT}, {_FINE}, hit AS (SELECT DISTINCT floor((lat + 10) / 0.5::double)::int AS r, floor((lon - 100) / 0.5::double)::int AS c FROM point WHERE conf >= 95), m AS (SELECT fine.r // 4 AS r, fine.c // 4 AS c, avg((hit.r IS NOT NULL)::int) AS share FROM fine LEFT JOIN hit ON hit.r = fine.r AND hit.c = fine.c GROUP BY 1, 2) SELECT r::int AS r, c::int AS c, round(share, 6) AS share FROM m WHERE share > 0.02")
 def ag7_display_cells(spark, d):
-    """Cells of a display grid that are painted: those of which a fine mask covers over 2 percent."""
-    mask = FINE.cells(spark).withColumn("share", F.expr("cast((r * 7 + c * 3) % 11 < 1 as int)"))
+    """Cells of a display grid that are painted: those of which a fine mask, the cells with a sure detection, covers over 2 percent."""
+    p = adapter(spark, d, "point").where("conf >= 95")
+    hit = p.select(F.floor((F.col("lat") + 10) / 0.5).cast("int").alias("r"), F.floor((F.col("lon") - 100) / 0.5).cast("int").alias("c")).distinct().withColumn("share", F.lit(1))
+    mask = FINE.cells(spark).join(hit, ["r", "c"], "left").withColumn("share", F.coalesce("share", F.lit(0)))
     return coarsened(mask, "share", 4).where("share > 0.02").withColumn("share", r6(F.col("share")))
 
 

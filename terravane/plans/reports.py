@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fire import DC_DAYLENGTH, DC_TROPICS, DMC_DAYLENGTH, DMC_TROPICS, day_length, wet_bulb
 from ..functions.geodesy import FEEDS, earth_radius, feed, geodetic, next_pass, nice_step
-from ..functions.indices import METHODS
+from ..functions.indices import METHODS, index
 from ..operators.assess import haze_run, newest
 from ..operators.checks import resolved
 from ..operators.joins import neighbours
@@ -336,25 +336,32 @@ def su1_people_by_age(spark, d):
 
 
 _METHOD_ROWS = ", ".join(f"('{n}', '{w}', {a}::double, {b}::double, {v}::double)" for n, (w, a, b, v) in METHODS.items())
+_SIDE = "side AS (SELECT r, c, year(day) >= 1996 AS late, " + ", ".join(f"avg({b}) AS {b}" for b in ("green", "red", "nir", "swir1", "swir2")) + " FROM obs GROUP BY 1, 2, 3)"
+_INDEX = "idx AS (SELECT *, (swir1 - nir) / (swir1 + nir) - (nir - red) / (nir + red) AS bu, ((nir - red) * 1.5 / (nir + red + 0.5) + (green - swir1) / (green + swir1)) / 2 AS built, (swir1 - nir) / (swir1 + nir) AS ndbi FROM side)"
+_EACH = {"NDVI": "(nir - red) / (nir + red)", "NDBI": "ndbi", "UI": "(swir2 - nir) / (swir2 + nir)", "BU": "bu", "IBI": "least(greatest((ndbi - built) / (ndbi + built), -1), 1)", "NDWI": "(green - nir) / (green + nir)", "NBR": "(nir - swir2) / (nir + swir2)"}
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, r, c, max(CASE WHEN late THEN {x} END) - max(CASE WHEN NOT late THEN {x} END) AS delta FROM idx GROUP BY r, c" for k, x in _EACH.items()) + ")"
 
 
-@query(f"SELECT name, direction, CASE WHEN name = 'NBR' THEN -0.2::double ELSE affected END AS affected, severe, shown FROM (VALUES {_METHOD_ROWS}) t(name, direction, affected, severe, shown)")
+@query(f"WITH {OBS}, {_SIDE}, {_INDEX}, {_LONG}, t AS (SELECT name, direction, CASE WHEN name = 'NBR' THEN -0.02::double ELSE affected / 10 END AS affected, severe / 10 AS severe, shown FROM (VALUES {_METHOD_ROWS}) t(name, direction, affected, severe, shown)) SELECT t.name AS name, any_value(direction) AS direction, round(any_value(affected), 6) AS affected, round(any_value(severe), 6) AS severe, count(CASE WHEN CASE WHEN direction = 'loss' THEN delta < affected ELSE delta > affected END THEN 1 END) AS cells_affected, count(CASE WHEN CASE WHEN direction = 'loss' THEN delta < severe ELSE delta > severe END THEN 1 END) AS cells_severe FROM t JOIN long ON long.name = t.name GROUP BY t.name")
 def fn7_method_table(spark, d):
-    """Defaults of the change methods, with one threshold overridden by an option."""
-    rows = [(n, *v) for n, v in METHODS.items()]
-    t = spark.createDataFrame(rows, "name string, direction string, affected double, severe double, shown double")
-    return t.withColumn("affected", F.when(F.col("name") == "NBR", F.lit(-0.2)).otherwise(F.col("affected")))
+    """Cells that each change method calls affected and severe, by its own direction and thresholds: a tenth of the defaults, which suits means of years, and one of them overridden."""
+    rows = [(n, w, -0.02 if n == "NBR" else a / 10, s / 10) for n, (w, a, s, _) in METHODS.items()]
+    t = spark.createDataFrame(rows, "name string, direction string, affected double, severe double")
+    side = adapter(spark, d, "obs").groupBy("r", "c", (F.year("day") >= 1996).alias("late")).agg(*(F.avg(b).alias(b) for b in ("green", "red", "nir", "swir1", "swir2")))
+    each = side.select("r", "c", "late", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), index(n).alias("v")) for n in METHODS))).alias("m"))
+    delta = each.groupBy(F.col("m.name").alias("name"), "r", "c").agg((F.max(F.when(F.col("late"), F.col("m.v"))) - F.max(F.when(~F.col("late"), F.col("m.v")))).alias("delta"))
+    past = lambda bound: F.count(F.when(F.when(F.col("direction") == "loss", F.col("delta") < F.col(bound)).otherwise(F.col("delta") > F.col(bound)), 1))
+    return delta.join(F.broadcast(t), "name").groupBy("name", "direction", r6(F.col("affected")).alias("affected"), r6(F.col("severe")).alias("severe")).agg(past("affected").alias("cells_affected"), past("severe").alias("cells_severe"))
 
 
 _DMC, _DC = ("[" + ", ".join(f"{float(x)}::double" for x in t) + "]" for t in (DMC_DAYLENGTH, DC_DAYLENGTH))
 
 
-@query(f"WITH m AS (SELECT unnest(range(1, 13)) AS m), l AS (SELECT unnest([-20, -14, 0, 45])::double AS lat) SELECT lat, m::int AS m, CASE WHEN abs(lat) < 15 THEN {float(DMC_TROPICS)}::double ELSE ({_DMC})[m] END AS dmc, CASE WHEN abs(lat) < 15 THEN {float(DC_TROPICS)}::double ELSE ({_DC})[m] END AS dc FROM m, l")
+@query(f"WITH {POINT}, l AS (SELECT event_id, lat * 4 AS lat, month(day + (event_id % 360)::int) AS m FROM point) SELECT event_id, CASE WHEN abs(lat) < 15 THEN {float(DMC_TROPICS)}::double ELSE ({_DMC})[m] END AS dmc, CASE WHEN abs(lat) < 15 THEN {float(DC_TROPICS)}::double ELSE ({_DC})[m] END AS dc FROM l")
 def fn14_day_lengths(spark, d):
-    """Day-length factors by month and latitude: constant near the equator, by table elsewhere."""
-    g = spark.range(12).select((F.col("id") + 1).cast("int").alias("m"), F.explode(F.array(*map(F.lit, (-20.0, -14.0, 0.0, 45.0)))).alias("lat"))
-    day = F.make_date(F.lit(2024), F.col("m"), F.lit(15))
-    return g.select("lat", "m", day_length(F.col("lat"), day, "dmc").cast("double").alias("dmc"), day_length(F.col("lat"), day, "dc").cast("double").alias("dc"))
+    """Day-length factors of places and days: constant near the equator, by table elsewhere."""
+    p = adapter(spark, d, "point").select("event_id", (F.col("lat") * 4).alias("lat"), F.date_add("day", (F.col("event_id") % 360).cast("int")).alias("on"))
+    return p.select("event_id", *(day_length(F.col("lat"), F.col("on"), k).cast("double").alias(k) for k in ("dmc", "dc")))
 
 
 @query("WITH s AS (SELECT p_partkey AS k, p_retailprice AS v FROM part), q AS (SELECT k, v, v / 5 AS raw, power(10, floor(log10(v / 5))) AS p FROM s) SELECT k, CASE WHEN raw / p <= 1 THEN p WHEN raw / p <= 2 THEN 2 * p WHEN raw / p <= 5 THEN 5 * p ELSE 10 * p END AS step, format('{:,}', (floor(v) * 1000)::bigint) AS shown FROM q")
@@ -378,9 +385,10 @@ def fn29_geodetic(spark, d):
     return x.select("event_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
-@query(f"WITH l AS (SELECT unnest(range(-90, 91, 15))::double AS lat) SELECT lat, round(sqrt((power({_A!r}::double * {_A!r}::double * cos(radians(lat)), 2) + power({_B!r}::double * {_B!r}::double * sin(radians(lat)), 2)) / (power({_A!r}::double * cos(radians(lat)), 2) + power({_B!r}::double * sin(radians(lat)), 2))), 3) AS metres FROM l")
+@query(f"WITH {POINT}, l AS (SELECT event_id, lat * 9 AS lat FROM point) SELECT event_id, round(sqrt((power({_A!r}::double * {_A!r}::double * cos(radians(lat)), 2) + power({_B!r}::double * {_B!r}::double * sin(radians(lat)), 2)) / (power({_A!r}::double * cos(radians(lat)), 2) + power({_B!r}::double * sin(radians(lat)), 2))), 3) AS metres FROM l")
 def fn29_earth_radius(spark, d):
-    return spark.range(13).select((F.col("id") * 15 - 90).cast("double").alias("lat")).select("lat", F.round(earth_radius(F.col("lat")), 3).alias("metres"))
+    """Distance from the earth's centre at each place, its latitude stretched to reach the poles."""
+    return adapter(spark, d, "point").select("event_id", F.round(earth_radius(F.col("lat") * 9), 3).alias("metres"))
 
 
 _FEEDS = "CASE " + " ".join(f"WHEN lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} THEN '{k}'" for k, w, s, e, n in FEEDS) + " END"
@@ -408,8 +416,8 @@ def pr10_resolved_area(spark, d):
     """A name is looked up at the first level, then at the second."""
     n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
     z = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("first"), F.col("n_name").alias("second"))
-    wanted = n.agg(F.min("n_name")).first()[0]
-    return resolved(z, f" {wanted.lower()} ", "first", "second").select("first", "second", "level")
+    wanted = n.agg(F.concat(F.lit(" "), F.lower(F.min("n_name")), F.lit(" ")).alias("wanted"))  # one row
+    return resolved(z.crossJoin(F.broadcast(wanted)), F.col("wanted"), "first", "second").select("first", "second", "level")
 
 
 @query("SELECT CASE p_size % 10 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' END AS class, count(*) AS n FROM part WHERE p_size % 10 <= 2 GROUP BY 1")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fire import BREAKS, danger_class
+from ..functions.projection import FORWARD, utm
 from ..operators.folds import fire_weather
 from ..operators.lines import contour_lines
 from ..operators.reach import line_cells, near_cells
 from ..session import rocksdb
-from ..sources.adapters import WEATHER, adapter_sql, weather
+from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
 from ..streaming.feeds import available, closed, stream
 from ..streaming.lags import source_windows, union_of_sources
 from ..streaming.watch import watched_tracks
@@ -17,7 +18,7 @@ from .dynamics import COUNTS, counts
 from .motion import _QUAD, _SIDES
 from .registry import SQL, query, r6
 
-OBS = adapter_sql("obs")
+OBS, POINT = adapter_sql("obs"), adapter_sql("point")
 
 _ID = {"t": "(r::bigint * 2147483648 + c) * 2", "u": "((r + 1)::bigint * 2147483648 + c) * 2", "l": "(r::bigint * 2147483648 + c) * 2 + 1", "s": "(r::bigint * 2147483648 + c + 1) * 2 + 1"}
 _WAYS = {
@@ -102,3 +103,23 @@ def st5_lagged_windows(spark, d):
     w = closed(spark, f"{d}/events.parquet", "ts", build)
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "source", "n")
 
+
+
+_UTM = utm(48)
+_ECC = (_UTM.flattening * (2 - _UTM.flattening)) ** 0.5
+_TERMS = list(enumerate(_UTM.series(FORWARD), 1))
+_SERIES = f"""t AS (SELECT event_id, sinh(atanh(sin(radians(lat * 4))) - {_ECC!r}::double * atanh({_ECC!r}::double * sin(radians(lat * 4)))) AS t, radians(lon - {_UTM.lon!r}::double) AS away FROM point),
+g AS (SELECT event_id, atan2(t, cos(away)) AS u, asinh(sin(away) / sqrt(t * t + power(cos(away), 2))) AS v FROM t)"""
+
+
+@query(
+    f"WITH {POINT}, {_SERIES} SELECT event_id, round({_UTM.east!r}::double + {_UTM.radius!r}::double * (v"
+    + "".join(f" + {a!r}::double * cos({2 * j} * u) * sinh({2 * j} * v)" for j, a in _TERMS)
+    + f"), 2) AS x, round({_UTM.radius!r}::double * (u"
+    + "".join(f" + {a!r}::double * sin({2 * j} * u) * cosh({2 * j} * v)" for j, a in _TERMS)
+    + "), 2) AS y FROM g"
+)
+def rs3_projected(spark, d):
+    """Places in UTM, their latitudes stretched to 40 degrees either way."""
+    x, y = _UTM.project(F.col("lon"), F.col("lat") * 4)
+    return adapter(spark, d, "point").select("event_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))

@@ -9,6 +9,7 @@ from ..functions.masks import clear_thermal, no_nan
 from ..operators.assess import dipole, rain_by_year
 from ..operators.composite import daily
 from ..operators.quantiles import quantiles
+from ..operators.stacks import scenes_needed, swept
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
 from .registry import query, r6
 from .spectral import CLEAR, clear
@@ -16,7 +17,7 @@ from .zonal import JOINED, zoned_points
 
 #: Kinds of events, the columns of a wide table.
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-OBS, SCENE, POINT, ZONE = (adapter_sql(x) for x in ("obs", "scene", "point", "zone"))
+OBS, SCENE, POINT, ZONE, PAIRS = (adapter_sql(x) for x in ("obs", "scene", "point", "zone", "pair_obs"))
 
 
 @query(f"WITH {SCENE} SELECT collection, orbit, count(*) AS n, min(day) AS first, max(day) AS last FROM scene WHERE cloud_pct < 30 AND day >= date '1994-01-01' AND day < date '1995-01-01' GROUP BY collection, orbit")
@@ -90,13 +91,11 @@ def fn31_receptors(spark, d):
     return e.select("zone_id", "i", F.col("p")[0].alias("name"), F.col("p")[1].cast("double").alias("lon"), F.col("p")[2].cast("double").alias("lat"))
 
 
-@query("SELECT n::int AS n, round(3.0::double * sqrt(1 / 5.0::double + 1 / n::double), 6) AS sigma FROM (SELECT unnest(range(1, 31)) AS n) WHERE 2 * 1.0::double * sqrt(1 / 5.0::double + 1 / n::double) <= 1 ORDER BY n LIMIT 1")
+@query(f"WITH {PAIRS}, s AS (SELECT cell, stddev_samp(phase) AS sigma, count(CASE WHEN d1 < date '1996-01-01' THEN 1 END) AS n_pre FROM pair_obs GROUP BY cell) SELECT cell, n_pre, (SELECT min(n) FROM range(1, 201) t(n) WHERE 2 * sigma * sqrt(1 / n_pre::double + 1 / n::double) <= 1)::int AS needed FROM s WHERE n_pre > 0")
 def fn34_scenes_needed(spark, d):
-    """The least number of scenes after an event for which two standard errors of a step come within 1."""
-    n = F.col("n")
-    error = F.sqrt(F.lit(1 / 5.0) + 1 / n)
-    steps = spark.range(1, 31).select(F.col("id").cast("int").alias("n"))
-    return steps.where(2 * error <= 1).orderBy("n").limit(1).select("n", r6(3.0 * error).alias("sigma"))
+    """By cell: the least number of scenes after an event for which two standard errors of a step come within 1, from the scatter of its phases."""
+    s = adapter(spark, d, "pair_obs").groupBy("cell").agg(F.stddev_samp("phase").alias("sigma"), F.count(F.when(F.col("d1") < F.lit("1996-01-01").cast("date"), 1)).alias("n_pre"))
+    return s.where("n_pre > 0").select("cell", "n_pre", scenes_needed(F.col("sigma"), F.col("n_pre"), 1.0, 200).alias("needed"))
 
 
 @query("SELECT user_id AS k, arg_max(value, (ts, event_id)) AS latest, max(ts)::date AS day FROM events GROUP BY user_id")
@@ -171,11 +170,13 @@ def jr2_class_intervals(spark, d):
     return cust.join(F.broadcast(c), (F.col("c_acctbal") >= F.col("lo")) & (F.col("c_acctbal") < F.col("hi"))).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT depth::int AS depth, lat::int AS lat, round(sqrt(depth * depth + lat * lat), 6) AS reach FROM (SELECT unnest(range(0, 50, 5)) AS depth), (SELECT unnest(range(-8, 0)) AS lat)")
+@query(f"WITH {OBS}, v AS (SELECT r, avg(red) AS v FROM obs GROUP BY r), m AS (SELECT depth, lat, avg(power(v - depth / sqrt(depth * depth + power(r - lat, 2)), 2)) AS misfit FROM v, (SELECT unnest(range(1, 11))::double AS depth), (SELECT unnest(range(0, 20))::double AS lat) GROUP BY depth, lat) SELECT depth::int AS depth, lat::int AS lat, round(misfit, 6) AS misfit FROM m")
 def jx1_sweep(spark, d):
-    """A sweep over two short lists of parameters, as two generators in one row."""
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(45), F.lit(5))).alias("depth")).select("depth", F.explode(F.sequence(F.lit(-8), F.lit(-1))).alias("lat"))
-    return grid.select("depth", "lat", r6(F.hypot("depth", "lat")).alias("reach"))
+    """Misfit of a buried source's profile to the rows' means, for each depth and place of two short lists."""
+    v = adapter(spark, d, "obs").groupBy("r").agg(F.avg("red").alias("v"))
+    m = swept(v, {"depth": range(1, 11), "lat": range(20)})
+    model = F.col("depth") / F.sqrt(F.col("depth") * F.col("depth") + F.pow(F.col("r") - F.col("lat"), F.lit(2.0)))
+    return m.groupBy("depth", "lat").agg(r6(F.avg(F.pow(F.col("v") - model, F.lit(2.0)))).alias("misfit"))
 
 
 @query("WITH o AS (SELECT o_orderkey AS k, 'v2:' || o_orderkey AS name, 'old-' || o_orderkey AS legacy FROM orders), j AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'v2:' || l_orderkey ELSE 'old-' || l_orderkey END AS name FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 > 0 GROUP BY 1) SELECT o.k AS k, CASE WHEN a.name IS NOT NULL THEN 'known' WHEN b.name IS NOT NULL THEN 'legacy' ELSE 'missing' END AS state FROM o LEFT JOIN j a ON a.name = o.name LEFT JOIN j b ON b.name = o.legacy")

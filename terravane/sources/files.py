@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ def endpoints(spark: SparkSession, path: str) -> DataFrame:
     lines = F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "")
     fields = lambda x: F.split(F.trim(x), r"\s+")
     files = spark.read.format("binaryFile").load(path)
-    listed = len(files.inputFiles())
-    read = files.where("length > 0").count()  # Spark passes over files without bytes; a run has few files
-    if read < listed:
-        raise ValueError(f"{listed - read} empty endpoint files in {path}")
+    found = [located(unquote(f)) for f in files.inputFiles()]  # a run has few files
+    empty = [at for system, at in found if not system.get_file_info(at).size]
+    if empty:
+        raise ValueError(f"{len(empty)} empty endpoint files in {path}: {', '.join(empty)}")  # Spark passes over files without bytes
     text = files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
     text = text.select("file", lines.alias("l")).withColumn("l", F.when(F.size("l") == 0, F.raise_error(F.concat(F.lit("empty endpoint file "), "file"))).otherwise(F.col("l")))
     text = text.withColumn("g", F.get(fields(F.get("l", F.lit(0))), F.lit(0)).cast("int"))

@@ -74,3 +74,9 @@ def segments_cross(a: tuple[Column, Column, Column, Column], b: tuple[Column, Co
     one = side(ax1, ay1, ax2, ay2, bx1, by1) != side(ax1, ay1, ax2, ay2, bx2, by2)
     other = side(bx1, by1, bx2, by2, ax1, ay1) != side(bx1, by1, bx2, by2, ax2, ay2)
     return one & other
+
+
+def tile_zoom(span: Column, pixels: int = 3000, low: int = 8, high: int = 14) -> Column:
+    """The zoom of map tiles at which a span of degrees has about some pixels, within the zooms that serve."""
+    exact = F.log2(F.lit(pixels * 360.0 / 256) / F.greatest(span, F.lit(1e-6)))
+    return F.when(span.isNotNull(), F.least(F.greatest(F.bround(exact), F.lit(low)), F.lit(high)).cast("int"))

@@ -126,6 +126,14 @@ def close_up(cells: DataFrame, shown: str, keys: Sequence[str] = CELL, green: fl
     return cells.crossJoin(F.broadcast(e)).select(*keys, lost.alias("lost"), clamp(F.try_divide(F.col(shown) - F.col("_lo"), F.col("_hi") - F.col("_lo")), 0.0, 1.0).alias("shown"))
 
 
+def regraded(cells: DataFrame, light: str, low: float = 0.55, high: float = 0.999, gamma: float = 2.0, gain: float = 0.9) -> DataFrame:
+    """cells with `lift`: how far a shaded cell is raised from the dark colour, from 0 at one quantile of the light to `gain` at another, by a power. Masked light
+    stays masked."""
+    e = quantiles(cells, light, {"_lo": low, "_hi": high}).drop("n")  # one row
+    t = clamp((F.col(light) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-6), 0.0, 1.0)
+    return cells.crossJoin(F.broadcast(e)).withColumn("lift", F.pow(t, F.lit(gamma)) * gain).drop("_lo", "_hi")
+
+
 def greenness_change(cells: DataFrame, affected: float = -0.05, severe: float = -0.15) -> DataFrame:
     """One row: means of `greenness` before and after, their change, and percent of cells that fell by the two bounds."""
     x = F.col("b") - F.col("a")

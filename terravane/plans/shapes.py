@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fire import BREAKS, danger_class
+from ..functions.geo import tile_zoom
 from ..functions.projection import FORWARD, utm
+from ..operators.assess import regraded
 from ..operators.folds import fire_weather
 from ..operators.lines import contour_lines
 from ..operators.reach import line_cells, near_cells
 from ..session import rocksdb
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
+from ..sources.products import judged, pair_stats, rejects
 from ..streaming.feeds import available, closed, stream
 from ..streaming.lags import source_windows, union_of_sources
 from ..streaming.watch import watched_tracks
 from .dynamics import COUNTS, counts
 from .motion import _QUAD, _SIDES
 from .registry import SQL, query, r6
+from .reports import su26_hillshade
 
 OBS, POINT = adapter_sql("obs"), adapter_sql("point")
 
@@ -123,3 +127,32 @@ def rs3_projected(spark, d):
     """Places in UTM, their latitudes stretched to 40 degrees either way."""
     x, y = _UTM.project(F.col("lon"), F.col("lat") * 4)
     return adapter(spark, d, "point").select("event_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+@query(f"WITH s AS ({SQL['su26_hillshade']}), e AS (SELECT quantile_cont(shade, 0.55) AS lo, quantile_cont(shade, 0.999) AS hi FROM s) SELECT r, c, round(power(least(greatest((shade - lo) / (hi - lo + 1e-6), 0), 1), 2.0) * 0.9, 4) AS lift FROM s, e")
+def su26_regraded(spark, d):
+    """The hillshade's light stretched between two of its quantiles."""
+    return regraded(su26_hillshade(spark, d), "shade").select("r", "c", F.round("lift", 4).alias("lift"))
+
+
+@query(f"WITH {POINT}, s AS (SELECT sat, (max(lon) - min(lon)) / (1 + length(sat)) AS span FROM point GROUP BY sat) SELECT sat, least(greatest(round_even(log2((3000 * 360.0 / 256)::double / greatest(span, 1e-6)), 0), 8), 14)::int AS zoom FROM s")
+def su27_tile_zoom(spark, d):
+    """The zoom at which the span of each satellite's detections, narrowed to tell them apart, fills a map of 3,000 pixels."""
+    span = (F.max("lon") - F.min("lon")) / (1 + F.length("sat"))
+    return adapter(spark, d, "point").groupBy("sat").agg(span.alias("span")).select("sat", tile_zoom(F.col("span")).alias("zoom"))
+
+
+_PAIR = "l_orderkey || '_' || l_linenumber"
+_STATS = f"st AS (SELECT {_PAIR} AS pair, l_quantity AS coverage, l_discount AS coherence FROM lineitem WHERE l_linenumber <> 7 AND l_linenumber % 3 > 0)"
+
+
+@query(f"WITH {_STATS}, one AS (SELECT DISTINCT {_PAIR} AS pair FROM lineitem WHERE l_quantity < 5), two AS (SELECT DISTINCT {_PAIR} AS pair FROM lineitem WHERE l_discount < 0.02) SELECT CASE WHEN pair IN (SELECT pair FROM one) THEN 'coverage' WHEN pair IN (SELECT pair FROM two) THEN 'loops' END AS rejected_by, count(*) AS pairs, round(sum(coverage), 4) AS coverage FROM st GROUP BY 1")
+def sc27_judged_pairs(spark, d):
+    """Pairs by the list that rejects them, from lines of text: comments and short lines among the statistics, and two lists that overlap."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    name = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    short = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit(" 12 "), F.col("l_quantity").cast("string"), F.lit("  "), F.col("l_discount").cast("string")))
+    stats = pair_stats(li.select(F.concat(F.when(F.col("l_linenumber") == 7, "# ").otherwise(""), name, F.lit("  1.5"), short).alias("value")))
+    listed = lambda rule: rejects(li.where(rule).select(F.concat(name, F.lit("  # rejected")).alias("value")))
+    out = judged(stats, coverage=listed("l_quantity < 5"), loops=listed("l_discount < 0.02"))
+    return out.groupBy("rejected_by").agg(F.count("*").alias("pairs"), F.round(F.sum("coverage"), 4).alias("coverage"))

@@ -94,7 +94,7 @@ def located(path: str) -> tuple[FileSystem, str]:
 
 
 class FlatRaster(DataSource):
-    """Flat binary rasters of float32: options width, height, order (big or little), bands (names in file order,
+    """Flat binary rasters: options width, height, type (f4 unless given; f8, i2 or u2), order (big or little), bands (names in file order,
     band after band) and rows (of one partition). Columns r, c and one for each band; nodata gives NULL."""
 
     @classmethod
@@ -112,7 +112,7 @@ class _FlatRasterReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.width, self.height = options["path"], int(options["width"]), int(options["height"])
         self.bands = options["bands"].split(",")
-        self.type = np.dtype(">f4" if options.get("order", "little") == "big" else "<f4")
+        self.type = np.dtype((">" if options.get("order", "little") == "big" else "<") + options.get("type", "f4"))
         self.rows = int(options.get("rows", max(1, (1 << 20) // self.width)))
         self.nodata = float(options["nodata"]) if "nodata" in options else None
 
@@ -125,7 +125,8 @@ class _FlatRasterReader(DataSourceReader):
         files, path = located(self.path)
         with files.open_input_file(path) as f:
             for k in range(len(self.bands)):
-                v = np.frombuffer(f.read_at(n * 4, (k * self.height + a) * self.width * 4), self.type).astype(float)
+                size = self.type.itemsize
+                v = np.frombuffer(f.read_at(n * size, (k * self.height + a) * self.width * size), self.type).astype(float)
                 columns.append(pa.array(v, mask=~np.isfinite(v) | (v == self.nodata if self.nodata is not None else False)))
         r, c = np.divmod(np.arange(n), self.width)
         yield pa.RecordBatch.from_arrays([pa.array((r + a).astype(np.int32)), pa.array(c.astype(np.int32)), *columns], ["r", "c", *self.bands])

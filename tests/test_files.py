@@ -15,6 +15,7 @@ from pyspark.sql.datasource import GreaterThanOrEqual, LessThanOrEqual
 
 from terravane.operators.zonal import within
 from terravane.sources.leader import images, leaders, scene_footprints, scenes
+from terravane.sources.products import ENVI_TYPES, headed_raster, judged, pair_stats, rejects, subfaults
 from terravane.sources.rasterfiles import Grid, Tiff, coarse_factor, read_raster, tiff_bytes, write_raster
 from terravane.sources.tables import register_lines, register_tables
 from terravane.sources.zonefiles import ZoneReader, rings, zones_in
@@ -239,3 +240,47 @@ def test_endpoint_files_in_sql(spark, tmp_path):
     register_lines(spark, str(tmp_path), "endpoint_lines")
     with pytest.raises(Exception, match="fewer than 12 fields"):
         spark.sql("SELECT * FROM endpoint_rows(TABLE(endpoint_lines) PARTITION BY file ORDER BY k)").collect()
+
+
+def test_slip_models(spark, tmp_path):
+    import json
+
+    def feature(strike, dip, slip, flip=False):
+        """A patch of 10 by 8 km at 110 E, 0 N, its corners in either order along the strike."""
+        along = (10 * math.sin(math.radians(strike)), 10 * math.cos(math.radians(strike)))
+        down = tuple(8 * math.cos(math.radians(dip)) * f(math.radians(strike + 90)) for f in (math.sin, math.cos))
+        drop = 8000 * math.sin(math.radians(dip))
+        place = lambda a, b, z: [110 + (a[0] * b[0] + down[0] * b[1]) / 111.32, (a[1] * b[0] + down[1] * b[1]) / 110.57, z]
+        corners = [place(along, (0, 0), 5000.0), place(along, (1, 0), 5000.0), place(along, (1, 1), 5000.0 + drop), place(along, (0, 1), 5000.0 + drop)]
+        if flip:
+            corners = [corners[1], corners[0], corners[3], corners[2]]
+        return {"type": "Feature", "properties": {"slip": slip, "rake": 90.0}, "geometry": {"type": "Polygon", "coordinates": [corners + corners[:1]]}}
+
+    model = {"features": [feature(30.0, 40.0, 1.5), feature(30.0, 40.0, 1.5, flip=True), feature(200.0, 10.0, 0.0), feature(250.0, 70.0, 0.2)]}
+    (tmp_path / "model.geojson").write_text(json.dumps(model))
+    got = {r.feature: r for r in subfaults(spark, str(tmp_path / "model.geojson")).collect()}
+    assert set(got) == {0, 1, 3}
+    for k, strike, dip in ((0, 30.0, 40.0), (1, 30.0, 40.0), (3, 250.0, 70.0)):
+        assert math.isclose(got[k].strike, strike, abs_tol=0.05) and math.isclose(got[k].dip, dip, abs_tol=0.05)
+        assert math.isclose(got[k].length, 10, abs_tol=0.01) and math.isclose(got[k].width, 8, abs_tol=0.01) and got[k].rake == 90.0
+    assert math.isclose(got[0].depth, 5 + 4 * math.sin(math.radians(40)), abs_tol=1e-6)
+
+
+def test_pairs_and_their_rejects(spark):
+    text = lambda *lines: spark.createDataFrame([(x,) for x in lines], "value string")
+    stats = pair_stats(text("# date bperp dt cov coh", "20200101_20200113  12.5 12 0.9 0.5", "20200113_20200125 -3 12.0 0.2 0.1 x", "short_line 1 2 3", "a_b one 2 3 4", "", "20200101_20200125 1 24 0.8 0.4"))
+    one, two = rejects(text("# bad", "20200113_20200125 0.2", "")), rejects(text("20200101_20200125", "20200113_20200125"))
+    got = {r.pair: (r.days, r.coherence, r.rejected_by) for r in judged(stats, coverage=one, loops=two).collect()}
+    assert got == {"20200101_20200113": (12, 0.5, None), "20200113_20200125": (12, 0.1, "coverage"), "20200101_20200125": (24, 0.4, "loops")}
+
+
+@pytest.mark.parametrize("kind,order", [("4", ">"), ("5", "<"), ("12", ">"), ("2", "<")])
+def test_rasters_with_a_header(spark, tmp_path, kind, order):
+    values = np.arange(12.0).reshape(3, 4) + (0.5 if kind in "45" else 0)
+    (tmp_path / "coh.img").write_bytes(values.astype(order + ENVI_TYPES[kind]).tobytes())
+    (tmp_path / "coh.hdr").write_text(f"ENVI\nsamples = 4\nlines   = 3\nbands = 1\ndata type = {kind}\nbyte order = {int(order == '>')}\n")
+    got = {(r.r, r.c): r.value for r in headed_raster(spark, str(tmp_path / "coh.hdr")).collect()}
+    assert got == dict(np.ndenumerate(values))
+    (tmp_path / "coh.img").write_bytes(b"123")
+    with pytest.raises(ValueError, match="has 3 bytes"):
+        headed_raster(spark, str(tmp_path / "coh.hdr"))

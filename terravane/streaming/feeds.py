@@ -77,13 +77,14 @@ def closed(spark: SparkSession, path: str, ts: str, build: Callable[[DataFrame],
 
 
 def frames(feed: DataFrame, ts: str = "ts", width: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts and means of tumbling windows."""
+    """Counts and means of tumbling windows. Rows later than `late` are dropped; see lags.py for a feed that keeps them."""
     w = feed.withWatermark(ts, late).groupBy(F.window(ts, width))
     return w.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "n", "mean")
 
 
 def glow(feed: DataFrame, ts: str = "ts", reach: str = "12 hours", every: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Detections of the last hours at each frame, the latest weighing most: weights fall to 0 over the window."""
+    """Detections of the last hours at each frame, the latest weighing most: weights fall to 0 over the window. Rows later than
+    `late` are dropped."""
     w = feed.withWatermark(ts, late).withColumn("_w", F.window(ts, reach, every))
     span = F.unix_timestamp("_w.end") - F.unix_timestamp("_w.start")
     weight = 1 - (F.unix_timestamp("_w.end") - F.unix_timestamp(ts)) / span
@@ -91,7 +92,7 @@ def glow(feed: DataFrame, ts: str = "ts", reach: str = "12 hours", every: str =
 
 
 def counters(feed: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Counts by day and kind; a day is closed `late` after its end."""
+    """Counts by day and kind; a day is closed `late` after its end, and rows that come later are dropped."""
     return feed.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 

@@ -10,6 +10,7 @@ from ..operators.assess import building_grid, year_to_date
 from ..operators.graph import border_regions
 from ..operators.joins import ROOK, nearest
 from ..operators.overlay import Grid, aligned, block_factor, blended, centres, coarsened, crop_box, lattice_offset, mosaic, peat, rasterized, sampled, tiles
+from ..operators.summaries import burn_rates
 from ..sources.adapters import adapter, adapter_sql
 from .registry import query, r6
 from .zonal import zoned_points, zones, JOINED
@@ -122,10 +123,9 @@ def ag10_season(spark, d):
 @query(f"WITH {OBS}, {_BURNED}, loc AS (SELECT r, c, true AS peat FROM (SELECT DISTINCT r, c FROM obs) WHERE r < 15 AND (r + c) % 3 = 0) SELECT y, count(CASE WHEN hit = 1 THEN 1 END) AS burned, count(CASE WHEN hit = 1 AND coalesce(peat, false) THEN 1 END) AS on_peat, round(100 * avg(CASE WHEN coalesce(peat, false) THEN hit END), 6) AS peat_rate, round(100 * avg(CASE WHEN NOT coalesce(peat, false) THEN hit END), 6) AS other_rate FROM burn LEFT JOIN loc ON burn.r = loc.r AND burn.c = loc.c GROUP BY y")
 def su42_local_peat(spark, d):
     """Burn rates with a local peat raster that covers only part of the area: cells beyond it aren't peat."""
-    local = adapter(spark, d, "obs").select("r", "c").distinct().where("r < 15 AND (r + c) % 3 = 0").withColumn("peat", F.lit(True))
-    b = burned(spark, d).join(local, ["r", "c"], "left").withColumn("peat", F.coalesce("peat", F.lit(False)))
-    rate = lambda on: r6(100 * F.avg(F.when(on, F.col("hit"))))
-    return b.groupBy("y").agg(F.count(F.when(F.col("hit") == 1, 1)).alias("burned"), F.count(F.when((F.col("hit") == 1) & F.col("peat"), 1)).alias("on_peat"), rate(F.col("peat")).alias("peat_rate"), rate(~F.col("peat")).alias("other_rate"))
+    local = adapter(spark, d, "obs").select("r", "c").where("r < 15 AND (r + c) % 3 = 0")
+    b = burn_rates(burned(spark, d), local, "y", "hit")
+    return b.withColumns({k: r6(F.col(k)) for k in ("peat_rate", "other_rate")})
 
 
 @query("WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%m-%d') >= '01-01' AND strftime(o_orderdate, '%m-%d') < '07-15' GROUP BY 1), b AS (SELECT avg(n) AS mean, avg(CASE WHEN y >= 1995 THEN n END) AS recent FROM y WHERE y < 1998) SELECT y, n, round(n / mean, 6) AS against_mean, round(n / recent, 6) AS against_recent, rank() OVER (ORDER BY n DESC) AS rank FROM y, b")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.paths import at_times, bilinear, coherence, contour, crossed, path_lengths, phase_gradient
 from ..operators.stats import plane
+from ..operators.summaries import best_window
 from ..sources.adapters import adapter, adapter_sql
 from .dynamics import COUNTS, counts
 from .registry import query, r6
@@ -139,6 +139,4 @@ def rs10_hottest_cells(spark, d):
 @query("WITH d AS (SELECT DISTINCT ts::date AS day FROM events), r AS (SELECT day, row_number() OVER (ORDER BY day) AS k FROM d), p AS (SELECT a.day AS first, count(*) AS covered, max(b.day) AS last FROM r a JOIN r b ON b.k BETWEEN a.k AND a.k + 19 GROUP BY a.day) SELECT first, last, covered FROM p ORDER BY covered DESC, first LIMIT 1")
 def wn6_best_window(spark, d):
     """Over one row a day."""
-    days = spark.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").alias("day")).distinct()
-    w = Window.orderBy("day").rowsBetween(0, 19)
-    return days.select(F.col("day").alias("first"), F.max("day").over(w).alias("last"), F.count("*").over(w).alias("covered")).orderBy(F.desc("covered"), "first").limit(1)
+    return best_window(spark.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").alias("day")), "day")

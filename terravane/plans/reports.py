@@ -10,11 +10,10 @@ from ..functions.geodesy import FEEDS, earth_radius, feed, geodetic, next_pass,
 from ..functions.indices import METHODS, index
 from ..operators.assess import haze_run, newest
 from ..operators.checks import resolved
-from ..operators.joins import neighbours
 from ..operators.quantiles import quantiles
 from ..operators.stats import trend
-from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
-from .grids import burned
+from ..operators.summaries import annual_heat, auto_cell_km, bands_by_count, best_and_worst, by_fractions, captions, cumulative_months, daily_stack, decayed_frames, display_frame, equal_bins, hour_completeness, newest_files, priced, record_years, strongest, worst_days
+from ..sources.adapters import adapter, adapter_sql
 from .registry import query, r6
 from .zonal import JOINED, zoned_points
 
@@ -43,29 +42,25 @@ def su5_newest(spark, d):
 @query("SELECT unnest(range(greatest(1993, year(min(o_orderdate))), year(max(o_orderdate)) + 1))::bigint AS y FROM orders")
 def su6_record_years(spark, d):
     """Years of a record from 1993 on, clamped to what the archive holds."""
-    o = spark.read.parquet(f"{d}/orders.parquet").agg(F.year(F.min("o_orderdate")).alias("a"), F.year(F.max("o_orderdate")).alias("b"))
-    return o.select(F.explode(F.sequence(F.greatest(F.lit(1993), "a").cast("long"), F.col("b").cast("long"))).alias("y"))
+    return record_years(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", 1993)
 
 
 @query(f"WITH {POINT} SELECT event_id, lon, lat FROM point WHERE conf >= 60 QUALIFY row_number() OVER (PARTITION BY sat ORDER BY value DESC, event_id) <= 5")
 def su16_forward_seeds(spark, d):
     """The five strongest detections of each satellite, where forward runs start."""
-    p = adapter(spark, d, "point").where("conf >= 60")
-    return p.withColumn("k", F.row_number().over(Window.partitionBy("sat").orderBy(F.desc("value"), "event_id"))).where("k <= 5").select("event_id", "lon", "lat")
+    return strongest(adapter(spark, d, "point").where("conf >= 60"), ["sat"], "value", "event_id").select("event_id", "lon", "lat")
 
 
 @query(f"WITH {POINT}, {ZONE}, {JOINED}, w AS (SELECT zone_id, day, avg(value) AS pm FROM j WHERE zone_id IS NOT NULL GROUP BY zone_id, day), b AS (SELECT zone_id, max(pm) AS pm, arg_max(day, (pm, day)) AS day FROM w GROUP BY zone_id) SELECT zone_id, round(pm, 6) AS pm, day FROM b ORDER BY pm DESC, zone_id LIMIT 3")
 def su16_backward_seeds(spark, d):
     """The three worst receptors with their worst days, where backward runs start."""
     w = zoned_points(spark, d).where("zone_id IS NOT NULL").groupBy("zone_id", "day").agg(F.avg("value").alias("pm"))
-    b = w.groupBy("zone_id").agg(F.max("pm").alias("pm"), F.max_by("day", F.struct("pm", "day")).alias("day"))
-    return b.orderBy(F.desc("pm"), "zone_id").limit(3).select("zone_id", r6(F.col("pm")).alias("pm"), "day")
+    return worst_days(w, "zone_id", "day", "pm").select("zone_id", r6(F.col("pm")).alias("pm"), "day")
 
 
 @query("WITH h AS (SELECT ts::date AS day, count(DISTINCT hour(ts)) AS hours, count(*) AS n FROM events GROUP BY 1) SELECT day, n, hours, hours = 24 AS complete FROM h")
 def su15_hour_completeness(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct(F.hour("ts")).alias("hours"), F.count("*").alias("n"))
-    return e.select("day", "n", "hours", (F.col("hours") == 24).alias("complete"))
+    return hour_completeness(spark.read.parquet(f"{d}/events.parquet"), "ts")
 
 
 @query("WITH s AS (SELECT event_type AS source, max(ts) AS newest FROM events GROUP BY 1), h AS (SELECT event_type AS source, ts::date AS day, count(DISTINCT hour(ts)) AS hours FROM events GROUP BY 1, 2) SELECT s.source AS source, date_diff('hour', newest, (SELECT max(ts) FROM events)) AS lag_hours, max(CASE WHEN hours >= 20 THEN day END) AS complete_to FROM s JOIN h ON s.source = h.source GROUP BY s.source, newest")
@@ -86,10 +81,7 @@ _CAP = "nm AS (SELECT n_regionkey AS k, n_name AS name, sum(length(n_name) + 2)
 def su14_captions(spark, d):
     """Names joined as long as whole ones fit into the budget of a caption."""
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("o"))
-    until = F.sum(F.length("name") + 2).over(Window.partitionBy("k").orderBy("o")) - 2
-    fits = n.withColumn("until", until).where("until <= 30")
-    joined = F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("o", "name"))), lambda x: x["name"]))
-    return fits.groupBy("k").agg(joined.alias("caption"), F.count("*").alias("n"))
+    return captions(n, "k", "name", "o", 30)
 
 
 # --- briefs
@@ -135,15 +127,12 @@ def or4_refusals(spark, d):
 @query("SELECT o_orderpriority AS k, coalesce(price, 10) * count(*) AS cost FROM orders LEFT JOIN (VALUES ('1-URGENT', 15), ('2-HIGH', 12)) p(name, price) ON o_orderpriority = name GROUP BY o_orderpriority, price")
 def su18_costs(spark, d):
     """Prices by name from a short table, a constant for those it lacks."""
-    p = spark.createDataFrame([("1-URGENT", 15), ("2-HIGH", 12)], "k string, price int")
-    n = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("k")).agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(p), "k", "left").select("k", (F.coalesce("price", F.lit(10)) * F.col("n")).alias("cost"))
+    return priced(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("k")), "k", {"1-URGENT": 15, "2-HIGH": 12}, 10)
 
 
 @query(f"WITH {ZONE} SELECT zone_id, round(least(greatest((e - w) * 111.32::double * cos(radians((s + n) / 2)) / 380, 1), 25), 6) AS cell_km FROM zone")
 def su19_cell_size(spark, d):
-    width = (F.col("e") - F.col("w")) * 111.32 * F.cos(F.radians((F.col("s") + F.col("n")) / 2))
-    return adapter(spark, d, "zone").select("zone_id", r6(F.least(F.greatest(width / 380, F.lit(1.0)), F.lit(25.0))).alias("cell_km"))
+    return adapter(spark, d, "zone").select("zone_id", r6(auto_cell_km(*map(F.col, "wsen"))).alias("cell_km"))
 
 
 @query("SELECT n_regionkey AS region, count(*) AS n, round(sum(c_acctbal), 4) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT NULL, count(*), round(sum(c_acctbal), 4) FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -158,8 +147,8 @@ def su23_bands_by_count(spark, d):
     """Red and near infrared by the number of bands: sensors with eight have them elsewhere than those with four."""
     n = F.when(F.col("p_size") % 3 == 0, 8).otherwise(4)
     p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("b"), i.cast("string"))).alias("bands"))
-    eight = F.size("bands") >= 8
-    return p.select("k", F.element_at("bands", F.when(eight, 6).otherwise(3)).alias("red"), F.element_at("bands", F.when(eight, 8).otherwise(4)).alias("nir"))
+    red, nir = bands_by_count(F.col("bands"))
+    return p.select("k", red.alias("red"), nir.alias("nir"))
 
 
 _HORN = ", ".join(f"max(CASE WHEN b.r - a.r = {i} AND b.c - a.c = {j} THEN b.v END) AS {n}" for n, i, j in (("nw", 1, -1), ("n", 1, 0), ("ne", 1, 1), ("w", 0, -1), ("e", 0, 1), ("sw", -1, -1), ("s", -1, 0), ("se", -1, 1)))
@@ -192,24 +181,21 @@ def su27_height_ceiling(spark, d):
 
 @query("WITH m AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2) SELECT y, m, n, sum(n) OVER (PARTITION BY y ORDER BY m)::bigint AS so_far FROM m")
 def su37_cumulative_months(spark, d):
-    n = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.year("o_orderdate").cast("long").alias("y"), F.month("o_orderdate").cast("long").alias("m")).agg(F.count("*").alias("n"))
-    return n.withColumn("so_far", F.sum("n").over(Window.partitionBy("y").orderBy("m")))
+    return cumulative_months(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate")
 
 
 @query("WITH p AS (SELECT l_orderkey AS k, avg(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity END) - avg(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END) AS gain FROM lineitem GROUP BY 1), q AS (SELECT k, gain, row_number() OVER (ORDER BY gain DESC, k) AS a, row_number() OVER (ORDER BY gain, k) AS b FROM p WHERE gain IS NOT NULL) SELECT CASE WHEN a <= 3 THEN 'best' ELSE 'worst' END AS side, k, round(gain, 6) AS gain FROM q WHERE a <= 3 OR b <= 3")
 def su40_best_and_worst(spark, d):
     """The three pairs that a correction improved most and least, as two top-k's."""
     side = lambda odd: F.avg(F.when(F.col("l_linenumber") % 2 == odd, F.col("l_quantity")))
-    p = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k")).agg((side(1) - side(0)).alias("gain")).where("gain IS NOT NULL")
-    top = lambda order, name: p.orderBy(order, "k").limit(3).select(F.lit(name).alias("side"), "k", r6(F.col("gain")).alias("gain"))
-    return top(F.desc("gain"), "best").union(top(F.asc("gain"), "worst"))
+    p = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k")).agg((side(1) - side(0)).alias("gain"))
+    return best_and_worst(p, "k", "gain").withColumn("gain", r6(F.col("gain")))
 
 
 @query(f"WITH {OBS}, m AS (SELECT r, c, year(day) AS y, month(day) AS m, avg(tir) AS t, max(tir) AS hot, avg(nir) * 100 AS h FROM obs GROUP BY 1, 2, 3, 4), yy AS (SELECT y, max(hot) AS hot, avg(t) AS t, avg(h) AS h FROM m GROUP BY y) SELECT y, round(t, 6) AS mean, round(hot, 6) AS hottest FROM yy")
 def su9_annual_heat(spark, d):
     """Annual mean of monthly means, and the highest monthly maximum."""
-    m = adapter(spark, d, "obs").groupBy("r", "c", F.year("day").cast("long").alias("y"), F.month("day").alias("m")).agg(F.avg("tir").alias("t"), F.max("tir").alias("hot"))
-    return m.groupBy("y").agg(r6(F.avg("t")).alias("mean"), r6(F.max("hot")).alias("hottest"))
+    return annual_heat(adapter(spark, d, "obs"), ["r", "c"], "day", "tir").withColumns({k: r6(F.col(k)) for k in ("mean", "hottest")})
 
 
 _STULL = "t * atan(0.151977::double * sqrt(h + 8.313659::double)) + atan(t + h) - atan(h - 1.676331::double) + 0.00391838::double * power(h, 1.5) * atan(0.023101::double * h) - 4.686035::double"
@@ -246,14 +232,8 @@ def su10_shared_series(spark, d):
 @query(f"WITH {POINT}, q AS (SELECT least(quantile_cont(lon, 0.02), 101) AS w, greatest(quantile_cont(lon, 0.98), 103) AS e, least(quantile_cont(lat, 0.02), -2) AS s, greatest(quantile_cont(lat, 0.98), 2) AS n FROM point), p AS (SELECT w - 0.1 * (e - w) AS w, e + 0.1 * (e - w) AS e, s - 0.1 * (n - s) AS s, n + 0.1 * (n - s) AS n FROM q), g AS (SELECT *, greatest((n - s) * 1.5 - (e - w), 0) / 2 AS gx, greatest((e - w) / 1.5 - (n - s), 0) / 2 AS gy FROM p) SELECT round(greatest(w - gx, -180), 6) AS w, round(greatest(s - gy, -90), 6) AS s, round(least(e + gx, 180), 6) AS e, round(least(n + gy, 90), 6) AS n FROM g")
 def su13_display_frame(spark, d):
     """2nd to 98th percentile of path points with the area, 10 percent around it, the shorter side grown to 3:2, within the globe."""
-    p = adapter(spark, d, "point")
-    c = F.col
-    q = quantiles(p, "lon", {"w": 0.02, "e": 0.98}).drop("n").crossJoin(quantiles(p, "lat", {"s": 0.02, "t": 0.98}).drop("n"))  # one row each
-    b = q.select(F.least("w", F.lit(101.0)).alias("w"), F.greatest("e", F.lit(103.0)).alias("e"), F.least("s", F.lit(-2.0)).alias("s"), F.greatest("t", F.lit(2.0)).alias("n"))
-    dx, dy = c("e") - c("w"), c("n") - c("s")
-    b = b.select((c("w") - dx * 0.1).alias("w"), (c("e") + dx * 0.1).alias("e"), (c("s") - dy * 0.1).alias("s"), (c("n") + dy * 0.1).alias("n"))
-    gx, gy = F.greatest(dy * 1.5 - dx, F.lit(0.0)) / 2, F.greatest(dx / 1.5 - dy, F.lit(0.0)) / 2
-    return b.select(r6(F.greatest(c("w") - gx, F.lit(-180.0))).alias("w"), r6(F.greatest(c("s") - gy, F.lit(-90.0))).alias("s"), r6(F.least(c("e") + gx, F.lit(180.0))).alias("e"), r6(F.least(c("n") + gy, F.lit(90.0))).alias("n"))
+    b = display_frame(adapter(spark, d, "point"), "lon", "lat", (101.0, -2.0, 103.0, 2.0))
+    return b.select(*(r6(F.col(k)).alias(k) for k in "wsen"))
 
 
 # --- series
@@ -282,29 +262,23 @@ def wn6_covered_pairs(spark, d):
 @query("WITH f AS (SELECT ts, unnest(generate_series(time_bucket(interval 6 hours, ts) + interval 6 hours, time_bucket(interval 6 hours, ts) + interval 12 hours, interval 6 hours)) AS frame FROM events) SELECT frame, count(*) AS n, round(sum(1 - (epoch(frame) - floor(epoch(ts))) / 43200), 6) AS weight FROM f WHERE ts > frame - interval 12 hours GROUP BY frame")
 def wn7_decayed_frames(spark, d):
     """Frames of the trailing 12 hours in which an event counts the less the older it is."""
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"))
-    six = F.expr("INTERVAL 6 HOURS")
-    start = F.window("ts", "6 hours").start
-    frames = e.select("ts", start.alias("s")).select("ts", F.explode(F.array(F.col("s") + six, F.col("s") + six + six)).alias("frame")).where(F.col("ts") > F.col("frame") - six - six)
-    age = F.unix_timestamp("frame") - F.unix_timestamp("ts")
-    return frames.groupBy(F.col("frame").cast("timestamp_ntz").alias("frame")).agg(F.count("*").alias("n"), r6(F.sum(1 - age / 43200)).alias("weight"))
+    f = decayed_frames(spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    return f.select(F.col("frame").cast("timestamp_ntz").alias("frame"), "n", r6(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {OBS}, k AS (SELECT r, c, avg(nir) AS v FROM obs GROUP BY r, c), e AS (SELECT quantile_cont(v, 0.2) AS a, quantile_cont(v, 0.4) AS b, quantile_cont(v, 0.6) AS c, quantile_cont(v, 0.8) AS d FROM k) SELECT ((v > e.a)::int + (v > e.b)::int + (v > e.c)::int + (v > e.d)::int)::int AS bin, count(*) AS n, round(min(v), 6) AS low, round(max(v), 6) AS high FROM k, e GROUP BY 1")
 def wn9_equal_bins(spark, d):
     """Five classes of equal count, by their edges."""
     k = adapter(spark, d, "obs").groupBy("r", "c").agg(F.avg("nir").alias("v"))
-    edges = quantiles(k, "v", {f"e{q}": q / 5 for q in range(1, 5)}).drop("n")  # one row
-    own = sum(((F.col("v") > F.col(f"e{q}")).cast("int") for q in range(1, 5)), F.lit(0))
-    return k.crossJoin(F.broadcast(edges)).groupBy(own.alias("bin")).agg(F.count("*").alias("n"), r6(F.min("v")).alias("low"), r6(F.max("v")).alias("high"))
+    return equal_bins(k, "v").select("bin", "n", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 
 
 @query("SELECT user_id AS k, " + ", ".join(f"round(avg(CASE WHEN ts::date = date '2024-01-0{k}' THEN value END), 6) AS day_{k}" for k in range(1, 8)) + " FROM events GROUP BY user_id")
 def tc8_daily_stack(spark, d):
     """One column for each day of a week, for output; everything else stays long."""
     e = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("k"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    at = lambda n: r6(F.max(F.when(F.col("day") == F.lit(f"2024-01-0{n}").cast("date"), F.col("v")))).alias(f"day_{n}")
-    return e.groupBy("k").agg(*(at(n) for n in range(1, 8)))
+    s = daily_stack(e, "k", "day", "v", [f"2024-01-0{n}" for n in range(1, 8)])
+    return s.select("k", *(r6(F.col(x)).alias(x) for x in s.columns[1:]))
 
 
 @query("SELECT user_id AS k, ts::date AS day, round(avg(value), 6) AS mean, count(*) AS steps FROM events GROUP BY 1, 2")
@@ -325,11 +299,10 @@ def ag26_transects(spark, d):
 @query("SELECT c_nationkey AS k, year, round(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) / greatest(count(*), 1e-6) * any_value(total), 6) AS young, round(sum(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END) / greatest(count(*), 1e-6) * any_value(total), 6) AS old FROM customer JOIN (SELECT s_nationkey, 2024 AS year, sum(s_acctbal) AS total FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey GROUP BY 1, 2")
 def su1_people_by_age(spark, d):
     """A year's total by the age fractions of another one: the young and the old."""
-    c = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_nationkey").alias("k"))
-    part = lambda s: F.sum(F.when(F.col("c_mktsegment") == s, 1).otherwise(0)) / F.greatest(F.count("*"), F.lit(1e-6))
-    shares = c.agg(part("BUILDING").alias("a"), part("MACHINERY").alias("b"))
+    people = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("k"), "c_mktsegment")
     total = spark.read.parquet(f"{d}/supplier.parquet").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("total"))
-    return shares.join(total, "k").select("k", F.lit(2024).alias("year"), r6(F.col("a") * F.col("total")).alias("young"), r6(F.col("b") * F.col("total")).alias("old"))
+    out = by_fractions(total, people, "k", "total", "c_mktsegment", {"young": "BUILDING", "old": "MACHINERY"})
+    return out.select("k", F.lit(2024).alias("year"), r6(F.col("young")).alias("young"), r6(F.col("old")).alias("old"))
 
 
 # --- scalars
@@ -442,9 +415,7 @@ def sc16_stops_by_tags(spark, d):
 @query("SELECT o_orderkey AS k, o_orderdate::date AS day, (SELECT last_day(max(o_orderdate))::date FROM orders) AS covered FROM orders WHERE o_orderdate::date = (SELECT max(o_orderdate)::date FROM orders)")
 def sc20_newest_covered(spark, d):
     """The files of the newest week, and the day up to which an archive by months is covered."""
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"))
-    newest = o.agg(F.max("day").alias("newest"))  # one row
-    return o.join(F.broadcast(newest), F.col("day") == F.col("newest")).select("k", "day", F.last_day("newest").alias("covered"))
+    return newest_files(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day")), "day")
 
 
 @query("WITH f AS (SELECT 'LED-ALOS' || (o_orderkey // 4) || '-' || strftime(o_orderdate, '%y%m%d') || '-' || CASE o_orderkey % 2 WHEN 0 THEN 'HH' ELSE 'HV' END AS name FROM orders) SELECT regexp_extract(name, 'ALOS(\\d+)-', 1)::bigint AS scene, max(regexp_extract(name, '-(\\d{6})-', 1)) AS day, count(DISTINCT regexp_extract(name, '-([HV]{2})$', 1)) AS pols, min(regexp_extract(name, '-([HV]{2})$', 1)) AS first_pol FROM f GROUP BY 1")

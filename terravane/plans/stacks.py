@@ -11,6 +11,7 @@ from ..operators.change import optical_change, orbit_choice
 from ..operators.composite import period_composite
 from ..operators.overlay import sampled
 from ..operators.stacks import DRAWS, bootstrap, elevation_fit, exceedance, file_state, local_resultant, mask_polarity, picks, poisson_bounds, reference_spread, stats_lines, trusted_range, usable_scenes, without_band
+from ..operators.summaries import patch_cm, sign_check
 from ..sources.adapters import adapter, adapter_sql
 from .grids import COARSE, FINE
 from .motion import _PHASE, phase
@@ -122,16 +123,15 @@ def su29_local_resultant(spark, d):
 @query(f"WITH {OBS}, k AS (SELECT r, c, avg(nir) AS a, avg(swir1) AS b FROM obs GROUP BY r, c) SELECT round(regr_slope(b, a), 6) AS slope, round(corr(a, b), 6) AS r, regr_slope(b, a) > 0 AS same_sign FROM k")
 def su30_sign_check(spark, d):
     """Whether two bands follow one sign convention: the sign of the line through them."""
-    k = adapter(spark, d, "obs").groupBy("r", "c").agg(F.avg("nir").alias("a"), F.avg("swir1").alias("b"))
-    return k.agg(r6(F.regr_slope("b", "a")).alias("slope"), r6(F.corr("a", "b")).alias("r"), (F.regr_slope("b", "a") > 0).alias("same_sign"))
+    k = sign_check(adapter(spark, d, "obs").groupBy("r", "c").agg(F.avg("nir").alias("a"), F.avg("swir1").alias("b")), "a", "b")
+    return k.select(r6(F.col("slope")).alias("slope"), r6(F.col("r")).alias("r"), "same_sign")
 
 
 @query(f"WITH {_PHASE}, p AS (SELECT * FROM ph WHERE r BETWEEN 4 AND 12 AND c BETWEEN 6 AND 14), m AS (SELECT median(phase) AS m FROM p) SELECT r, c, round((phase - m) * (5.6::double / (4 * pi())), 6) AS cm FROM p, m")
 def su38_patch_cm(spark, d):
     """A patch of phase without its median, in centimetres for a wavelength of 5.6 cm."""
-    p = phase(spark, d).where("r BETWEEN 4 AND 12 AND c BETWEEN 6 AND 14")
-    m = p.agg(F.median("phase").alias("m"))  # one row
-    return p.crossJoin(F.broadcast(m)).select("r", "c", r6((F.col("phase") - F.col("m")) * (5.6 / (4 * F.pi()))).alias("cm"))
+    box = F.col("r").between(4, 12) & F.col("c").between(6, 14)
+    return patch_cm(phase(spark, d), box, "phase").withColumn("cm", r6(F.col("cm")))
 
 
 @query(f"WITH {OBS}, f AS (SELECT r AS sr, c AS sc, avg(tir) AS dem FROM obs GROUP BY r, c) SELECT r::int AS r, c::int AS c, round(dem, 6) AS dem FROM (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 20)) AS c), f WHERE sr = least(floor((-10 + (r + 0.5::double) * 0.5::double + 10) / 1.0), 19) AND sc = c")

@@ -32,6 +32,9 @@ FIELDS = {"wavelength": Field(2, 495), "sample_rate": Field(2, 704, 1e6), "pulse
 STATES_RECORD, STATES_START, STATES_STEP, STATES_PLACE = 3, 149, 171, 374
 IMAGE_HEADER, LINE_PREFIX, NEAR_PLACE, SAMPLE_BYTES = 720, 544, 104, 8
 LIGHT = 299_792_458.0
+# fixed values: how the summary record writes the scene, the time of its centre and the ellipsoid's radii in km, and where they stand
+SCENE, STAMP, RADIUS, SUMMARY_HEAD = re.compile(r"ALOS2\d+-\d+"), re.compile(r"\d{17}"), re.compile(r"\d{4}\.\d{7}"), 400
+EQUATOR, POLE = 6378137.0, 6356752.3141
 
 _NUMBER = re.compile(r"\s*([-+]?\d+(?:\.\d+)?(?:[EeDd][-+]?\d+)?)")
 _VECTORS = re.compile(r"[-+]?\d+\.\d+[EeDd][-+]?\d+")
@@ -55,10 +58,10 @@ def _float(text: str) -> float:
 
 def heading(record: bytes) -> dict:
     """Scene, time of its centre (the stamp of the summary is the centre's, not the start's) and radii in metres, from the summary record."""
-    text = record[:400].decode("ascii", "replace")
-    scene, stamp, radii = re.search(r"ALOS2\d+-\d+", text), re.search(r"\d{17}", text), re.findall(r"\d{4}\.\d{7}", text)
+    text = record[:SUMMARY_HEAD].decode("ascii", "replace")
+    scene, stamp, radii = SCENE.search(text), STAMP.search(text), [1e3 * float(x) for x in RADIUS.findall(text)]
     centre = datetime.datetime.strptime(stamp[0] + "000", "%Y%m%d%H%M%S%f").replace(tzinfo=datetime.timezone.utc) if stamp else None
-    return {"scene_id": scene and scene[0], "centre": centre, "equatorial_radius": 1e3 * float(radii[0]) if radii else 6378137.0, "polar_radius": 1e3 * float(radii[1]) if len(radii) > 1 else 6356752.3141}
+    return {"scene_id": scene and scene[0], "centre": centre, "equatorial_radius": [*radii, EQUATOR][0], "polar_radius": radii[1] if len(radii) > 1 else POLE}
 
 
 def state_vectors(record: bytes, centre: datetime.datetime | None) -> list[tuple]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import DEGREE_KM
 from .files import FlatRaster, located
 
-#: Header's number of a type: the type of a cell, as the format has them.
+# fixed values: a header's number of a type, and the type of a cell
 ENVI_TYPES = {"2": "i2", "4": "f4", "5": "f8", "12": "u2"}
 
 

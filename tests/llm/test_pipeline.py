@@ -123,6 +123,10 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n != "op1_media"])
+#: Of these, op1, op11 and op12 read embeddings, and op13 has a row for each piece of a document.
+OTHER_ROWS = ("op1_media", "op11_vector_codes", "op12_hard_negatives", "op13_packing")
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in OTHER_ROWS])
 def test_one_row_a_document(spark, sf, name):
     assert QUERIES[name](spark, sf).count() == table(spark, sf, "documents").count()

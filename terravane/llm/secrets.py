@@ -174,8 +174,8 @@ def _inflate(data: bytes, most: int) -> bytes | None:
     return b"".join(out) if out else None
 
 
-#: Where a piece may be cut: before a character that no candidate holds, or at a space between two words.
-_CUT = re.compile(r"""[^A-Za-z0-9+/_=\-\s>%\\{}&#;"':.]|(?<![\s>"':=])\ (?=[A-Za-z0-9])""")
+#: Where a piece may be cut: before a character that no candidate holds, or at a space between two words, in UTF-16 of either order too.
+_CUT = re.compile(r"""[^A-Za-z0-9+/_=\-\s>%\\{}&#;"':.\0]|(?<![\s>"':=\0])\ (?=[A-Za-z0-9])|(?<=[A-Za-z0-9]\0)\ (?=\0[A-Za-z0-9])|(?<=\0[A-Za-z0-9])\0(?=\ \0[A-Za-z0-9])""")
 _SAME = re.compile(r"(.)\1{4095,}", re.S)
 
 

@@ -91,6 +91,17 @@ def test_large_layers_below_others():
     assert not decoded_spans(f"see {b64(gzip.compress(gzip.compress(b'plain words ' * 20_000)))} end", 50_000)
 
 
+@pytest.mark.parametrize("code", ["utf-8", "utf-16-le", "utf-16-be"])
+def test_secrets_at_every_place_around_a_cut(code):
+    """The end of a piece, and the place some thousand characters before it where it is cut, move over the secret."""
+    words = random.Random(7).choices(["plain", "words", "and", "others", "in", "no", "order"], k=9_000)
+    unit = len("a".encode(code))
+    for at in [*range(45_780, 45_960, 6), *range(49_900, 50_060, 6)]:
+        before = " ".join(words)[: at // unit].rpartition(" ")[0]
+        data = f"{before} {SECRET} {' '.join(words)}".encode(code)
+        assert {k for _, k, _ in decoded_spans(f"see {b64(gzip.compress(data, 1))} end", 50_000)} == {0}, at
+
+
 def test_time_of_large_layers():
     """Seventeen megabytes of words, and a hundred of one byte, take seconds."""
     rng = random.Random(2)

@@ -116,3 +116,21 @@ def shore_length(sea: DataFrame, land: DataFrame, size: float) -> DataFrame:
     met = sides.join(land.select("r", "c"), ["r", "c"]).agg((F.count("*") * size).alias("length"))
     area = lambda df, name: df.agg((F.count("*") * size * size).alias(name))
     return area(sea, "sea").crossJoin(area(land, "land")).crossJoin(met)  # one row each
+
+
+def shifted_epochs(wanted: DataFrame, epoch: str, available: DataFrame, year: str, pad: int = 2) -> DataFrame:
+    """(epoch, used): for each wanted epoch the nearest year with data at most `pad` years away, the earlier of two equally near ones; NULL if there is none."""
+    years = available.select(F.col(year).cast("long").alias("_y")).distinct()
+    reach = wanted.select(F.col(epoch).cast("long").alias("epoch")).distinct()
+    tried = reach.withColumn("_y", F.explode(F.sequence(F.col("epoch") - pad, F.col("epoch") + pad)))
+    best = tried.join(years, "_y").groupBy("epoch").agg(F.min(F.struct(F.abs(F.col("_y") - F.col("epoch")).alias("d"), F.col("_y").alias("y"))).alias("_b"))
+    return reach.join(best, "epoch", "left").select("epoch", F.col("_b.y").alias("used"))
+
+
+def transects_of_lines(points: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
+    """(key, x, y, nx, ny, length): transects given as lines, such as those of a file: from a line's first point towards its last. A line without an extent gives none."""
+    place = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ends = points.groupBy(key).agg(F.min_by(place, order).alias("a"), F.max_by(place, order).alias("b"))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    out = ends.select(key, F.col("a.x").alias("x"), F.col("a.y").alias("y"), dx.alias("_dx"), dy.alias("_dy"), F.hypot(dx, dy).alias("length")).where("length > 0")
+    return out.select(key, "x", "y", (F.col("_dx") / F.col("length")).alias("nx"), (F.col("_dy") / F.col("length")).alias("ny"), "length")

@@ -8,6 +8,7 @@ from ..functions.fire import BREAKS, danger_class
 from ..functions.geo import tile_zoom
 from ..functions.projection import FORWARD, utm
 from ..operators.assess import regraded
+from ..operators.coast import crossings, shifted_epochs, transects_of_lines
 from ..operators.folds import fire_weather
 from ..operators.lines import contour_lines
 from ..operators.reach import line_cells, near_cells
@@ -156,3 +157,27 @@ def sc27_judged_pairs(spark, d):
     listed = lambda rule: rejects(li.where(rule).select(F.concat(name, F.lit("  # rejected")).alias("value")))
     out = judged(stats, coverage=listed("l_quantity < 5"), loops=listed("l_discount < 0.02"))
     return out.groupBy("rejected_by").agg(F.count("*").alias("pairs"), F.round(F.sum("coverage"), 4).alias("coverage"))
+
+
+@query("WITH w AS (SELECT DISTINCT year(o_orderdate) + (o_custkey % 9) - 4 AS epoch FROM orders), y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) % 3 = 0), b AS (SELECT epoch, arg_min(y, (abs(y - epoch), y)) AS used FROM w JOIN y ON abs(y - epoch) <= 2 GROUP BY epoch) SELECT w.epoch AS epoch, used FROM w LEFT JOIN b ON b.epoch = w.epoch")
+def su12_shifted_epochs(spark, d):
+    """The year that stands for each epoch: the nearest one with scenes within two years; every third year has some."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    y = F.year("o_orderdate")
+    return shifted_epochs(o.select((y + F.col("o_custkey") % 9 - 4).alias("epoch")), "epoch", o.where(y % 3 == 0).select(y.alias("y")), "y")
+
+
+_LINE = "ln AS (SELECT s_suppkey AS t, (s_suppkey % 9)::double AS x, (s_suppkey * 7 % 10)::double / 2 AS y, 3.0::double + s_suppkey % 4 AS dx, 4.0::double - s_suppkey % 3 AS dy FROM supplier), tr AS (SELECT t, x, y, dx / sqrt(dx * dx + dy * dy) AS nx, dy / sqrt(dx * dx + dy * dy) AS ny FROM ln)"
+_SHORE = "shore AS (SELECT o_orderkey % 3 AS epoch, (o_orderkey * 37 % 97)::double / 10 AS x1, (o_orderkey * 53 % 89)::double / 10 AS y1, (o_orderkey * 37 % 97)::double / 10 + 0.4 AS x2, (o_orderkey * 53 % 89)::double / 10 - 0.3 AS y2 FROM orders)"
+
+
+@query(f"WITH {_LINE}, {_SHORE}, h AS (SELECT t, epoch, nx * (y2 - y1) - ny * (x2 - x1) AS det, ((x1 - x) * (y2 - y1) - (y1 - y) * (x2 - x1)) AS a, ((x1 - x) * ny - (y1 - y) * nx) AS b FROM tr, shore) SELECT t, epoch, round(max(a / det), 5) AS distance FROM h WHERE det <> 0 AND a / det >= 0 AND a / det <= 4 AND b / det >= 0 AND b / det <= 1 GROUP BY t, epoch")
+def su12_given_transects(spark, d):
+    """Crossings of transects that are given as lines of two points, up to 4 units along them."""
+    key = F.col("s_suppkey")
+    at = spark.read.parquet(f"{d}/supplier.parquet").select(key.alias("t"), (key % 9).cast("double").alias("x"), ((key * 7 % 10).cast("double") / 2).alias("y"), (3.0 + key % 4).alias("dx"), (4.0 - key % 3).alias("dy"))
+    points = at.select("t", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("x") + F.col("dx") * k).alias("x"), (F.col("y") + F.col("dy") * k).alias("y")) for k in (0, 1)))).alias("p")).select("t", "p.*")
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    x, y = (F.col("o_orderkey") * 37 % 97).cast("double") / 10, (F.col("o_orderkey") * 53 % 89).cast("double") / 10
+    shores = o.select((F.col("o_orderkey") % 3).alias("epoch"), x.alias("x1"), y.alias("y1"), (x + 0.4).alias("x2"), (y - 0.3).alias("y2"))
+    return crossings(transects_of_lines(points, "t", "k", "x", "y"), "t", shores, "epoch", 4.0, 2.0).withColumn("distance", F.round("distance", 5))

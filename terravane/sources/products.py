@@ -39,6 +39,14 @@ def subfaults(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(feature, name, k, lon, lat): the vertices of a collection's LineStrings in their order, as transects are given in files."""
+    shape = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    f = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("j")).select(F.posexplode("j.features").alias("feature", "f"))
+    lines = f.where(F.col("f.geometry.type") == "LineString").select("feature", F.col("f.properties")["name"].alias("name"), F.from_json("f.geometry.coordinates", "array<array<double>>").alias("c"))
+    return lines.select("feature", "name", F.posexplode("c").alias("k", "p")).select("feature", "name", "k", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
 def pair_stats(lines: DataFrame, text: str = "value") -> DataFrame:
     """(pair, baseline, days, coverage, coherence) from lines of five fields or more, the first one two dates joined by an underscore; comments, shorter lines and
     those with other things than numbers are left out."""

@@ -13,9 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThanOrEqual, LessThanOrEqual
 
+from terravane.operators.coast import shifted_epochs, transects_of_lines
 from terravane.operators.zonal import within
 from terravane.sources.leader import images, leaders, scene_footprints, scenes
-from terravane.sources.products import ENVI_TYPES, headed_raster, judged, pair_stats, rejects, subfaults
+from terravane.sources.products import ENVI_TYPES, geojson_lines, headed_raster, judged, pair_stats, rejects, subfaults
 from terravane.sources.rasterfiles import Grid, Tiff, coarse_factor, read_raster, tiff_bytes, write_raster
 from terravane.sources.tables import register_lines, register_tables
 from terravane.sources.zonefiles import ZoneReader, rings, zones_in
@@ -284,3 +285,16 @@ def test_rasters_with_a_header(spark, tmp_path, kind, order):
     (tmp_path / "coh.img").write_bytes(b"123")
     with pytest.raises(ValueError, match="has 3 bytes"):
         headed_raster(spark, str(tmp_path / "coh.hdr"))
+
+
+def test_transects_from_a_file(spark, tmp_path):
+    import json
+
+    line = lambda *c: {"type": "Feature", "properties": {"name": "a"}, "geometry": {"type": "LineString", "coordinates": list(c)}}
+    (tmp_path / "t.geojson").write_text(json.dumps({"features": [line([1.0, 1.0], [2.0, 5.0], [4.0, 5.0]), {"geometry": {"type": "Point", "coordinates": [0, 0]}}, line([3.0, 3.0], [3.0, 3.0])]}))
+    points = geojson_lines(spark, str(tmp_path / "t.geojson"))
+    assert points.count() == 5
+    got = [tuple(r) for r in transects_of_lines(points, "feature", "k", "lon", "lat").collect()]
+    assert got == [(0, 1.0, 1.0, 0.6, 0.8, 5.0)]
+    years = lambda *y: spark.createDataFrame([(v,) for v in y], "y int")
+    assert sorted(map(tuple, shifted_epochs(years(1990, 2000, 2010, 2000), "y", years(1989, 1991, 2003, 2010), "y").collect()), key=str) == [(1990, 1989), (2000, None), (2010, 2010)]

@@ -12,6 +12,7 @@ from ..operators.coast import crossings, shifted_epochs, transects_of_lines
 from ..operators.folds import fire_weather
 from ..operators.lines import contour_lines
 from ..operators.reach import line_cells, near_cells
+from ..operators.warp import image_offsets
 from ..session import rocksdb
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
 from ..sources.products import judged, pair_stats, rejects
@@ -181,3 +182,15 @@ def su12_given_transects(spark, d):
     x, y = (F.col("o_orderkey") * 37 % 97).cast("double") / 10, (F.col("o_orderkey") * 53 % 89).cast("double") / 10
     shores = o.select((F.col("o_orderkey") % 3).alias("epoch"), x.alias("x1"), y.alias("y1"), (x + 0.4).alias("x2"), (y - 0.3).alias("y2"))
     return crossings(transects_of_lines(points, "t", "k", "x", "y"), "t", shores, "epoch", 4.0, 2.0).withColumn("distance", F.round("distance", 5))
+
+
+_IMAGE = "one AS (SELECT l_orderkey % 64 AS r, l_partkey % 64 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), two AS (SELECT r + 3 AS r, c - 2 AS c, v FROM one)"
+
+
+@query(f"WITH {_IMAGE}, p AS (SELECT one.r // 32 AS pr, one.c // 32 AS pc, count(*) AS n FROM one JOIN two ON one.r = two.r AND one.c = two.c GROUP BY 1, 2) SELECT pr * 32 + 16::double AS y, pc * 32 + 16::double AS x, 3 AS dy, -2 AS dx FROM p WHERE n >= 512")
+def rc9_offsets(spark, d):
+    """Offsets of an image's patches against a copy of it that lies three rows down and two columns to the left, in whole pixels; patches with too few cells in common have none."""
+    one = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 64).cast("int").alias("r"), (F.col("l_partkey") % 64).cast("int").alias("c")).agg(F.sum("l_quantity").alias("v"))
+    two = one.select((F.col("r") + 3).alias("r"), (F.col("c") - 2).alias("c"), "v")
+    o = image_offsets(one, two, "v", 32)
+    return o.select("y", "x", F.round("dy").cast("int").alias("dy"), F.round("dx").cast("int").alias("dx"))

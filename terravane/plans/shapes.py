@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.fire import BREAKS, danger_class
@@ -13,9 +15,11 @@ from ..operators.folds import fire_weather
 from ..operators.lines import contour_lines
 from ..operators.reach import line_cells, near_cells
 from ..operators.warp import image_offsets
-from ..session import rocksdb
+from ..session import rocksdb, shared_folder
 from ..sources.adapters import WEATHER, adapter, adapter_sql, weather
 from ..sources.products import judged, pair_stats, rejects
+from ..sources.rasterfiles import Grid, read_raster, write_raster
+from ..sources.tables import register_tables
 from ..streaming.feeds import available, closed, stream
 from ..streaming.lags import source_windows, union_of_sources
 from ..streaming.watch import watched_tracks
@@ -194,3 +198,38 @@ def rc9_offsets(spark, d):
     two = one.select((F.col("r") + 3).alias("r"), (F.col("c") - 2).alias("c"), "v")
     o = image_offsets(one, two, "v", 32)
     return o.select("y", "x", F.round("dy").cast("int").alias("dy"), F.round("dx").cast("int").alias("dx"))
+
+
+@query(f"WITH {OBS}, {COUNTS} SELECT r, c, v::float::double AS value FROM v WHERE (r + c) % 5 > 0 UNION ALL SELECT r, c, NULL FROM v WHERE (r + c) % 5 = 0")
+def sk2_raster(spark, d):
+    """Cells written as tiled raster files in blocks of 8 and read again; every fifth diagonal is masked."""
+    folder = shared_folder(spark)
+    cells = counts(spark, d).select("r", "c", F.when((F.col("r") + F.col("c")) % 5 > 0, F.col("v")).alias("value"))
+    write_raster(cells, folder, Grid(100.0, 10.0, 0.5, 0.5), block=8)
+    return read_raster(spark, folder).drop("file").join(cells.select("r", "c"), ["r", "c"])  # a block's corner that has no cells is masked too
+
+
+@query(f"WITH {OBS}, k AS (SELECT r, c, CASE WHEN avg(tir) < 26.5 THEN 0 WHEN avg(tir) < 27 THEN 1 WHEN avg(tir) < 27.5 THEN 2 ELSE 3 END AS class FROM obs GROUP BY r, c), n AS (SELECT r // 2 AS r, c // 2 AS c, class, count(*) AS n FROM k GROUP BY 1, 2, 3) SELECT r::int AS r, c::int AS c, arg_min(class, (-n, class))::double AS value FROM n GROUP BY r, c")
+def sk2_coarse_classes(spark, d):
+    """A raster of classes with a palette that may hold 120 cells: coarsened by 2, to the most frequent class."""
+    folder, t = shared_folder(spark), F.avg("tir")
+    k = adapter(spark, d, "obs").groupBy("r", "c").agg(F.when(t < 26.5, 0).when(t < 27, 1).when(t < 27.5, 2).otherwise(3).alias("class"))
+    write_raster(k, folder, value="class", palette={0: (0, 90, 0), 1: (250, 220, 0), 2: (250, 120, 0), 3: (180, 0, 0)}, most=120)
+    return read_raster(spark, folder).drop("file")
+
+
+_HEAD = ("1 1", "GDAS 24 1 1 0 0", "1 BACKWARD OMEGA", "24 1 1 0 100.0 0.0 500", "1 PRESSURE")
+
+
+@query("SELECT 'u' || user_id AS file, 'BACKWARD' AS direction, 1 AS traj_id, strftime(ts, '%Y-%m-%d %H:%M:00') AS at, round(100 + (event_id * 37 % 1000) / 100.0::double, 6) AS lon, round((event_id * 91 % 2000) / 100.0::double - 10, 6) AS lat, round(value, 2) AS height FROM events")
+def sc18_endpoint_rows(spark, d):
+    """Endpoint files as lines of text, one file a user, read by the table function from SQL."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("file", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    at = F.date_format("ts", "yy MM dd HH mm")
+    place = F.format_string("%.2f %.2f %.2f", (F.col("event_id") * 91 % 2000) / 100.0 - 10, (F.col("event_id") * 37 % 1000) / 100.0 + 100, F.col("value"))
+    records = e.select("file", (F.col("event_id") + len(_HEAD)).alias("k"), F.concat_ws(" ", F.lit("1 1"), at, F.lit("0 0.0"), place, F.lit("950.0")).alias("line"))
+    head = e.select("file").distinct().select("file", F.posexplode(F.array(*map(F.lit, _HEAD))).alias("k", "line"))
+    view = f"lines_{uuid.uuid4().hex}"
+    head.select("file", F.col("k").cast("long").alias("k"), "line").union(records).createOrReplaceTempView(view)
+    register_tables(spark)
+    return spark.sql(f"SELECT file, direction, traj_id, at, round(lon, 6) AS lon, round(lat, 6) AS lat, round(height, 2) AS height FROM endpoint_rows(TABLE({view}) PARTITION BY file ORDER BY k)")

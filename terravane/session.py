@@ -28,6 +28,13 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def push_filters(spark: SparkSession) -> None:
+    """Lets Python sources take part in filters: Spark refuses a source that does while this setting is off, so it is switched on once for a session, and stays so."""
+    key = "spark.sql.python.filterPushdown.enabled"
+    if spark.conf.get(key, "false") != "true":
+        spark.conf.set(key, "true")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

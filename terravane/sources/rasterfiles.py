@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..session import push_filters
 from .files import located
 
 # fixed values: numbers of tags, their field types and sizes, and sample formats, as the format has them
@@ -304,5 +305,5 @@ def write_raster(cells: DataFrame, path: str, grid: Grid = Grid(), value: str =
 def read_raster(spark: SparkSession, path: str) -> DataFrame:
     """(file, r, c, value) of a raster's cells; see GeoTiffs."""
     spark.dataSource.register(GeoTiffs)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    push_filters(spark)
     return spark.read.format("geotiffs").option("path", path).load()

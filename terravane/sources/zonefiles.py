@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from ..session import push_filters
+
 _EDGE = pa.struct([(k, pa.float64()) for k in ("x1", "y1", "x2", "y2")])
 #: Bound of a box: the index's column. It stores bounds rounded outwards, so it never leaves out what the exact bound keeps.
 _INDEXED = {"w": "minx", "e": "maxx", "s": "miny", "n": "maxy"}
@@ -151,7 +153,7 @@ class ZoneReader(DataSourceReader):
 def zones_in(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, layer: str | None = None, rows: int = 10_000) -> DataFrame:
     """The zones of a GeoPackage layer whose box meets `box` (w, s, e, n), borders included; all of them without one."""
     spark.dataSource.register(GeoPackageZones)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    push_filters(spark)
     reader = spark.read.format("geopackage").option("path", path).option("rows", rows)
     zones = (reader if layer is None else reader.option("layer", layer)).load()
     if box is None:

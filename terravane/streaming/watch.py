@@ -32,13 +32,14 @@ class TrackWatch(StatefulProcessor):
             return
         polled = pd.concat(parts)
         happened = int(polled.happened_ms.iloc[0])
-        for r in polled.itertuples():  # a scene polled again is the same scene
-            self.scenes.updateValue((int(r.path), int(r.frame), int(r.acquired_ms)), (r.direction,))
+        scenes = {k: d for k, (d,) in self.scenes.iterator()}
+        seen = zip(polled.path.tolist(), polled.frame.tolist(), polled.acquired_ms.tolist())
+        fresh = {k: d for k, d in zip(seen, polled.direction) if k not in scenes}  # a scene polled again is the same scene
         if not self.due.exists():
             self.due.update((happened + self.patience_ms,))
             self.handle.registerTimer(happened + self.patience_ms)
         tracks: dict[tuple, list[int]] = {}
-        for (path, frame, at), (direction,) in self.scenes.iterator():
+        for (path, frame, at), direction in (scenes | fresh).items():
             tracks.setdefault((path, frame, direction), []).append(at)
         ready = []
         for (path, frame, direction), times in tracks.items():
@@ -54,6 +55,9 @@ class TrackWatch(StatefulProcessor):
             out.append((key[0], direction, path, frame, pre, post, n, n >= 2, None))
         if len(done) == self.directions:
             self._end("done")
+        else:
+            for scene, direction in fresh.items():
+                self.scenes.updateValue(scene, (direction,))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

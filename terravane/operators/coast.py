@@ -58,22 +58,28 @@ def seaward(points: DataFrame, keys: Sequence[str], sea: DataFrame, step: float,
 
 def crossings(transects: DataFrame, key: str, shores: DataFrame, epoch: str, length: float, tile: float) -> DataFrame:
     """(key, epoch, distance): where transects (key, x, y, nx, ny) of a length cross shorelines (epoch, x1, y1, x2, y2), the one
-    farthest out if they cross several times. Both sides meet by the tiles that their boxes touch."""
+    farthest out if they cross several times. Both sides meet by the tiles that their boxes touch, once for each
+    different transect and stroke: repeated ones get their distances by their places."""
 
     def spread(df: DataFrame, xs: Sequence[Column], ys: Sequence[Column]) -> DataFrame:
         at = lambda f, v: F.floor(f(*v) / tile)
         return df.withColumn("_tx", F.explode(F.sequence(at(F.least, xs), at(F.greatest, xs)))).withColumn("_ty", F.explode(F.sequence(at(F.least, ys), at(F.greatest, ys))))
 
     c = F.col
-    ray = spread(transects, [c("x"), c("x") + c("nx") * length], [c("y"), c("y") + c("ny") * length])
-    shore = spread(shores.select(epoch, "x1", "y1", "x2", "y2"), [c("x1"), c("x2")], [c("y1"), c("y2")])
+    place = ["x", "y", "nx", "ny"]
+    # x + 0.0 makes 0.0 of -0.0
+    rays = transects.select(key, *((c(k) + 0.0).alias(k) for k in place)).dropna(subset=place)
+    strokes = shores.select(epoch, "x1", "y1", "x2", "y2").distinct()
+    ray = spread(rays.select(*place).distinct(), [c("x"), c("x") + c("nx") * length], [c("y"), c("y") + c("ny") * length])
+    shore = spread(strokes, [c("x1"), c("x2")], [c("y1"), c("y2")])
     met = ray.join(shore, ["_tx", "_ty"])
     ex, ey = c("x2") - c("x1"), c("y2") - c("y1")
     det = c("nx") * ey - c("ny") * ex
     t = F.try_divide((c("x1") - c("x")) * ey - (c("y1") - c("y")) * ex, det)
     u = F.try_divide((c("x1") - c("x")) * c("ny") - (c("y1") - c("y")) * c("nx"), det)
-    hit = met.select(key, epoch, t.alias("_t"), u.alias("_u")).where((c("_t") >= 0) & (c("_t") <= length) & (c("_u") >= 0) & (c("_u") <= 1))
-    return hit.groupBy(key, epoch).agg(F.max("_t").alias("distance"))
+    hit = met.select(*place, epoch, t.alias("_t"), u.alias("_u")).where((c("_t") >= 0) & (c("_t") <= length) & (c("_u") >= 0) & (c("_u") <= 1))
+    farthest = hit.groupBy(*place, epoch).agg(F.max("_t").alias("_t"))
+    return rays.join(farthest, place).groupBy(key, epoch).agg(F.max("_t").alias("distance"))
 
 
 def coast_change(cells: DataFrame, before: Column, after: Column, least: int) -> DataFrame:

@@ -127,7 +127,7 @@ def pr18_is_named(spark, d):
 @query(f"WITH {POINT}, t AS (SELECT s_suppkey AS stop, 100 + (s_suppkey * 53 % 1000)::double / 100 AS sx, -10 + (s_suppkey * 71 % 2000)::double / 100 AS sy FROM supplier), m AS (SELECT event_id, stop, sqrt((lon - sx) * (lon - sx) + (lat - sy) * (lat - sy)) AS dist FROM point JOIN t ON abs(lon - sx) <= 0.6 AND abs(lat - sy) <= 0.6), b AS (SELECT event_id, min((round(dist, 9), stop)) AS b FROM m WHERE dist <= 0.6 GROUP BY event_id) SELECT p.event_id AS event_id, b[2] AS stop, round(b[1], 6) AS distance FROM point p LEFT JOIN b ON p.event_id = b.event_id")
 def jn4_nearest_stop(spark, d):
     stop = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS stop", "100 + cast(s_suppkey * 53 % 1000 as double) / cast(100 as double) AS sx", "-10 + cast(s_suppkey * 71 % 2000 as double) / cast(100 as double) AS sy")
-    near = nearest(adapter(spark, d, "point").select("event_id", "lon", "lat"), stop, ["event_id"], "lon", "lat", "sx", "sy", "stop", 0.6)
+    near = nearest(adapter(spark, d, "point").select("event_id", "lon", "lat"), stop, ["event_id"], "lon", "lat", "sx", "sy", "stop", 0.6, digits=9)
     return near.select("event_id", "stop", r6(F.col("distance")).alias("distance"))
 
 

@@ -141,13 +141,11 @@ _CITY = "city AS (SELECT s_suppkey AS city, 100 + (s_suppkey * 37 % 1000)::doubl
 @query(f"WITH {POINT}, {_CITY}, k AS (SELECT event_id, city, value, sqrt(power((lon - cx) * 111.32::double * cos(radians(0::double)), 2) + power((lat - cy) * 110.57::double, 2)) AS km FROM point JOIN city ON abs(lon - cx) <= 0.3 AND abs(lat - cy) <= 0.3), b AS (SELECT event_id, arg_min(city, (km, city)) AS city, any_value(value) AS value FROM k WHERE km <= 25 GROUP BY event_id) SELECT city, count(*) AS n, round(sum(value), 6) AS total FROM b GROUP BY city")
 def ag28_catchments(spark, d):
     """Sums over the points whose nearest city is at most 25 km away."""
-    east, north = local_km(F.col("lon"), F.col("lat"), 0.0, 0.0)
-    p = adapter(spark, d, "point").withColumns({"x": east, "y": north})
     lon = F.lit(100.0) + (F.col("s_suppkey") * 37 % 1000).cast("double") / 100
     lat = F.lit(-10.0) + (F.col("s_suppkey") * 91 % 2000).cast("double") / 100
-    ce, cn = local_km(lon, lat, 0.0, 0.0)
-    city = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("city"), ce.alias("cx"), cn.alias("cy"))
-    near = nearest(p, city, ["event_id"], "x", "y", "cx", "cy", "city", 25.0).where("city IS NOT NULL")
+    city = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("city"), lon.alias("cx"), lat.alias("cy"))
+    degree = local_km(F.lit(1.0), F.lit(1.0), 0.0, 0.0)
+    near = nearest(adapter(spark, d, "point"), city, ["event_id"], "lon", "lat", "cx", "cy", "city", 25.0, degree).where("city IS NOT NULL")
     return near.groupBy("city").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import border_regions, regions
 from .grid import focal
-from .joins import QUEEN, ROOK
+from .joins import QUEEN, ROOK, root_of_squares
 
 
 def open_lines(points: DataFrame, ring: str, order: str, frame: tuple[float, float, float, float], least: float, slack: float = 1e-9) -> DataFrame:
@@ -21,7 +21,7 @@ def open_lines(points: DataFrame, ring: str, order: str, frame: tuple[float, flo
     on = lambda a, b, v: (F.abs(F.col(a) - v) <= slack) & (F.abs(F.col(b) - v) <= slack)
     cut = (on("x1", "x2", w) | on("x1", "x2", e) | on("y1", "y2", s) | on("y1", "y2", n)).cast("int")
     line = F.sum(cut).over(Window.partitionBy(ring).orderBy("_i"))
-    seg = seg.withColumns({"_cut": cut, "line": line, "len": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))}).where("_cut = 0")
+    seg = seg.withColumns({"_cut": cut, "line": line, "len": root_of_squares(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))}).where("_cut = 0")
     whole = F.sum("len").over(Window.partitionBy(ring, "line"))
     return seg.withColumn("_whole", whole).where(F.col("_whole") >= least).drop("_cut", "_whole")
 
@@ -38,7 +38,7 @@ def baseline(segments: DataFrame, keys: Sequence[str], spacing: float, reach: in
     s = s.where(first <= last).withColumn("p", F.explode(F.sequence(first, last)))
     part = (F.col("p") * spacing - F.col("_start")) / F.col("len")
     along = lambda a: F.col(a + "1") + (F.col(a + "2") - F.col(a + "1")) * part
-    norm = F.hypot("_dx", "_dy")
+    norm = root_of_squares(F.col("_dx"), F.col("_dy"))
     return s.select(*keys, "p", along("x").alias("x"), along("y").alias("y"), F.try_divide(-F.col("_dy"), norm).alias("nx"), F.try_divide("_dx", norm).alias("ny"))
 
 

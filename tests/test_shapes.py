@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions.fire import bui, danger_class, dc_fold, dc_next, dmc_next, ffmc_next, fwi, isi, relative_humidity, wet_bulb
 from terravane.functions.indices import index
+from terravane.operators.coast import baseline, open_lines
 from terravane.operators.folds import fire_weather
 from terravane.operators.lines import contour_lines, oriented_contour, ranked
 from terravane.operators.paths import contour
@@ -175,3 +176,15 @@ def test_one_formula_over_numbers_and_columns(spark):
     got = [r[0] for r in df.select(dc_next(*map(F.col, ("b", "t", "rain", "f")))).collect()]
     assert np.allclose(got, values, rtol=1e-12)
     assert np.isnan(dc_fold(15.0, [(20.0, 0.0, 1.4), (math.nan, 0.0, 1.4), (20.0, 0.0, 1.4)])).tolist() == [False, True, True]
+
+
+def test_lengths_along_lines_are_roots_of_squares(spark):
+    """hypot rounds otherwise than SQL's root of squares, which moves points of a baseline where a step ends at a corner."""
+    rng = random.Random(3)
+    at = [(rng.randrange(81) / 10 + 1, rng.randrange(81) / 10 + 1) for _ in range(2000)]
+    points = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(at)], "k long, i long, x double, y double")
+    s = open_lines(points, "k", "i", (0.0, 0.0, 10.0, 10.0), 0.0)
+    assert {r._i: r.len for r in s.collect()} == {i: math.sqrt((c - a) ** 2 + (d - b) ** 2) for i, ((a, b), (c, d)) in enumerate(zip(at, at[1:]))}
+    ends = np.cumsum([math.sqrt((c - a) ** 2 + (d - b) ** 2) for (a, b), (c, d) in zip(at, at[1:])])
+    got = baseline(s, ["k", "line"], 2.5).collect()
+    assert [r.p for r in sorted(got, key=lambda r: r.p)] == list(range(math.ceil(ends[-1] / 2.5)))

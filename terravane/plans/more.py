@@ -201,7 +201,7 @@ def set_difference(spark, d):
 @query(f"WITH {SCENE}, t AS (SELECT rel_orbit, scene_id, day, row_number() OVER (PARTITION BY rel_orbit ORDER BY day, scene_id) AS rn FROM scene WHERE cloud_pct < 5), p AS (SELECT a.scene_id AS s1, a.day AS d1, b.scene_id AS s2, b.day AS d2 FROM t a JOIN t b ON a.rel_orbit = b.rel_orbit AND b.rn BETWEEN a.rn + 1 AND a.rn + 3 WHERE date_diff('day', a.day, b.day) <= 30) SELECT count(*) AS pairs, count(CASE WHEN s1 % 2 = 0 AND s2 % 2 = 0 THEN 1 END) AS already, min(d1) AS first, max(d2) AS last, count(*) * 10 AS price, (count(*) - count(CASE WHEN s1 % 2 = 0 AND s2 % 2 = 0 THEN 1 END)) * 10 AS due FROM p")
 def or3_pair_plan(spark, d):
     s = adapter(spark, d, "scene").where("cloud_pct < 5")
-    there = rank_pairs(s, ["rel_orbit"], "day", "scene_id", 3, 30).where("scene_1 % 2 = 0 AND scene_2 % 2 = 0").select(pair_name(F.col("scene_1"), F.col("scene_2")).alias("name"))
+    there = rank_pairs(s, ["rel_orbit"], "day", "scene_id", 3, 30).where("scene_1 % 2 = 0 AND scene_2 % 2 = 0")
     return pair_plan(s, ["rel_orbit"], 3, 30, there, 10)
 
 

@@ -18,9 +18,11 @@ def pair_name(first: Column, second: Column, variant: Column | None = None) -> C
 
 
 def pair_plan(scenes: DataFrame, by: Sequence[str], most_apart: int, most_days: int, known: DataFrame, price: int) -> DataFrame:
-    """One row: pairs wanted, those already there, their span, the price of all and what is still due."""
-    pairs = rank_pairs(scenes, by, "day", "scene_id", most_apart, most_days).withColumn("name", pair_name(F.col("scene_1"), F.col("scene_2")))
-    marked = pairs.join(known.select("name").distinct().withColumn("there", F.lit(True)), "name", "left")
+    """One row: pairs wanted, those already there (known: scene_1, scene_2, in any order), their span, the price of all and what is still due.
+    Pairs meet by their scenes: names have 32 bits, which among some hundred thousands of pairs are shared by chance."""
+    own = [f(F.col("scene_1"), F.col("scene_2")).alias(k) for f, k in ((F.least, "_a"), (F.greatest, "_b"))]
+    pairs = rank_pairs(scenes, by, "day", "scene_id", most_apart, most_days).select("*", *own)
+    marked = pairs.join(known.select(*own).distinct().withColumn("there", F.lit(True)), ["_a", "_b"], "left")
     out = marked.agg(F.count("*").alias("pairs"), F.count("there").alias("already"), F.min("day_1").alias("first"), F.max("day_2").alias("last"))
     return out.withColumns({"price": F.col("pairs") * price, "due": (F.col("pairs") - F.col("already")) * price})
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.plans.orchestration import chain, pair_name, run_scenario
+from terravane.plans.orchestration import chain, pair_name, pair_plan, run_scenario
+from terravane.sources.adapters import weather
 from terravane.sources.files import (
     FlatRaster,
     ceos_records,
@@ -117,6 +118,29 @@ def test_names_do_not_depend_on_order(spark):
     assert r.a == r.b != r.c and len(r.a) == 8
 
 
+def test_pairs_whose_short_names_collide_are_two(spark):
+    scenes = spark.createDataFrame([(101374, 1, 1), (101375, 1, 2), (208944, 2, 1), (208945, 2, 2)], "scene_id long, track int, n int").withColumn("day", F.date_add(F.lit("1995-01-01").cast("date"), F.col("n")))
+    name = pair_name(F.col("scene_1"), F.col("scene_2"))
+    known = spark.createDataFrame([(101375, 101374)], "scene_1 long, scene_2 long").withColumn("name", name)
+    other = spark.createDataFrame([(208944, 208945)], "scene_1 long, scene_2 long").select(name.alias("name"))
+    assert known.first().name == other.first().name
+    r = pair_plan(scenes, ["track"], 3, 30, known, 10).first()
+    assert (r.pairs, r.already, r.price, r.due) == (2, 1, 20, 10)
+
+
+def test_weather_does_not_jump_where_a_mean_lies_on_a_bound(spark, tmp_path):
+    """60 copies of 52.06 and 187.94 have a mean of 120, whose remainders are 0, whatever the order of rows."""
+    values = spark.range(120).select(F.lit(123).cast("long").alias("user_id"), F.lit("2024-01-20 10:00:00").cast("timestamp").alias("ts"), F.when(F.col("id") % 2 == 0, 52.06).otherwise(187.94).alias("value"), "id")
+    for k, order in enumerate((["id"], ["value"], ["id"])):
+        values.orderBy(*order).coalesce(1).repartition(1 + 2 * k).select("user_id", "ts", "value").write.parquet(f"{tmp_path}/{k}/events.parquet")
+        r = weather(spark, f"{tmp_path}/{k}").first()
+        assert (r.t, r.w, r.rain) == (20.0, 0.0, 52.06)
+    odd = spark.createDataFrame([(1, 1e300), (1, 3e300), (2, 0.1234567890123), (2, None), (3, None), (4, float("nan"))], "user_id long, value double").withColumn("ts", F.lit("2024-01-20 10:00:00").cast("timestamp"))
+    odd.write.parquet(f"{tmp_path}/odd/events.parquet")
+    got = {r.cell: r.w for r in weather(spark, f"{tmp_path}/odd").collect()}
+    assert got[1] == 2e300 % 20 and got[2] == 0.1234567890123 and got[3] is None and got[4] != got[4]
+
+
 def test_scenarios_check_what_they_need(spark, sf):
     with pytest.raises(ValueError, match="needs split"):
         run_scenario("burn", spark, sf_dir=sf)

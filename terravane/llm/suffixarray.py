@@ -166,21 +166,22 @@ def _solve(window: int):
 GRAM = Bytes().gram
 
 
-def _parts(contents: list[bytes], left: np.ndarray, most: int = 1 << 15) -> tuple[list[int], list[np.ndarray]]:
-    """Stretches that are alone with the gram at their anchor; the others in parts of about `most`, those with
-    equal grams together."""
+def _parts(contents: list[bytes], left: np.ndarray, most: int = 1 << 21) -> tuple[list[int], list[np.ndarray]]:
+    """Stretches that are alone with the gram at their anchor; the others in parts of about `most` bytes, those with
+    equal grams together. A part's hashes take some fifty bytes for each of its own."""
     grams: dict[bytes, list[int]] = {}
     for k, (x, a) in enumerate(zip(contents, left.tolist())):
         grams.setdefault(x[a : a + GRAM], []).append(k)
-    alone, parts, part = [], [], []
+    alone, parts, part, size = [], [], [], 0
     for own in grams.values():
         if len(own) == 1:
             alone += own
             continue
         part += own
-        if len(part) >= most:
+        size += sum(len(contents[k]) for k in own)
+        if size >= most:
             parts.append(np.array(part))
-            part = []
+            part, size = [], 0
     return alone, parts + [np.array(part)] if part else parts
 
 

@@ -25,7 +25,7 @@ from terravane.llm.queries import tokenizer
 from terravane.llm.secrets import decoded_spans, redacted, secret_spans
 from terravane.llm.sharding import ShardRules, sharded
 from terravane.llm.simhash import near_duplicates, near_links
-from terravane.llm.suffixarray import merge_sorted, repeated_bytes_removed, suffix_order, Extensions
+from terravane.llm.suffixarray import _parts, merge_sorted, repeated_bytes_removed, suffix_order, Extensions
 from terravane.llm.suffixtree import deep_nodes, repeated_words_removed
 from terravane.llm.tokencache import token_counts
 
@@ -430,3 +430,14 @@ def test_mix_of_overlapping_sources(spark):
             taken[s] += n
             want[s] = t
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_stretches_are_sorted_in_parts_of_bounded_bytes():
+    """What a task sorts at once, and so its memory, is bounded by bytes, as long as one gram's own stretches are."""
+    rng = np.random.default_rng(7)
+    contents = [rng.bytes(150) for _ in range(15_000)]
+    contents = [x + y for x in contents for y in (rng.bytes(200), rng.bytes(200))]
+    alone, parts = _parts(contents + [b"x" * 350], np.full(30_001, 50))
+    assert alone == [30_000] and sorted(np.concatenate(parts).tolist()) == list(range(30_000))
+    assert max(sum(len(contents[k]) for k in part.tolist()) for part in parts) < 1 << 22
+    assert all(len({contents[k][50:82] for k in part.tolist()}) * 2 == len(part) for part in parts)

@@ -25,6 +25,7 @@ from terravane.llm.queries import tokenizer
 from terravane.llm.secrets import decoded_spans, redacted, secret_spans
 from terravane.llm.sharding import ShardRules, sharded
 from terravane.llm.simhash import near_duplicates, near_links
+from terravane.llm import suffixarray
 from terravane.llm.suffixarray import _parts, merge_sorted, repeated_bytes_removed, suffix_order, Extensions
 from terravane.llm.suffixtree import deep_nodes, repeated_words_removed
 from terravane.llm.tokencache import token_counts
@@ -432,6 +433,34 @@ def test_mix_of_overlapping_sources(spark):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
 
 
+def test_stretches_that_slices_share_are_sorted_once(monkeypatch):
+    """Each slice sends its own copy of a stretch: a bucket sorts it once, apart from stretches with other grams, and all copies get its verdict."""
+    rng, sorted_, merged = np.random.default_rng(5), [], suffixarray.merge_sorted
+    monkeypatch.setattr(suffixarray, "merge_sorted", lambda ext, start, size, groups=None: sorted_.append((len(start), groups)) or merged(ext, start, size, groups))
+    texts = [rng.bytes(100) + gram + rng.bytes(170) for gram in (rng.bytes(32) for _ in range(50))]
+    pairs = [x for t in texts for x in (t, t[:-60] + rng.bytes(60))]
+    known = np.array([[100, 103, 1]] * 2000)
+    got = suffixarray._solve(200)(pairs * 20, known)
+    assert [n for n, _ in sorted_] == [100, 100] and all(g.tolist() == [2] * 50 for _, g in sorted_)
+    assert len(set(got)) == 1 and np.unpackbits(np.frombuffer(got[0], np.uint8), count=103).all()
+    once = suffixarray._solve(200)(pairs, known[:100])
+    assert len(set(once)) == 1 and np.flatnonzero(np.unpackbits(np.frombuffer(once[0], np.uint8), count=103)).tolist() == list(range(43))
+
+
+def test_groups_are_sorted_apart():
+    rng = np.random.default_rng(3)
+    raw = bytes(rng.integers(97, 99, 900, dtype=np.uint8))
+    start, sizes = rng.permutation(700)[:300], np.array([1, 7, 2, 90, 200])
+    size, group = np.full(300, 60), np.repeat(np.arange(5), sizes)
+    order, common = suffix_order(raw, start, size, sizes)
+    text = [raw[a : a + 60] for a in start]
+    assert [(group[k], text[k]) for k in order] == sorted((g, t) for g, t in zip(group, text))
+    for k in range(300):
+        p, q = text[order[k - 1]], text[order[k]]
+        new = k == 0 or group[order[k]] != group[order[k - 1]]
+        assert common[k] == (0 if new else next((j for j in range(60) if p[j] != q[j]), 60))
+
+
 def test_stretches_are_sorted_in_parts_of_bounded_bytes():
     """What a task sorts at once, and so its memory, is bounded by bytes, as long as one gram's own stretches are."""
     rng = np.random.default_rng(7)
